@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .decontam import OP8_SQL, op8_decontamination
+from .mixing import OP9_SQL, op9_mixing
 from .sharding import OP4_SQL, op4_sharding
 
 
 def queries() -> dict:
-    return {"op4_sharding": op4_sharding}
+    return {"op4_sharding": op4_sharding, "op8_decontamination": op8_decontamination, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": OP4_SQL}
+    return {"op4_sharding": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_mixing": OP9_SQL}
