@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from .decontam import OP8_SQL, op8_decontamination
 from .mixing import OP9_SQL, op9_mixing
+from .quality_rules import op1_quality_rules
+from .rulefit import op2_quality_classifier
 from .sharding import OP4_SQL, op4_sharding
 
 
 def queries() -> dict:
-    return {"op4_sharding": op4_sharding, "op8_decontamination": op8_decontamination, "op9_mixing": op9_mixing}
+    return {
+        "op1_quality_rules": op1_quality_rules,
+        "op2_quality_classifier": op2_quality_classifier,
+        "op4_sharding": op4_sharding,
+        "op8_decontamination": op8_decontamination,
+        "op9_mixing": op9_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
