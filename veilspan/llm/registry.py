@@ -6,6 +6,7 @@ from .decontam import OP8_SQL, op8_decontamination
 from .mixing import OP9_SQL, op9_mixing
 from .quality_rules import op1_quality_rules
 from .rulefit import op2_quality_classifier
+from .simhash import op3_simhash_near_dedup
 from .sharding import OP4_SQL, op4_sharding
 
 
@@ -13,6 +14,7 @@ def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_quality_classifier": op2_quality_classifier,
+        "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_sharding": op4_sharding,
         "op8_decontamination": op8_decontamination,
         "op9_mixing": op9_mixing,
