@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: what stands between ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
+#: What stands between words: ASCII white space.
+GAP = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -49,6 +49,11 @@ def text_of(df: DataFrame) -> Column:
     return F.coalesce(df["text"], F.lit(""))
 
 
+def split_words(text: Column, gap: str = GAP) -> Column:
+    """The words between gaps. (Spark's regexp_extract_all copies the text at each match, split doesn't.)"""
+    return F.array_remove(F.split(text, gap), "")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only, so that the lengths of all other letters stay as they are."""
     return F.translate(text, UPPER, LOWER)

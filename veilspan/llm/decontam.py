@@ -14,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, text_of, written
+from .common import LOWER, UPPER, ascii_lower, split_words, text_of, written
 
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before A-Z is lower-cased.
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words, once A-Z is lower-cased, and before.
+GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_CASE_GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, K = 10, 5
 #: Fingerprints of the benchmark are broadcast up to this number (8 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -30,7 +30,7 @@ def _let(value: Column, body) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(text), F.lit(WORDS), F.lit(0))
+    return split_words(ascii_lower(text), GAPS)
 
 
 def _span(n: Column) -> Column:
@@ -58,16 +58,23 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _windows(words: Column, lengths: list[int]) -> Column:
-    """Structs of start, length, fingerprint and the window's words."""
+def _windows(words: Column, lengths: list[int], prints: Column | None = None) -> Column:
+    """Structs of start, length, fingerprint and the window's words; only those with a fingerprint among prints, if given."""
 
-    def named(n: int):
-        def window(x: Column, i: Column) -> Column:
-            return F.struct(i.alias("start"), F.lit(n).alias("len"), x.alias("print"), F.array_join(F.slice(words, i + 1, F.lit(n)), " ").alias("window"))
+    def of_length(n: int):
+        def started(x: Column, i: Column) -> Column:
+            return F.struct(i.alias("start"), x.alias("print"))
 
-        return lambda prints: F.transform(prints, window)
+        def window(s: Column) -> Column:
+            return F.struct(s["start"].alias("start"), F.lit(n).alias("len"), s["print"].alias("print"), F.array_join(F.slice(words, s["start"] + 1, F.lit(n)), " ").alias("window"))
 
-    return _let(_hashes(words), lambda h: F.concat(*(_let(prints, named(n)) for n, prints in _fingerprints(h, lengths).items())))
+        def all_(p: Column) -> Column:
+            starts = F.transform(p, started)
+            return F.transform(starts if prints is None else F.filter(starts, lambda s: F.array_contains(prints, s["print"])), window)
+
+        return all_
+
+    return _let(_hashes(words), lambda h: F.concat(*(_let(p, of_length(n)) for n, p in _fingerprints(h, lengths).items())))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -106,7 +113,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     table = written(benchmark_windows(benchmark), "decontam-windows")
     lengths = sorted(r.len for r in table.select("len").distinct().collect())  # at most WINDOW values
     docs = docs.drop("_n_words", "_n_hit", "_items", "_key").withColumn("_key", F.md5(text_of(docs)))
-    n_words = F.regexp_count(text_of(docs), F.lit(ANY_CASE)).cast("long")
+    n_words = F.size(split_words(text_of(docs), ANY_CASE_GAPS)).cast("long")
     none = F.array().cast("array<string>")
     if not lengths:
         return docs.withColumns({"_n_words": n_words, "_n_hit": F.lit(0).cast("long"), "_items": none}).drop("_key")
@@ -116,12 +123,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     texts = docs.select("_key", text_of(docs).alias("_text"))
     every = _let(_hashes(_words(F.col("_text"))), lambda h: F.array_distinct(F.concat(*_fingerprints(h, lengths).values())))
-    found = texts.select("_key", F.explode(every).alias("print")).join(prints, "print", "left_semi").select("_key").distinct()
+    found = texts.select("_key", F.explode(every).alias("print")).join(prints, "print", "left_semi").groupBy("_key").agg(F.collect_set("print").alias("_prints"))
     found = written(found, "decontam-found")
 
-    hit = texts.join(found, "_key", "left_semi").groupBy("_key").agg(F.first("_text").alias("_text"))
-    hit = hit.select("_key", F.explode(_let(_words(F.col("_text")), lambda w: _windows(w, lengths))).alias("w")).select("_key", "w.*")
-    hit = hit.join(prints, "print", "left_semi").join(table, ["print", "len", "window"])
+    hit = texts.join(found, "_key").groupBy("_key").agg(F.first("_text").alias("_text"), F.first("_prints").alias("_prints"))
+    hit = hit.select("_key", F.explode(_let(_words(F.col("_text")), lambda w: _windows(w, lengths, F.col("_prints")))).alias("w")).select("_key", "w.*")
+    hit = hit.join(table, ["print", "len", "window"])
     hit = hit.groupBy("_key").agg(
         F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("len")).alias("end")))).alias("spans"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_items"),

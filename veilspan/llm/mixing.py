@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, digits_of, text_of, written
+from .common import digits_of, split_words, text_of, written
 
 BITS = 16
 SLOTS = 1 << BITS
@@ -87,11 +87,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TI
     """
     docs = docs.drop("_size", "_source_size", "_target", "_taken", "_first_slot")
     rows = docs.withColumns({
-        "_size": F.regexp_count(text_of(docs), F.lit(WORD)).cast("long"),
+        "_size": F.size(split_words(text_of(docs))).cast("long"),
         "_key": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~")),
         "_order": digits_of(F.col("doc_id")),
     }).withColumn("_range", F.substring("_order", 1, RANGE_DIGITS))
-    sizes = written(docs.select("source", text_of(docs).alias("t"), digits_of(docs["doc_id"]).alias("o")).groupBy("source", F.substring("o", 1, RANGE_DIGITS).alias("_range")).agg(F.sum(F.regexp_count("t", F.lit(WORD)).cast("long")).alias("_sum")), "mix-sizes")
+    sizes = written(docs.select("source", text_of(docs).alias("t"), digits_of(docs["doc_id"]).alias("o")).groupBy("source", F.substring("o", 1, RANGE_DIGITS).alias("_range")).agg(F.sum(F.size(split_words(F.col("t"))).cast("long")).alias("_sum")), "mix-sizes")
     targets = written(source_targets(sizes.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, most), "mix-targets")
     slots = written(schedule(targets), "mix-slots")
 

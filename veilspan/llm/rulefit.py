@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import boosting
 from . import textbytes as tb
 
 #: The most labelled rows that are learnt from.
 SAMPLE = 20_000
-TREES, DEPTH, BINS, LEAST_ROWS, RATE = 16, 3, 32, 10, 0.3
+TREES, DEPTH = 16, 3
 PENALTY, STEPS = 2e-4, 600
 ACCEPT = 0.7
 
@@ -67,54 +68,14 @@ class Model:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, bounds: list[np.ndarray], rows: np.ndarray, terms: tuple, out: list, value: np.ndarray) -> None:
-    """Splits rows by the best gain, down to DEPTH; appends each node's terms to out and sets value at the leaves."""
-    if terms:
-        out.append(terms)
-    best = (1e-6, -1, -1)
-    if len(terms) < DEPTH and len(rows) >= 2 * LEAST_ROWS:
-        all_g, all_h = g[rows].sum(), h[rows].sum()
-        for f in range(x.shape[1]):
-            size = len(bounds[f]) + 1
-            b = x[rows, f]
-            n, gs, hs = (np.cumsum(np.bincount(b, w, size))[:-1] for w in (None, g[rows], h[rows]))
-            if not len(n):
-                continue
-            gain = gs**2 / (hs + 1) + (all_g - gs) ** 2 / (all_h - hs + 1) - all_g**2 / (all_h + 1)
-            gain[(n < LEAST_ROWS) | (len(rows) - n < LEAST_ROWS)] = 0
-            k = int(np.argmax(gain))
-            if gain[k] > best[0]:
-                best = (float(gain[k]), f, k)
-    if best[1] < 0:
-        value[rows] = -RATE * g[rows].sum() / (h[rows].sum() + 1)
-        return
-    _, f, k = best
-    low = x[rows, f] <= k
-    _grow(x, g, h, bounds, rows[low], (*terms, (f, False, float(bounds[f][k]))), out, value)
-    _grow(x, g, h, bounds, rows[~low], (*terms, (f, True, float(bounds[f][k]))), out, value)
-
-
 def fit(values: np.ndarray, labels: np.ndarray) -> Model:
     """The ensemble for values (rows by FEATURES) and 0/1 labels; without both labels, their smoothed share alone."""
-    n = len(labels)
-    share = (labels.sum() + 1) / (n + 2) if n else 0.5
-    prior = float(np.log(share / (1 - share)))
-    if n < 2 * LEAST_ROWS or labels.min() == labels.max():
-        return Model(prior, ())
-    bounds = [np.unique(np.quantile(values[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(values.shape[1])]
-    x = np.stack([np.searchsorted(bounds[f], values[:, f], "left") for f in range(values.shape[1])], 1)
-    margin, paths = np.full(n, prior), []
-    for _ in range(TREES):
-        p = 1 / (1 + np.exp(-margin))
-        step = np.zeros(n)
-        _grow(x, p - labels, p * (1 - p), bounds, np.arange(n), (), paths, step)
-        margin += step
-    paths = list(dict.fromkeys(paths))
-    held = np.ones((n, len(paths)), np.float64)
-    for j, terms in enumerate(paths):
-        for f, above, bound in terms:
-            held[:, j] *= (values[:, f] > bound) if above else (values[:, f] <= bound)
-    weights, intercept = _lasso(held, labels.astype(float), prior)
+    grown = boosting.fit(values, labels, TREES, DEPTH)
+    paths = grown.paths()
+    if not paths:
+        return Model(grown.prior, ())
+    held = np.stack([boosting.held(values, terms) for terms in paths], 1).astype(np.float64)
+    weights, intercept = _lasso(held, labels.astype(float), grown.prior)
     return Model(intercept, tuple(Rule(t, float(w)) for t, w in zip(paths, weights, strict=True) if w))
 
 
