@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import boosting
 from . import textbytes as tb
@@ -57,12 +58,12 @@ class Model:
     rules: tuple[Rule, ...]
 
     def column(self) -> Column:
-        """The score over columns named as FEATURES."""
+        """The score over the columns that with_features() adds."""
         total = F.lit(float(self.intercept))
         for r in self.rules:
             holds = F.lit(True)
             for f, above, bound in r.terms:
-                c = F.col(FEATURES[f])
+                c = F.col(f"_f_{FEATURES[f]}")
                 holds &= (c > F.lit(float(bound))) if above else (c <= F.lit(float(bound)))
             total += F.when(holds, F.lit(float(r.weight))).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
@@ -97,19 +98,21 @@ def _lasso(x: np.ndarray, y: np.ndarray, intercept: float) -> tuple[np.ndarray,
 
 
 def with_features(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The columns of carry and FEATURES of each row of docs."""
+    """The columns of carry, and _f_ with each of FEATURES, of each row of docs."""
+    names = [f"_s_{c}" for c in tb.STATISTICS]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [tb.statistics(data, offsets) for _, _, data, offsets in tb.chunks(batch.column("text"))]
             if parts:
                 arrays = [pa.array(np.concatenate([p[c] for p in parts])) for c in tb.STATISTICS]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *arrays], [*carry, *(f"_{c}" for c in tb.STATISTICS)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *arrays], [*carry, *names])
 
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry] + [f"_{c} long" for c in tb.STATISTICS]
-    stats = docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(rows, ", ".join(fields))
-    ratios = {name: F.col(f"_{a}") / F.greatest(F.col(f"_{b}"), F.lit(1)) for name, a, b in RATIOS}
-    return stats.select(*carry, F.col("_n_words").cast("double").alias("n_words"), F.col("_n_lines").cast("double").alias("n_lines"), *(c.alias(k) for k, c in ratios.items()))
+    fields = [T.StructField(c, docs.schema[c].dataType) for c in carry] + [T.StructField(c, T.LongType()) for c in names]
+    stats = docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(rows, T.StructType(fields))
+    ratios = {name: F.col(f"_s_{a}") / F.greatest(F.col(f"_s_{b}"), F.lit(1)) for name, a, b in RATIOS}
+    ratios |= {name: F.col(f"_s_{name}").cast("double") for name in ("n_words", "n_lines")}
+    return stats.select(*carry, *(ratios[k].alias(f"_f_{k}") for k in FEATURES))
 
 
 def _crc_rest(doc_id: Column) -> Column:
@@ -121,14 +124,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     ids = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (_crc_rest(F.col("doc_id")) != 2))
     ids = ids.groupBy("doc_id").agg(F.min("quality").alias("_y"), F.max("quality").alias("_z")).where("_y = _z").select("doc_id", "_y")
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    got = with_features(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), ["doc_id", "_y"]).orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(SAMPLE).collect()
-    values = np.array([[r[f] for f in FEATURES] for r in got], float).reshape(len(got), len(FEATURES))
+    got = with_features(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), ["doc_id", "_y"])
+    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", *(f"_f_{f}" for f in FEATURES)).limit(SAMPLE).collect()
+    values = np.array([[r[f"_f_{f}"] for f in FEATURES] for r in got], float).reshape(len(got), len(FEATURES))
     return fit(values, np.array([r["_y"] for r in got], int))
 
 
 def classify(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     """The columns of carry, score (0 to 1) and predicted (1 if score >= ACCEPT) of each row of docs."""
-    scored = with_features(docs, carry).withColumn("score", model.column())
+    scored = with_features(docs.drop("score", "predicted"), carry).withColumn("score", model.column())
     return scored.select(*carry, "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
