@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontam import OP8_SQL, op8_decontamination
 from .mixing import OP9_SQL, op9_mixing
 from .pii import op5_pii
+from .pseudolikelihood import op10_lm_scoring
 from .quality_rules import op1_quality_rules
 from .rulefit import op2_quality_classifier
 from .simhash import op3_simhash_near_dedup
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op5_pii": op5_pii,
         "op8_decontamination": op8_decontamination,
         "op9_mixing": op9_mixing,
+        "op10_lm_scoring": op10_lm_scoring,
     }
 
 
