@@ -20,8 +20,9 @@ from .common import LOWER, UPPER, ascii_lower, split_words, text_of, written
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, K = 10, 5
-#: Fingerprints of the benchmark are broadcast up to this number (8 bytes each); beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Fingerprints of the benchmark (8 bytes each) and keys of texts with one (32 bytes) are broadcast up to these numbers;
+#: beyond, the joins shuffle.
+BROADCAST_PRINTS, BROADCAST_KEYS = 1_000_000, 200_000
 
 
 def _let(value: Column, body) -> Column:
@@ -118,7 +119,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not lengths:
         return docs.withColumns({"_n_words": n_words, "_n_hit": F.lit(0).cast("long"), "_items": none}).drop("_key")
     prints = table.select("print").distinct()
-    if prints.count() <= BROADCAST_ROWS:
+    if prints.count() <= BROADCAST_PRINTS:
         prints = F.broadcast(prints)
 
     texts = docs.select("_key", text_of(docs).alias("_text"))
@@ -126,6 +127,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = texts.select("_key", F.explode(every).alias("print")).join(prints, "print", "left_semi").groupBy("_key").agg(F.collect_set("print").alias("_prints"))
     found = written(found, "decontam-found")
 
+    keys = found.select("_key")
+    texts = texts.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "_key", "left_semi")
     hit = texts.join(found, "_key").groupBy("_key").agg(F.first("_text").alias("_text"), F.first("_prints").alias("_prints"))
     hit = hit.select("_key", F.explode(_let(_words(F.col("_text")), lambda w: _windows(w, lengths, F.col("_prints")))).alias("w")).select("_key", "w.*")
     hit = hit.join(table, ["print", "len", "window"])
