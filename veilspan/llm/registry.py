@@ -10,6 +10,7 @@ from .quality_rules import op1_quality_rules
 from .rulefit import op2_quality_classifier
 from .simhash import op3_simhash_near_dedup
 from .sharding import OP4_SQL, op4_sharding
+from .suffix_dedup import OP7_SQL, op7_suffix_dedup
 
 
 def queries() -> dict:
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_sharding": op4_sharding,
         "op5_pii": op5_pii,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_decontamination": op8_decontamination,
         "op9_mixing": op9_mixing,
         "op10_lm_scoring": op10_lm_scoring,
@@ -26,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_mixing": OP9_SQL}
+    return {"op4_sharding": OP4_SQL, "op7_suffix_dedup": OP7_SQL, "op8_decontamination": OP8_SQL, "op9_mixing": OP9_SQL}
