@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import OP8_SQL, op8_decontamination
+from .html_extract import op6_html_extraction
 from .mixing import OP9_SQL, op9_mixing
 from .pii import op5_pii
 from .pseudolikelihood import op10_lm_scoring
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_sharding": op4_sharding,
         "op5_pii": op5_pii,
+        "op6_html_extraction": op6_html_extraction,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_decontamination": op8_decontamination,
         "op9_mixing": op9_mixing,
