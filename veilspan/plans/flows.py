@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import combine, extract, reports, rewrite
 from ..sources.rules import Rule
@@ -26,7 +28,9 @@ def anonymise(blocks: DataFrame, rules: Sequence[Rule] = (), language: Sequence[
         skipped = chosen.limit(0)
     else:
         known, skipped = combine.selected(items, blocks)
-        chosen = known.withColumnRenamed("item", "ord")
+        chosen = known.withColumn("ord", F.col("item"))
+        if "confidence" not in chosen.columns:
+            chosen = chosen.withColumn("confidence", F.lit(1.0))
     marked = rewrite.separable(rewrite.with_uuid(_numbered(chosen), mode))
     done = marked.where("success")
     return {
@@ -41,9 +45,6 @@ def anonymise(blocks: DataFrame, rules: Sequence[Rule] = (), language: Sequence[
 
 def _numbered(detections: DataFrame) -> DataFrame:
     """ord anew within each block, as detections of two sources may share numbers."""
-    from pyspark.sql import functions as F
-    from pyspark.sql.window import Window
-
     keys = [c for c in ("start", "end", "category", "source", "ord") if c in detections.columns]
     return detections.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id", "block_id").orderBy(*keys)))
 
