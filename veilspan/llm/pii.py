@@ -27,19 +27,20 @@ from .common import text_of
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL, _HOST = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 #: Equal to the base patterns, leftmost and without overlap: a run is entered at its start, or where the last match ended.
-BASE = {
-    "email": rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[{_HOST}]++(?:\.[{_HOST}]++)++",
-    "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
-    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-}
-#: Generators: looser or tighter than the base, whose failures and greed they make up for.
-GENERATORS = {
-    "email": r"(?<![\w.%+-])[\w.%+-]++[\x20]?(?:@|\(at\)|\[at\])[\x20]?[\w-]++(?:\.[\w-]++)++",
-    "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[\x20.-]?[0-9]{4}){2}[\x20.-]?[0-9]{1,7}(?![0-9])|(?<![0-9])3[0-9]{3}[\x20.-]?[0-9]{6}[\x20.-]?[0-9]{5}(?![0-9])",
-    "phone": r"(?<![0-9])(?:\+|00)[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?(?:[\x20.-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9])\([0-9]{3}\)[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
-}
+BASE = (
+    ("email", rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[{_HOST}]++(?:\.[{_HOST}]++)++"),
+    ("ip", r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])++"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+)
+#: Generators: looser or tighter than the base, whose failures and greed they make up for; their spans may overlap.
+GENERATORS = (
+    ("email", r"(?<![\w.%+-])[\w.%+-]++[\x20]?(?:@|\(at\)|\[at\])[\x20]?[\w-]++(?:\.[\w-]++)++"),
+    ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])"),
+    ("card", r"(?<![0-9])[0-9]{4}(?:[\x20.-]?[0-9]{4}){2}[\x20.-]?[0-9]{1,7}(?![0-9])|(?<![0-9])3[0-9]{3}[\x20.-]?[0-9]{6}[\x20.-]?[0-9]{5}(?![0-9])"),
+    ("phone", r"(?<![0-9])(?:\+|00)[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?(?:[\x20.-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9])\([0-9]{3}\)[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
+    ("phone", r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])"),
+)
 #: Marks the ends of matches; in texts it is first exchanged for another private-use character.
 _MARK, _OTHER = "\uE000", "\uE001"
 #: Code points of context on either side.
@@ -93,18 +94,16 @@ def _matches(text: Column, pattern: str) -> Column:
     return _let(parts, lambda p: F.when(F.size(p) > 1, F.aggregate(p, start, step, lambda a: a["out"])).otherwise(empty))
 
 
-def _spans(text: Column, patterns: dict[str, str], keep) -> Column:
+def _spans(text: Column, patterns: tuple[tuple[str, str], ...], keep) -> Column:
     """Structs of kind (its place in KINDS), start, end, value; keep(kind, value) filters."""
-    out = []
-    for k, kind in enumerate(KINDS):
-        def named(s: Column, k: int = k) -> Column:
-            return F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
-
-        found = F.filter(_matches(text, patterns[kind]), _one(lambda s, kind=kind: keep(kind, s["value"])))
-        found = F.transform(found, _one(named))
-        needs = F.contains(text, F.lit("@")) | F.contains(F.lower(text), F.lit("at")) if patterns is GENERATORS else F.contains(text, F.lit("@"))
-        out.append(F.when(needs if kind == "email" else text.rlike("[0-9]"), found).otherwise(_none()))
-    return F.concat(*out)
+
+    def of_kind(kind: str, pattern: str) -> Column:
+        found = F.filter(_matches(text, pattern), lambda s: keep(kind, s["value"]))
+        found = F.transform(found, lambda s: F.struct(F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+        needs = text.rlike("[0-9]") if kind != "email" else F.contains(text, F.lit("@")) | (F.contains(F.lower(text), F.lit("at")) if patterns is GENERATORS else F.lit(False))
+        return F.when(needs, found).otherwise(_none())
+
+    return F.concat(*(of_kind(kind, pattern) for kind, pattern in patterns))
 
 
 def _none() -> Column:

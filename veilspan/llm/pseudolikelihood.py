@@ -206,7 +206,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray]) ->
                 counts.append(w.count)
                 sums.append(np.bincount(w.row, cells[_cells(w, classes)] + inside, minlength=w.rows))
             if counts:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(counts)), pa.array(np.concatenate(sums))], ["doc_id", "n_tokens", "log_likelihood"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(counts).astype(np.int64)), pa.array(np.concatenate(sums).astype(float))], ["doc_id", "n_tokens", "log_likelihood"])
 
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType())]
     out = docs.select("doc_id", "text").mapInArrow(rows, T.StructType(fields))
