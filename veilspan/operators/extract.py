@@ -340,6 +340,12 @@ def map_positions(detections: DataFrame, blocks: DataFrame) -> DataFrame:
     return out.withColumns({"start": F.col("_at") - 1, "end": F.col("_at") - 1 + F.length(value)}).drop("_t", "_at")
 
 
+def validated(detections: DataFrame) -> DataFrame:
+    """detections with `valid`: category and value are there, the confidence is from 0 to 1, and the start isn't after the end."""
+    good = F.col("category").isNotNull() & F.col("original_value").isNotNull() & F.col("confidence").between(0, 1) & (F.col("start") <= F.col("end"))
+    return detections.withColumn("valid", F.coalesce(good, F.lit(False)))
+
+
 def not_overlapping(detections: DataFrame, taken: DataFrame, threshold: float | None = None) -> DataFrame:
     """Detections that overlap nothing in `taken` of their block: any character, or a ratio from the threshold."""
     other = taken.select(F.col("doc_id").alias("_d"), F.col("block_id").alias("_b"), F.struct("start", "end").alias("_o"))

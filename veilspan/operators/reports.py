@@ -97,3 +97,13 @@ def review(items: DataFrame) -> DataFrame:
     """category, total, approved, excluded, mean_confidence of items in review."""
     yes = F.coalesce(F.col("approved"), F.lit(False))
     return items.groupBy("category").agg(F.count(F.lit(1)).alias("total"), F.count_if(yes).alias("approved"), F.count_if(~yes).alias("excluded"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+
+
+def metadata_summary(properties: DataFrame) -> DataFrame:
+    """doc_id, section, n of metadata (doc_id, section, property, value)."""
+    return properties.groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("n"))
+
+
+def preview(rows: DataFrame, *order: str, n: int = 3) -> DataFrame:
+    """The first n rows in an order."""
+    return rows.orderBy(*order).limit(n)

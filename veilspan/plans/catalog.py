@@ -370,8 +370,7 @@ def q52(spark, d):
 def q53(spark, d):
     """Invalid detections apart from valid ones."""
     rows = _spans(spark, d).withColumn("confidence", F.when(F.col("start") % 7 == 0, F.lit(1.5)).otherwise(F.col("confidence")))
-    valid = F.col("category").isNotNull() & F.col("original_value").isNotNull() & F.col("confidence").between(0, 1) & (F.col("start") <= F.col("end"))
-    return rows.groupBy("category", valid.alias("valid")).agg(F.count(F.lit(1)).alias("n"))
+    return extract.validated(rows).groupBy("category", "valid").agg(F.count(F.lit(1)).alias("n"))
 
 
 _S = "doc_id, category, original_value, start, \"end\""
@@ -461,6 +460,8 @@ SELECT category, count(*) AS attempts, count(k) AS successes FROM spans LEFT JOI
     "q51_find_uuids": (q51, f"WITH {REPLACED}, k AS (SELECT doc_id, uuid, start, \"end\" FROM marked WHERE success) SELECT doc_id, uuid, CAST(start + coalesce(sum(36 - (\"end\" - start)) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start FROM k"),
     "q52_confidence_model": (q52, "SELECT * FROM (VALUES ('regex', 0.85::DOUBLE), ('regex short', 0.5::DOUBLE), ('matcher', 0.9::DOUBLE), ('morphology', 0.85::DOUBLE), ('phrase', 0.98::DOUBLE)) t(kind, confidence)"),
     "q53_validation": (q53, f"WITH {_with_spans()} SELECT category, start % 7 <> 0 AS valid, count(*) AS n FROM spans GROUP BY ALL"),
+    "q55_metadata_summary": (lambda s, d: reports.metadata_summary(_metadata(s, d)[0]), f"WITH {_VIEW_META} SELECT doc_id, section, count(*) AS n FROM props GROUP BY doc_id, section"),
+    "q56_preview": (lambda s, d: reports.preview(_spans(s, d), "doc_id", "start", "ord").select("doc_id", "category", "start"), f"WITH {_with_spans()} SELECT doc_id, category, start FROM spans ORDER BY doc_id, start, ord LIMIT 3"),
     "q54_mapping_statistics": (lambda s, d: reports.mapping_statistics(_replacements(s, d)), f"WITH {REPLACED} SELECT count(*) AS total, count(DISTINCT original_value) AS unique_texts, count(DISTINCT uuid) AS unique_uuids FROM marked"),
 }
 
