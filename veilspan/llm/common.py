@@ -44,6 +44,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on a batch that goes to Python has 4 MB of columns (or one row), whatever the length of the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def text_of(df: DataFrame) -> Column:
     """The text column; null counts as the empty text."""
     return F.coalesce(df["text"], F.lit(""))

@@ -10,13 +10,13 @@ In the merged order the suffixes of one gram lie together. For each, the bytes b
 LENGTH bytes around the gram is looked up among those of smaller ids. Suffixes with the same bytes on both sides are settled inside a
 task, but for the smallest id, so a passage that many documents share is exchanged once for each task.
 
-A first pass finds the grams that occur in two documents, so that only their suffixes are exchanged. Their hashes are broadcast up to
+A text that equals one of a smaller id is removed whole, without being sorted, as all its strings start there. Of the others, a
+first pass finds the grams that occur in two documents, so that only their suffixes are exchanged. Their hashes are broadcast up to
 FILTER_BYTES; beyond, every suffix is exchanged, with the same result.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import textbytes as tb
-from .common import written
+from .common import bounded_batches, written
 
 LENGTH, GRAM = 50, 16
 #: Places at which the gram may stand in a string, less one: also the bytes kept before a suffix.
@@ -37,8 +37,10 @@ HASH_BITS = 48
 #: The most bytes of gram hashes in a broadcast, and spans to remove (16 bytes each) in another.
 FILTER_BYTES, SPAN_ROWS = 128 << 20, 2_000_000
 FILTER_BLOCKS = 64
-#: Suffixes merged in one task, about.
-MERGED = 150_000
+#: Suffixes merged in one task, about; suffixes sorted into one run; and grams counted in one piece.
+MERGED, RUN, GRAMS_AT_ONCE = 60_000, 100_000, 1_000_000
+#: Keys of texts that occur more than once are broadcast up to this number (about 50 bytes each); beyond, the join shuffles.
+BROADCAST_COPIES = 200_000
 #: Larger groups are looked up by string instead of pair by pair.
 PAIRWISE = 8
 NO_ID = (1 << 63) - 1
@@ -79,8 +81,8 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By block: the task's distinct gram hashes in order, and those of them in two documents."""
-    hashes, ids = [], []
+    """By block: distinct gram hashes of a piece of the task in order, and those of them in two documents."""
+    hashes, ids, n = [], [], 0
     for batch in batches:
         doc = _ids(batch.column("doc_id"))
         for first, _, data, offsets in tb.chunks(batch.column("text")):
@@ -90,19 +92,25 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
             hashes.append(h[new])
             ids.append(row[new])
-    if not hashes:
-        return
-    h, d = np.concatenate(hashes), np.concatenate(ids)
+            n += len(hashes[-1])
+            if n >= GRAMS_AT_ONCE:
+                yield _gram_blocks(np.concatenate(hashes), np.concatenate(ids))
+                hashes, ids, n = [], [], 0
+    if n:
+        yield _gram_blocks(np.concatenate(hashes), np.concatenate(ids))
+
+
+def _gram_blocks(h: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
     order = np.lexsort((d, h))
     h, d = h[order], d[order]
     new = np.ones(len(h), bool)
     new[1:] = h[1:] != h[:-1]
     begin = np.flatnonzero(new)
-    several = np.maximum.reduceat(d, begin) != np.minimum.reduceat(d, begin) if len(begin) else np.zeros(0, bool)
+    several = np.maximum.reduceat(d, begin) != np.minimum.reduceat(d, begin)
     h = h[begin]
     edges = np.searchsorted(h, np.arange(FILTER_BLOCKS + 1, dtype=np.uint64) * np.uint64(((1 << HASH_BITS) + 1) // FILTER_BLOCKS + 1))
     blocks = [(b, h[i:j], several[i:j]) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
-    yield pa.RecordBatch.from_arrays(
+    return pa.RecordBatch.from_arrays(
         [pa.array([b for b, _, _ in blocks], pa.int32()), pa.array([_packed(x) for _, x, _ in blocks], pa.binary()), pa.array([_packed(x[s]) for _, x, s in blocks], pa.binary())],
         ["block", "every", "several"],
     )
@@ -321,64 +329,64 @@ def _merge_task(parts: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(out[0], pa.int64()), "mark": pa.array(out[1], pa.int32()), "start": pa.array(out[2], pa.int64()), "end": pa.array(out[3], pa.int64())})
 
 
-def _mark(text: bytes) -> int:
-    """Tells texts of one id apart."""
-    return int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "little", signed=True)
-
-
 def _runs(rows: DataFrame, shared: np.ndarray | None, sets: int) -> DataFrame:
     """bucket, run; or id, mark, start, end of spans that are settled inside a task (bucket -1)."""
     known = rows.sparkSession.sparkContext.broadcast(shared)
-    names = ["bucket", "run", "id", "mark", "start", "end"]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list] = [[] for _ in range(8)]
+        n = 0
         for batch in batches:
-            doc, texts = _ids(batch.column("doc_id")), batch.column("text")
-            for first, last, data, offsets in tb.chunks(texts):
+            doc, mark = _ids(batch.column("doc_id")), np.asarray(batch.column("mark"))
+            for first, _, data, offsets in tb.chunks(batch.column("text")):
                 at, h = anchors(data, offsets)
                 if known.value is not None:
                     if not len(known.value):
                         continue
-                    i = np.minimum(np.searchsorted(known.value, h), len(known.value) - 1)
-                    at, h = at[known.value[i] == h], h[known.value[i] == h]
+                    same = known.value[np.minimum(np.searchsorted(known.value, h), len(known.value) - 1)] == h
+                    at, h = at[same], h[same]
                 if not len(at):
                     continue
                 row = np.searchsorted(offsets, at, "right") - 1
-                marks = np.zeros(last - first, np.int32)
-                for r in np.unique(row):
-                    marks[r] = _mark(data[offsets[r] : offsets[r + 1]].tobytes())
-                for c, v in zip(cols, [*_around(data, offsets, at), doc[first + row], marks[row], at - offsets[row], (h % np.uint64(sets)).astype(np.int32)], strict=True):
+                for c, v in zip(cols, [*_around(data, offsets, at), doc[first + row], mark[first + row], at - offsets[row], (h % np.uint64(sets)).astype(np.int32)], strict=True):
                     c.append(v)
-        if not cols[0]:
-            return
-        left, right, left_n, right_n, ids, marks, places, bucket = map(np.concatenate, cols)
-        del cols
-        around = [right_n, *_as_words(right, _WORDS[0])[::-1]]
-        outer = [left_n, *_as_words(left, _WORDS[1])[::-1]]
-        order = np.lexsort([places, marks, ids, *outer, *around, bucket])
-        left, right, left_n, right_n, ids, marks, places, bucket = (x[order] for x in (left, right, left_n, right_n, ids, marks, places, bucket))
-        new = np.ones(len(ids), bool)
-        new[1:] = (bucket[1:] != bucket[:-1]) | (right_n[1:] != right_n[:-1]) | (left_n[1:] != left_n[:-1]) | (right[1:] != right[:-1]).any(1) | (left[1:] != left[:-1]).any(1)
-        least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
-        done = ids > least
-        if done.any():
-            o = np.lexsort((places[done], marks[done], ids[done]))
-            i, m = ids[done][o], marks[done][o]
-            s, e = (places[done] - left_n[done])[o], (places[done] + right_n[done])[o]
-            keep = e - s >= LENGTH
-            i, m, s, e = _joined(i[keep], m[keep], s[keep], e[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), -1, np.int32)), pa.nulls(len(i), pa.binary()), pa.array(i), pa.array(m), pa.array(s), pa.array(e)], names)
-        stay = ~done
-        left, right, left_n, right_n, ids, marks, places, bucket = (x[stay] for x in (left, right, left_n, right_n, ids, marks, places, bucket))
-        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, int)
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            blob = _front_coded(left[a:b], right[a:b], left_n[a:b], right_n[a:b], ids[a:b], marks[a:b], places[a:b].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([bucket[a]], pa.int32()), pa.array([blob], pa.binary()), *(pa.nulls(1, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names)
+                n += len(at)
+                if n >= RUN:
+                    yield from _sorted_run(*map(np.concatenate, cols))
+                    cols, n = [[] for _ in range(8)], 0
+        if n:
+            yield from _sorted_run(*map(np.concatenate, cols))
 
     return rows.mapInArrow(part, "bucket int, run binary, id long, mark int, start long, end long")
 
 
+def _sorted_run(left, right, left_n, right_n, ids, marks, places, bucket) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    """The spans settled among these suffixes, and a front-coded run for each bucket of the rest."""
+    names = ["bucket", "run", "id", "mark", "start", "end"]
+    around = [right_n, *_as_words(right, _WORDS[0])[::-1]]
+    outer = [left_n, *_as_words(left, _WORDS[1])[::-1]]
+    order = np.lexsort([places, marks, ids, *outer, *around, bucket])
+    del around, outer
+    left, right, left_n, right_n, ids, marks, places, bucket = (x[order] for x in (left, right, left_n, right_n, ids, marks, places, bucket))
+    new = np.ones(len(ids), bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (right_n[1:] != right_n[:-1]) | (left_n[1:] != left_n[:-1]) | (right[1:] != right[:-1]).any(1) | (left[1:] != left[:-1]).any(1)
+    done = ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1]
+    if done.any():
+        o = np.lexsort((places[done], marks[done], ids[done]))
+        i, m = ids[done][o], marks[done][o]
+        s, e = (places[done] - left_n[done])[o], (places[done] + right_n[done])[o]
+        keep = e - s >= LENGTH
+        i, m, s, e = _joined(i[keep], m[keep], s[keep], e[keep])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), -1, np.int32)), pa.nulls(len(i), pa.binary()), pa.array(i), pa.array(m), pa.array(s), pa.array(e)], names)
+    stay = ~done
+    left, right, left_n, right_n, ids, marks, places, bucket = (x[stay] for x in (left, right, left_n, right_n, ids, marks, places, bucket))
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, int)
+    blobs = [_front_coded(left[a:b], right[a:b], left_n[a:b], right_n[a:b], ids[a:b], marks[a:b], places[a:b].astype(np.int64)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    if blobs:
+        empty = [pa.nulls(len(blobs), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int32()), pa.array(blobs, pa.binary()), *empty], names)
+
+
 def _joined(ids: np.ndarray, marks: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Spans sorted by id, mark, start, with those that touch put together."""
     if not len(ids):
@@ -394,9 +402,19 @@ def _joined(ids: np.ndarray, marks: np.ndarray, start: np.ndarray, end: np.ndarr
     return ids[at], marks[at], start[at], (reach - lift)[last]
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """id, mark, starts, ends: for each text of docs (doc_id, text) with repeated strings, the maximal spans to remove, ordered."""
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") >= LENGTH)
+def _marked(docs: DataFrame) -> DataFrame:
+    """doc_id, text, mark (tells texts of one id apart), copy (whether a smaller id has the same text)."""
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"mark": F.hash("text"), "key": F.md5("text")})
+    again = rows.groupBy("key").agg(F.min(ids).alias("least"), F.max(ids).alias("most")).where("most > least").select("key", "least")
+    again = written(again, "suffix-copies")
+    rows = rows.join(F.broadcast(again) if again.count() <= BROADCAST_COPIES else again, "key", "left")
+    return rows.select("doc_id", "text", "mark", F.coalesce(ids > F.col("least"), F.lit(False)).alias("copy"))
+
+
+def repeated_spans(marked: DataFrame) -> DataFrame:
+    """id, mark, starts, ends: for each text of marked (doc_id, text, mark) with repeated strings, the maximal spans to remove, ordered."""
+    rows = marked.select("doc_id", "text", "mark").where(F.octet_length("text") >= LENGTH)
     blocks = written(rows.mapInArrow(_grams, "block int, every binary, several binary").groupBy("block").applyInArrow(_shared, "block int, n long, shared binary"), "suffix-grams")
     n = blocks.agg(F.sum("n")).first()[0] or 0
     shared = None
@@ -421,27 +439,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A null doc_id comes after all others, and rows with equal ids don't take from each other. An empty table gives no rows.
     Other columns are not read.
     """
-    found = written(repeated_spans(docs), "suffix-spans").withColumnRenamed("mark", "_mark").withColumnRenamed("id", "_id")
+    bounded_batches(docs.sparkSession)
+    marked = _marked(docs)
+    found = written(repeated_spans(marked.where("not copy")), "suffix-spans").withColumnRenamed("mark", "_mark").withColumnRenamed("id", "_id")
     total = found.agg(F.sum(F.size("starts"))).first()[0] or 0
-    marked = docs.select("doc_id", "text")
-
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary())
-            mark = [_mark(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts, pa.array(mark, pa.int32())], ["doc_id", "text", "_m"])
-
-    kind = docs.schema["doc_id"].dataType
-    marked = marked.mapInArrow(marks, T.StructType([T.StructField("doc_id", kind), T.StructField("text", T.BinaryType()), T.StructField("_m", T.IntegerType())]))
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_id")) & (F.col("_m") == F.col("_mark"))
-    joined = marked.join(F.broadcast(found) if total <= SPAN_ROWS else found, same, "left").select("doc_id", "text", "starts", "ends")
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_id")) & (F.col("mark") == F.col("_mark"))
+    joined = marked.join(F.broadcast(found) if total <= SPAN_ROWS else found, same, "left").select("doc_id", F.col("text").cast("binary").alias("text"), "copy", "starts", "ends")
+    joined = joined.withColumn("copy", F.col("copy") & (F.octet_length("text") >= LENGTH))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t, starts, ends in zip(batch.column("text"), batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True):
-                text = t.as_buffer().to_pybytes() if t.is_valid else b""
+            for t, copy, starts, ends in zip(batch.column("text"), batch.column("copy").to_pylist(), batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True):
+                text = t.as_buffer().to_pybytes()
                 keep, at = [], 0
+                if copy:
+                    starts, ends = [0], [len(text)]
                 for s, e in zip(starts or (), ends or (), strict=True):
                     keep.append(text[at:s])
                     at = e
@@ -450,7 +463,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             n, r, s, k = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, r, s)), pa.array(k, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    fields = [T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())]
+    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())]
     return joined.mapInArrow(cut, T.StructType(fields))
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; one longer text is worked on alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 SYMBOL = np.zeros(256, bool)
