@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -310,7 +311,7 @@ def _covered(group: list[tuple[int, tuple[int, int, int, bytes, bytes]]]) -> Ite
 
 
 def _merge_task(parts: pa.Table) -> pa.Table:
-    """The spans to remove that one set of runs shows."""
+    """The spans to remove that one set of runs shows, and those that were settled before."""
     out: tuple[list, list, list, list] = ([], [], [], [])
     group: list = []
 
@@ -326,11 +327,12 @@ def _merge_task(parts: pa.Table) -> pa.Table:
             group = []
         group.append((shared, item))
     settle()
-    return pa.table({"id": pa.array(out[0], pa.int64()), "mark": pa.array(out[1], pa.int32()), "start": pa.array(out[2], pa.int64()), "end": pa.array(out[3], pa.int64())})
+    settled = parts.filter(pa.compute.is_null(parts.column("run"))).select(["id", "mark", "start", "end"])
+    return pa.concat_tables([settled, pa.table([pa.array(c, t) for c, t in zip(out, settled.schema.types, strict=True)], names=settled.column_names)])
 
 
 def _runs(rows: DataFrame, shared: np.ndarray | None, sets: int) -> DataFrame:
-    """bucket, run; or id, mark, start, end of spans that are settled inside a task (bucket -1)."""
+    """bucket, run; or, without a run and under any bucket, id, mark, start, end of a span that is settled inside a task."""
     known = rows.sparkSession.sparkContext.broadcast(shared)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,15 +354,15 @@ def _runs(rows: DataFrame, shared: np.ndarray | None, sets: int) -> DataFrame:
                     c.append(v)
                 n += len(at)
                 if n >= RUN:
-                    yield from _sorted_run(*map(np.concatenate, cols))
+                    yield from _sorted_run(sets, *map(np.concatenate, cols))
                     cols, n = [[] for _ in range(8)], 0
         if n:
-            yield from _sorted_run(*map(np.concatenate, cols))
+            yield from _sorted_run(sets, *map(np.concatenate, cols))
 
     return rows.mapInArrow(part, "bucket int, run binary, id long, mark int, start long, end long")
 
 
-def _sorted_run(left, right, left_n, right_n, ids, marks, places, bucket) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+def _sorted_run(sets: int, left, right, left_n, right_n, ids, marks, places, bucket) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
     """The spans settled among these suffixes, and a front-coded run for each bucket of the rest."""
     names = ["bucket", "run", "id", "mark", "start", "end"]
     around = [right_n, *_as_words(right, _WORDS[0])[::-1]]
@@ -377,7 +379,7 @@ def _sorted_run(left, right, left_n, right_n, ids, marks, places, bucket) -> Ite
         s, e = (places[done] - left_n[done])[o], (places[done] + right_n[done])[o]
         keep = e - s >= LENGTH
         i, m, s, e = _joined(i[keep], m[keep], s[keep], e[keep])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), -1, np.int32)), pa.nulls(len(i), pa.binary()), pa.array(i), pa.array(m), pa.array(s), pa.array(e)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(((i + s) % sets).astype(np.int32)), pa.nulls(len(i), pa.binary()), pa.array(i), pa.array(m), pa.array(s), pa.array(e)], names)
     stay = ~done
     left, right, left_n, right_n, ids, marks, places, bucket = (x[stay] for x in (left, right, left_n, right_n, ids, marks, places, bucket))
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, int)
@@ -403,9 +405,12 @@ def _joined(ids: np.ndarray, marks: np.ndarray, start: np.ndarray, end: np.ndarr
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """doc_id, text, mark (tells texts of one id apart), copy (whether a smaller id has the same text)."""
+    """doc_id, text, mark (tells texts of one id apart, 0 where an id has one row), copy (whether a smaller id has the same text)."""
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"mark": F.hash("text"), "key": F.md5("text")})
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"id": ids, "key": F.md5("text")})
+    shared = written(rows.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("shared")), "suffix-ids")
+    rows = rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_COPIES else shared, "id", "left")
+    rows = rows.withColumn("mark", F.when(F.col("shared"), F.hash("text")).otherwise(F.lit(0)))
     again = rows.groupBy("key").agg(F.min(ids).alias("least"), F.max(ids).alias("most")).where("most > least").select("key", "least")
     again = written(again, "suffix-copies")
     rows = rows.join(F.broadcast(again) if again.count() <= BROADCAST_COPIES else again, "key", "left")
@@ -420,9 +425,8 @@ def repeated_spans(marked: DataFrame) -> DataFrame:
     shared = None
     if 8 * n <= FILTER_BYTES:
         shared = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.shared, np.uint64) for r in blocks.select("shared").toLocalIterator())]))
-    runs = written(_runs(rows, shared, max(24, -(-3 * n // MERGED))), "suffix-runs")
-    spans = runs.where("bucket >= 0").groupBy("bucket").applyInArrow(_merge_task, "id long, mark int, start long, end long")
-    spans = spans.unionByName(runs.where("bucket < 0").select("id", "mark", "start", "end"))
+    runs = _runs(rows, shared, max(24, -(-3 * n // MERGED)))
+    spans = runs.groupBy("bucket").applyInArrow(_merge_task, "id long, mark int, start long, end long")
     line = Window.partitionBy("id", "mark").orderBy("start", "end")
     reach = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))
