@@ -288,26 +288,33 @@ def _covered(group: list[tuple[int, tuple[int, int, int, bytes, bytes]]]) -> Ite
                 if j + r >= LENGTH:
                     yield id_, mark, place - j, place + r
         return
-    first: dict[tuple[int, bytes], int] = {}
-    around = {(item[3], item[4]): item[0] for _, item in sorted(group, key=lambda g: -g[1][0])}
-    for (left, right), id_ in around.items():
-        text, n = left + right, len(left)
-        for j in range(max(0, LENGTH - len(right)), n + 1):
-            key = (j, text[n - j : n - j + LENGTH])
-            if first.get(key, NO_ID) >= id_:
+    # place by place, so that only one place's strings are held at once
+    around: dict[tuple[bytes, bytes], int] = {}
+    for _, item in group:
+        around[item[3], item[4]] = min(item[0], around.get((item[3], item[4]), NO_ID))
+    texts = [(left + right, len(left), len(right), id_) for (left, right), id_ in around.items()]
+    place_of = {key: k for k, key in enumerate(around)}
+    items = [(place_of[item[3], item[4]], item[0]) for _, item in group]
+    hits = [0] * len(items)
+    for j in range(LEFT + 1):
+        first: dict[bytes, int] = {}
+        keys: list[bytes | None] = []
+        for text, n, m, id_ in texts:
+            key = text[n - j : n - j + LENGTH] if j <= n and LENGTH - j <= m else None
+            keys.append(key)
+            if key is not None and first.get(key, NO_ID) >= id_:
                 first[key] = id_
-    for _, (id_, mark, place, left, right) in group:
-        text, n = left + right, len(left)
-        open_ = None
-        for j in range(n, max(0, LENGTH - len(right)) - 1, -1):
-            hit = first[(j, text[n - j : n - j + LENGTH])] < id_
-            if hit and open_ is None:
-                open_ = j
-            if not hit and open_ is not None:
-                yield id_, mark, place - open_, place - (j + 1) + LENGTH
-                open_ = None
-        if open_ is not None:
-            yield id_, mark, place - open_, place - max(0, LENGTH - len(right)) + LENGTH
+        for i, (k, id_) in enumerate(items):
+            key = keys[k]
+            if key is not None and first[key] < id_:
+                hits[i] |= 1 << j
+    for (_, (id_, mark, place, _, _)), bits in zip(group, hits, strict=True):
+        while bits:
+            low = (bits & -bits).bit_length() - 1
+            length = ((bits >> low) ^ ((bits >> low) + 1)).bit_length() - 1
+            high = low + length - 1
+            yield id_, mark, place - high, place - low + LENGTH
+            bits &= ~(((1 << length) - 1) << low)
 
 
 def _merge_task(parts: pa.Table) -> pa.Table:
