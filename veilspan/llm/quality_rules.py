@@ -142,6 +142,38 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """judge() over all documents."""
+    """judge() over all documents, without the score."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return judge(docs.select("doc_id", "text"), labels.select("doc_id", "quality"))
+    return judge(docs.select("doc_id", "text"), labels.select("doc_id", "quality")).drop("llr")
+
+
+#: The same for up to TRUSTED_IDS trusted documents (beyond, the order of hashes decides, which DuckDB doesn't have).
+OP1_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, hex(encode(coalesce(text, ''))) AS h FROM documents
+), trusted AS (
+  SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(coalesce(quality, 0)) = 1
+), g AS (
+  SELECT doc_id, ((CAST('0x' || x[7:8] || x[5:6] || x[3:4] || x[1:2] AS UBIGINT) * CAST({0x9E3779B1} AS UBIGINT)) % CAST(4294967296 AS UBIGINT)) // CAST({1 << (32 - BUCKET_BITS)} AS UBIGINT) AS k
+  FROM (SELECT doc_id, substr(h, CAST(2 * i + 1 AS INTEGER), {2 * GRAM}) AS x FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) // 2 - {GRAM - 1} AS BIGINT))) AS i FROM d))
+), c AS (
+  SELECT k, count(*) AS n, count(trusted.doc_id) AS m FROM g LEFT JOIN trusted USING (doc_id) GROUP BY k
+), r AS (
+  SELECT k, ln(((m + {SMOOTHING}) / (sum(m) OVER () + {SMOOTHING * BUCKETS})) / ((n + {SMOOTHING}) / (sum(n) OVER () + {SMOOTHING * BUCKETS}))) AS ratio FROM c
+), s AS (
+  SELECT doc_id, avg(ratio) AS llr FROM g JOIN r USING (k) GROUP BY doc_id
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(list_slice(w, i, i + 7), ' ')) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)) WHERE n > 1
+), inside AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM again) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), b AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(inside.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN inside USING (doc_id)
+)
+SELECT b.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce(llr, 0) >= {THRESHOLD} AS kept
+FROM b LEFT JOIN s USING (doc_id)
+"""

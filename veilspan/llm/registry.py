@@ -7,7 +7,7 @@ from .html_extract import op6_html_extraction
 from .mixing import OP9_SQL, op9_mixing
 from .pii import op5_pii
 from .pseudolikelihood import op10_lm_scoring
-from .quality_rules import op1_quality_rules
+from .quality_rules import OP1_SQL, op1_quality_rules
 from .rulefit import op2_quality_classifier
 from .simhash import op3_simhash_near_dedup
 from .sharding import OP4_SQL, op4_sharding
@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": OP4_SQL, "op7_suffix_dedup": OP7_SQL, "op8_decontamination": OP8_SQL, "op9_mixing": OP9_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op4_sharding": OP4_SQL, "op7_suffix_dedup": OP7_SQL, "op8_decontamination": OP8_SQL, "op9_mixing": OP9_SQL}
