@@ -36,7 +36,7 @@ LENGTH, GRAM = 50, 16
 LEFT = LENGTH - GRAM
 HASH_BITS = 48
 #: The most bytes of gram hashes in a broadcast, and spans to remove (16 bytes each) in another.
-FILTER_BYTES, SPAN_ROWS = 128 << 20, 2_000_000
+FILTER_BYTES, SPAN_ROWS = 64 << 20, 2_000_000
 FILTER_BLOCKS = 64
 #: Suffixes merged in one task, about; suffixes sorted into one run; and grams counted in one piece.
 MERGED, RUN, GRAMS_AT_ONCE = 60_000, 100_000, 1_000_000
