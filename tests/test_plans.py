@@ -2,7 +2,11 @@ import re
 
 import pytest
 
+from veilspan.operators import extract
 from veilspan.plans import catalog
+from veilspan.session import spread
+from veilspan.sources.blocks import whole_blocks
+from veilspan.sources.rules import ASCII_RULES
 
 DATA = "/root/testdata/sf0.001"
 
@@ -18,7 +22,7 @@ def test_scans_read_two_columns(spark, name):
 
 
 def test_scan_has_no_shuffle_and_no_python(spark):
-    text = plan(catalog.queries()["q01_span_scan"](spark, DATA))
+    text = plan(extract.scan(whole_blocks(spark.read.parquet(f"{DATA}/documents.parquet")), ASCII_RULES))
     assert "Exchange" not in text and not re.search("Python|Arrow|Pandas", text)
 
 
@@ -30,3 +34,8 @@ def test_no_query_runs_python_or_a_cartesian_product(spark, name):
 
 def test_folds_shuffle_once(spark):
     assert plan(catalog.queries()["q10_greedy_suppression"](spark, DATA)).count("Exchange hashpartitioning") == 1
+
+
+def test_only_small_tables_are_dealt_out(spark):
+    assert "RoundRobin" in plan(spread(spark.read.parquet(f"{DATA}/documents.parquet")))
+    assert "Exchange" not in plan(spread(spark.range(0, 100, 1, 64)))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import matches, overlap_ratio
+from ..functions.spans import matches, no_spans, overlap_ratio
 from ..functions.text import UUID_PATTERN, context_window, let, plain_spaces, system_parts, system_suffix
 from ..sources.data import language
 from ..sources.rules import Rule
@@ -36,7 +36,20 @@ def _found(text: Column, rule: Rule, place: int) -> Column:
             F.lit(float(rule.confidence)).alias("confidence"), F.lit(rule.method).alias("method"), F.lit(rule.description).alias("description"), (F.lit(place * _STRIDE) + i).alias("ord"),
         )
 
-    return F.transform(matches(text, rule.java()), struct)
+    found = matches(text, rule.java())
+    if rule.needs:
+        found = F.when(F.col(_need(rule.needs)), found).otherwise(no_spans())
+    return F.transform(found, struct)
+
+
+def _need(pattern: str) -> str:
+    return f"_need_{pattern}"
+
+
+def _texts(blocks: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
+    """Blocks with _text, and for each different need of the rules whether it is met; most texts meet few, and are passed over fast."""
+    rows = blocks.select("doc_id", "block_id", *keep, plain_spaces(F.col("text")).alias("_text"))
+    return rows.withColumns({_need(n): F.col("_text").rlike(n) for n in sorted({r.needs for r in rules if r.needs})})
 
 
 def scan(blocks: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
@@ -44,7 +57,7 @@ def scan(blocks: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()) ->
 
     Columns of `keep` go along. Without rules there are no detections.
     """
-    rows = blocks.select("doc_id", "block_id", *keep, plain_spaces(F.col("text")).alias("_text"))
+    rows = _texts(blocks, rules, keep)
     if not rules:
         none = "category string, original_value string, start int, end int, confidence double, method string, description string, ord int"
         return rows.where(F.lit(False)).select("doc_id", "block_id", *keep, *(F.lit(None).cast(t.split()[1]).alias(t.split()[0]) for t in none.split(", ")))
@@ -61,7 +74,7 @@ def with_context(detections: DataFrame, blocks: DataFrame, width: int = language
 
 def scan_with_context(blocks: DataFrame, rules: Sequence[Rule], words: dict[str, Sequence[str]], width: int = language.CONTEXT_WIDTH) -> DataFrame:
     """scan(), without matches of a category in `words` that have none of its words near them (in any case)."""
-    rows = blocks.select("doc_id", "block_id", plain_spaces(F.col("text")).alias("_text"))
+    rows = _texts(blocks, rules)
     parts = []
     for i, r in enumerate(rules):
         found = _found(F.col("_text"), r, i)

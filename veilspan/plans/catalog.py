@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import confidence as conf
 from ..functions import text as tx
 from ..operators import batching, combine, extract, intervals, reports, rewrite, strategies
-from ..session import table
+from ..session import spread, table
 from ..sources import blocks as bl
 from ..sources.rules import ASCII_RULES, Rule, as_table, typed_rules
 from .flows import analyse, anonymise
@@ -24,23 +24,23 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Rules whose matches overlap each other, for queries of resolution.
 OVERLAPPING = (
     *ASCII_RULES,
-    Rule("digits", r"\b[0-9][0-9 ()+-]{5,}[0-9]\b", "run of digits", 0.6, "custom_matcher"),
-    Rule("host", r"\b[a-z0-9]+\.example\.[a-z]+\b", "host name", 0.75, "phrase_matcher"),
-    Rule("octets", r"\b[0-9]{1,3}\.[0-9]{1,3}\b", "part of an address", 0.8, "spacy_ner"),
+    Rule("digits", r"\b[0-9][0-9 ()+-]{5,}[0-9]\b", "run of digits", 0.6, "custom_matcher", needs="[0-9]"),
+    Rule("host", r"\b[a-z0-9]+\.example\.[a-z]+\b", "host name", 0.75, "phrase_matcher", needs="example"),
+    Rule("octets", r"\b[0-9]{1,3}\.[0-9]{1,3}\b", "part of an address", 0.8, "spacy_ner", needs="[0-9]"),
 )
 BLOCK = ["doc_id", "block_id"]
-LANGUAGE = (Rule("card_number", r"\b[0-9]{16}\b", "card", 0.9, "phrase_matcher"),)
-POLICY = (Rule("insurance_policy", r"\b[0-9]{16}\b", "policy", 0.65), Rule("ip", ASCII_RULES[1].pattern, "address", 0.8))
+LANGUAGE = (Rule("card_number", r"\b[0-9]{16}\b", "card", 0.9, "phrase_matcher", needs="[0-9]"),)
+POLICY = (Rule("insurance_policy", r"\b[0-9]{16}\b", "policy", 0.65, needs="[0-9]"), Rule("ip", ASCII_RULES[1].pattern, "address", 0.8, needs="[0-9]"))
 PHRASES = ("the", "of the", "and", "this is")
 FIRST_WORDS = ("the", "of", "and")
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return bl.whole_blocks(table(spark, d, "documents"))
+    return bl.whole_blocks(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return bl.text_blocks(table(spark, d, "documents"))
+    return bl.text_blocks(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def _spans(spark: SparkSession, d: str, rules=ASCII_RULES) -> DataFrame:
@@ -217,7 +217,7 @@ def q22(spark, d):
 
 def q24(spark, d):
     url = Rule("website_url", r"https?://[A-Za-z0-9_.-]+\.[A-Za-z0-9_.-]+[/A-Za-z0-9_.~:?#@!$&'()*+,;=%-]*", "web address", 0.8)
-    pages = bl.whole_blocks(table(spark, d, "pages").select("page_id", F.concat_ws(" ", "url", "html").alias("text")), "page_id")
+    pages = bl.whole_blocks(spread(table(spark, d, "pages").select("page_id", F.concat_ws(" ", "url", "html").alias("text"))), "page_id")
     talk = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     found = extract.scan(pages, [url]).select(F.lit("pages").alias("table_name"), "doc_id", "original_value", "start")
     return found.unionByName(extract.scan(bl.whole_blocks(talk, "id"), ASCII_RULES).select(F.lit("conversations").alias("table_name"), "doc_id", "original_value", "start"))

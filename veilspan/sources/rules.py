@@ -31,6 +31,8 @@ class Rule:
     context_required: bool = True
     group: int = 0
     ignore_case: bool = False
+    #: A cheap pattern that a text must hold for the rule to match at all; empty if none is known.
+    needs: str = ""
 
     def java(self) -> str:
         """The pattern for Spark: Unicode classes, and no case where it is ignored."""
@@ -40,16 +42,20 @@ class Rule:
 
 #: Rules for texts in ASCII, which other engines match alike; used by the registered queries.
 ASCII_RULES = (
-    Rule("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "e-mail address", 0.98),
-    Rule("ip", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "IPv4 address", 0.8),
-    Rule("card_number", r"\b[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4}\b", "payment card, 16 digits", 0.9),
-    Rule("insurance_policy", r"\b[0-9]{16}\b", "insurance policy, 16 digits", 0.65),
-    Rule("phone", r"\+[0-9] \([0-9]{3}\) [0-9]{3}-[0-9]{4}\b", "telephone number", 0.7),
+    Rule("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "e-mail address", 0.98, needs="@"),
+    Rule("ip", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "IPv4 address", 0.8, needs="[0-9]"),
+    Rule("card_number", r"\b[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4}\b", "payment card, 16 digits", 0.9, needs="[0-9]"),
+    Rule("insurance_policy", r"\b[0-9]{16}\b", "insurance policy, 16 digits", 0.65, needs="[0-9]"),
+    Rule("phone", r"\+[0-9] \([0-9]{3}\) [0-9]{3}-[0-9]{4}\b", "telephone number", 0.7, needs="[0-9]"),
 )
 
 
+#: Categories of structured rules that can't match without a digit.
+_NUMERIC = frozenset("phone passport inn snils bank_account card_number ogrn ogrnip kpp bik date_birth driver_license foreign_passport military_id insurance_policy car_number coordinates".split())
+
+
 def structured_rules() -> list[Rule]:
-    return [Rule(c.lower(), p, d, f) for c, p, d, f in structured.RULES]
+    return [Rule(c.lower(), p, d, f, needs="[0-9]" if c.lower() in _NUMERIC else "@" if c.lower() == "email" else "") for c, p, d, f in structured.RULES]
 
 
 def repaired_line(line: str) -> tuple[str, str, str, str]:
@@ -167,7 +173,7 @@ def toggled(rules: Iterable[Rule], enabled: bool, *categories: str) -> list[Rule
 
 def as_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
     """One row a rule, with its place as ord."""
-    schema = "ord int, category string, pattern string, description string, confidence double, method string, kind string, priority int, enabled boolean, context_required boolean, `group` int, ignore_case boolean"
+    schema = "ord int, category string, pattern string, description string, confidence double, method string, kind string, priority int, enabled boolean, context_required boolean, `group` int, ignore_case boolean, needs string"
     return spark.createDataFrame([(i, *asdict(r).values()) for i, r in enumerate(rules)], schema)
 
 
