@@ -112,3 +112,36 @@ def test_verification_drops_what_only_looks_alike(spark):
 
 def test_empty_input(spark, docs):
     assert simhash_wide.one_of_each(docs.limit(0)).count() == 0
+
+
+def near_components(texts):
+    """The smallest id of each text's component, by the Jaccard similarity of all pairs."""
+    parent = {i: i for i in texts}
+    sets = {i: set(simhash.shingles(t.lower().encode(), 5)) for i, t in texts.items()}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in texts:
+        for j in texts:
+            if j < i and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in texts}
+
+
+def test_no_pair_at_the_limit_is_missed(spark):
+    rng = random.Random(11)
+    texts = {}
+    for k in range(80):  # isolated pairs: shared words, then others, so that 0.8 is just reached or just missed
+        n = rng.randint(40, 200)
+        shared = [f"k{k}w{rng.randrange(10**6)}" for _ in range(n)]
+        own = (n - 4) // 8 + k % 3 - 1
+        for side in "ab":
+            texts[len(texts)] = " ".join(shared + [f"{side}{k}x{i}" for i in range(own)])
+    want = near_components(texts)
+    assert 20 < len(texts) - len(set(want.values())) < 80
+    got = simhash_wide.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
