@@ -145,3 +145,23 @@ def test_no_pair_at_the_limit_is_missed(spark):
     assert 20 < len(texts) - len(set(want.values())) < 80
     got = simhash_wide.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
     assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("hot", [32, 2, 0])
+def test_long_lists_lose_no_pair(spark, hot):
+    rng = random.Random(12)
+    common = [f"common{i}" for i in range(60)]
+    texts = {}
+    for g in range(20):  # groups that share a passage, too little to join them, each with copies changed in other places
+        base = common + [f"g{g}w{i}" for i in range(30 + g)]
+        for _ in range(4):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+            texts[len(texts)] = " ".join(w)
+    for _ in range(30):  # passage and a little more
+        texts[len(texts)] = " ".join(common + [f"m{rng.randrange(10**6)}" for _ in range(rng.randint(1, 12))])
+    want = near_components(texts)
+    assert 20 < len(set(want.values())) < len(texts)
+    got = simhash_wide.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), hot=hot)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
