@@ -97,3 +97,19 @@ def test_clashing_columns(spark, docs):
     odd = docs.withColumns({"score": F.lit("x"), "n_words": F.lit(1), "_f_n_words": F.lit(2.0)}).drop("_f_n_words")
     model = rulefit.Model(0.0, ())
     assert rulefit.classify(odd, model, ["doc_id", "n_words"]).columns == ["doc_id", "n_words", "score", "predicted"]
+
+
+def test_every_trusted_document_counts(spark, monkeypatch):
+    n = 20_050
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality")
+    assert quality_rules.trusted_ids(labels).count() == n
+    docs = spark.range(2 * n).selectExpr("id AS doc_id", "concat('text number ', id) AS text")
+    want = np.zeros((2, quality_rules.BUCKETS))
+    for i in range(2 * n):
+        b = quality_rules.gram_buckets(np.frombuffer(f"text number {i}".encode(), np.uint8))
+        for row in range(1 + (i < n)):
+            np.add.at(want[row], b, 1)
+    shares = (want + quality_rules.SMOOTHING) / (want + quality_rules.SMOOTHING).sum(1, keepdims=True)
+    for bound in (n, 0):  # broadcast, shuffled
+        monkeypatch.setattr(quality_rules, "BROADCAST_IDS", bound)
+        assert np.allclose(quality_rules.log_ratios(docs, quality_rules.trusted_ids(labels)), np.log(shares[1] / shares[0]))

@@ -4,8 +4,8 @@ Two multinomials over BUCKETS hashed byte n-grams are counted: one over all docu
 document's score is the mean, over its n-grams, of the log ratio of the two; it is kept if the score reaches a fixed
 threshold. Nothing is drawn at random: every document gets its verdict from its own text and the two tables.
 
-Trusted are the documents whose labels all say quality 1; of their ids, the TRUSTED_IDS with the smallest hashes are taken,
-so that the list can be broadcast. The raw multinomial counts every document.
+Trusted are all documents whose labels all say quality 1. Their ids are broadcast up to BROADCAST_IDS; beyond, the join shuffles. The raw
+multinomial counts every document.
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .common import written
 
 GRAM, BUCKET_BITS = 4, 16
 BUCKETS = 1 << BUCKET_BITS
-#: The most trusted documents; 8 bytes each in a broadcast.
-TRUSTED_IDS = 20_000
+#: Trusted ids are broadcast up to this number (8 bytes each); beyond, the join shuffles.
+BROADCAST_IDS = 500_000
 #: The least mean log ratio (natural logarithm) of a kept document.
 THRESHOLD = -0.3
 #: Added to each bucket's count in both tables.
@@ -74,9 +75,9 @@ def _added(parts: pa.Table) -> pa.Table:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """id: documents that all their labels call good, at most TRUSTED_IDS of them."""
+    """id: documents that all their labels call good."""
     good = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).where("q = 1")
-    return good.select("id").orderBy(F.xxhash64("id"), "id").limit(TRUSTED_IDS)
+    return good.select("id")
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
@@ -85,7 +86,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     Each task sends BLOCKS arrays of counts; the driver gets their sums, BUCKETS * 16 bytes. Without any n-gram in one of the
     tables all ratios are 0.
     """
-    flags = F.broadcast(trusted.select(F.col("id").alias("_id"), F.lit(True).alias("trusted")))
+    flags = written(trusted.select(F.col("id").alias("_id"), F.lit(True).alias("trusted")), "quality-trusted")
+    flags = F.broadcast(flags) if flags.count() <= BROADCAST_IDS else flags
     rows = docs.select("doc_id", "text").join(flags, F.col("doc_id") == F.col("_id"), "left").select("text", "trusted")
     parts = rows.mapInArrow(_counted, "block int, counts binary").groupBy("block").applyInArrow(_added, "block int, counts binary").collect()
     counts = np.zeros((2, BUCKETS))
@@ -147,7 +149,7 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judge(docs.select("doc_id", "text"), labels.select("doc_id", "quality")).drop("llr")
 
 
-#: The same for up to TRUSTED_IDS trusted documents (beyond, the order of hashes decides, which DuckDB doesn't have).
+#: The same.
 OP1_SQL = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, hex(encode(coalesce(text, ''))) AS h FROM documents
