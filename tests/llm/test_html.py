@@ -45,3 +45,18 @@ def test_odd_rows(spark):
 
 def test_host():
     assert hx.host_of("https://u:p@Www.A.example:80/x?y") == "www.a.example" and hx.host_of("a/b") == "" and hx.host_of(None) == ""
+
+
+def test_marks_do_not_drop_the_article():
+    inner = "<p>Long text</p><div class='ad'>buy</div>"
+    for page in (
+        f"<html class='no-cookie'><body class='has-sidebar'><article>{inner}</article></body></html>",
+        f"<body><main class='with-sidebar'>{inner}</main></body>",
+        f"<body><article class='ad-free'>{inner}</article></body>",
+        f"<body><div class='with-sidebar'><div><article>{inner}</article></div><p>beside</p></div></body>",
+        f"<body><article>{inner}</article><div class='related'><article><p>other</p></article></div></body>",
+        f"<body><div class='layout-sidebar'><div role='main' class='main'>{inner}</div></div></body>",
+    ):
+        assert hx.main_text(page, frozenset(), "") == "Long text"
+    page = "<body class='has-sidebar'><div class=content><p>text</p></div><div class='sidebar'><p>no</p></div></body>"
+    assert hx.main_text(page, frozenset(), "/body.has.sidebar/div.content") == "text"

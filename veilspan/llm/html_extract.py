@@ -6,7 +6,8 @@ equivalence class. A class is valid if it stands on SUPPORT pages at least and h
 nest in: the classes nest by the paths of their tokens, under the class of the page itself, and these make up the template. Text
 blocks of the page's class are part of the template; what remains are slots, known by their path. Of these the main text takes
 those of the article: slots inside an article (or main) element, else in the container that holds most text on the host's pages;
-never slots whose path says that they are menus, headers, footers, sidebars, notices, adverts, forms or comments.
+never slots whose path says that they are menus, headers, footers, sidebars, notices, adverts, forms or comments. Marks of html,
+body, main and article say nothing, nor those of elements around the article where a page has no article without such marks around.
 
 Vectors are compared by hash: the exclusive or, over pages, of a hash of page and count, so that no host's pages meet in one task;
 counts are summed beside it. Hosts' decisions are broadcast up to BROADCAST_HOSTS.
@@ -41,6 +42,8 @@ MARKERS = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies footer login menu modal nav navbar navigation newsletter "
     "notice pagination popup promo recommended related reply replies search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Elements that marks don't drop.
+FRAMES = frozenset("html body main article".split())
 #: A start of one of these ends an open element of the set.
 ENDS = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 _PIECE = re.compile(
@@ -78,15 +81,19 @@ def blocks(page: str) -> tuple[list[Block], Counter]:
     """The text blocks of a page in order, and how often each element path opens."""
     out: list[Block] = []
     opened: Counter = Counter()
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    # name, path, dropped, marked outside of any article, article
+    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
+    around: list[Block] = []
     parts: list[str] = []
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            _, path, dropped, article = stack[-1]
-            out.append(Block(text, path, dropped, article))
+            _, path, dropped, outside, article = stack[-1]
+            out.append(Block(text, path, dropped or outside, article))
+            if outside and article and not dropped:
+                around.append(out[-1])
 
     at = 0
     for m in _PIECE.finditer(page):
@@ -111,16 +118,22 @@ def blocks(page: str) -> tuple[list[Block], Counter]:
         while len(stack) > 1 and name in ENDS.get(stack[-1][0], ()):
             stack.pop()
         marks, marked = _marked(m[4]) if "=" in m[4] else ("", False)
-        _, path, dropped, article = stack[-1]
+        _, path, dropped, outside, inside = stack[-1]
         path = f"{path}/{name}.{marks}" if marks else f"{path}/{name}"
-        article = article or name in ("article", "main") or "main" in marks.split(".") and "role" in m[4].lower()
-        dropped = dropped or marked or name in DROPPED or (name == "header" and not article)
+        core = name in ("article", "main") or "main" in marks.split(".") and "role" in m[4].lower()
+        article = inside or core
+        marked = marked and not core and name not in FRAMES
+        dropped = dropped or (marked and inside) or name in DROPPED or (name == "header" and not article)
+        outside = outside or (marked and not inside)
         opened[path] += 1
         if name not in VOID:
-            stack.append((name, path, dropped, article))
+            stack.append((name, path, dropped, outside, article))
     if at < len(page):
         parts.append(page[at:])
     flush()
+    if not any(b.article and not b.dropped for b in out):
+        for b in around:
+            b.dropped = False
     return out, opened
 
 
