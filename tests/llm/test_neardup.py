@@ -165,3 +165,10 @@ def test_long_lists_lose_no_pair(spark, hot):
     assert 20 < len(set(want.values())) < len(texts)
     got = simhash_wide.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), hot=hot)
     assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+def test_rows_that_share_an_id_lose_no_group(spark):
+    long_ = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(5, long_[0]), (5, long_[1]), (3, long_[1]), (9, long_[0]), (None, long_[2]), (None, long_[2]), (7, None), (2, ""), (7, None), (4, long_[2] + " x"), (4, long_[2] + " x")]
+    kept = simhash_wide.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(5, long_[0]), (3, long_[1]), (4, long_[2] + " x"), (2, "")], key=repr)

@@ -44,6 +44,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """From now on a batch that goes to Python has 4 MB of columns (or one row), whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
