@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from veilspan.llm import mixing
 
@@ -30,16 +31,23 @@ def test_targets_equal_plain_version(spark, sizes):
 
 
 def test_mix_meets_targets(spark, docs):
-    rows = mixing.mix(docs).collect()
+    rows = mixing.mix(docs, ["doc_id", "source"]).collect()
     sizes = {}
     for r in rows:
-        sizes[r.source] = sizes.get(r.source, 0) + r._size
+        sizes[r.row.source] = sizes.get(r.row.source, 0) + r["size"]
     want = targets(sizes)
     for s in sizes:
-        mine = [r for r in rows if r.source == s]
-        assert sum(r._taken for r in mine) == pytest.approx(want[s], abs=1)
-        assert all(0 <= r._taken <= 3 * r._size and r._source_size == sizes[s] for r in mine)
-        assert all((r._first_slot is not None) == (r._taken > 0) for r in mine)
+        mine = [r for r in rows if r.row.source == s]
+        assert sum(r.taken for r in mine) == pytest.approx(want[s], abs=1)
+        assert all(0 <= r.taken <= 3 * r["size"] and r.source_size == sizes[s] for r in mine)
+        assert all(bool(r.slots) == (r.taken > 0) for r in mine)
+
+
+def test_without_a_slot_nothing_is_taken(spark, docs, monkeypatch):
+    whole = mixing.blocks
+    monkeypatch.setattr(mixing, "blocks", lambda *a: whole(*a).where("block % 2 = 0"))
+    half = mixing.mix(docs, ["source"]).groupBy("row.source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).where("target > 100").collect()
+    assert half and all(0.3 * r.target < r.taken < 0.7 * r.target for r in half)
 
 
 def test_schedule_is_even_at_every_length(spark):

@@ -1,3 +1,12 @@
+import hashlib
+import math
+import re
+from collections import Counter
+from itertools import groupby
+
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 
 from veilspan.llm import decontam, mixing, rulefit
@@ -17,14 +26,67 @@ def test_stages_chain(spark, folder, tmp_path):
     want = rulefit.classify(before, model, ["doc_id", "text"]).where("predicted = 1")
     assert sorted(map(repr, after.select("doc_id", "text").collect())) == sorted(map(repr, want.select("doc_id", "text").collect()))
     before, after = out["benchmark_decontamination"]
-    hits = decontam.contamination(before, spark.read.parquet(f"{folder}/benchmark.parquet")).where("_n_hit > 0")
+    hits = decontam.contamination(before, spark.read.parquet(f"{folder}/benchmark.parquet"), ["doc_id"]).where("n_hit > 0")
     assert hits.count() > 0 and after.count() == before.count() - hits.count()
     before, after = out["mixing"]
     words = lambda df: sum(len((r.text or "").split()) for r in df.collect())
     assert abs(words(after) - words(before)) <= 0.5 * max(len((r.text or "").split()) for r in before.collect()) * 4
     assert max(r["count"] for r in after.groupBy("doc_id", "text").count().collect()) <= mixing.MOST_TIMES
     before, after = out["sharding"]
-    assert after.count() == before.count() and after.columns == ["doc_id", "size", "text_crc32", "shard", "slot"]
+    assert after.count() == before.count() and after.columns == [*columns, "size", "text_crc32", "shard", "slot"]
+
+
+CLASHES = "score predicted c0 _c0 row _row key _key _order order range place size _size shard slot text_crc32 group_key n_hit items t _t fp shingles _id _hash block taken target source_size _f_n_words _s_n_words capacity".split()
+
+
+@pytest.mark.parametrize("name, stage", cp.STAGES)
+def test_columns_may_have_any_names(spark, folder, name, stage):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = docs.withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in CLASHES})
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    want, got = stage(spark, docs, folder), stage(spark, odd, folder)
+    assert got.columns == (odd.columns if name != "sharding" else [c for c in odd.columns if c not in ("size", "text_crc32", "shard", "slot")] + ["size", "text_crc32", "shard", "slot"])
+    kept = [c for c in CLASHES if name != "sharding" or c not in ("size", "text_crc32", "shard", "slot")]
+    rows = got.collect()
+    assert all(r[c] == f"{c}:{'-' if r.doc_id is None else r.doc_id}" for r in rows for c in kept)
+    assert sorted(repr([r[c] for c in columns]) for r in rows) == sorted(repr([r[c] for c in columns]) for r in want.collect())
+
+
+def plain_words(text):
+    return [w for w in re.split("[ \t-\r]+", text or "") if w]
+
+
+def test_mixing_follows_the_schedule(spark, folder):
+    """A plain walk over the schedule: each slot's block of its source's line, and copies in the order of the slots they begin in."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = docs.collect()
+    sizes = docs.select("source", F.size(F.expr("filter(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '')")).cast("long").alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
+    plan = sorted(mixing.blocks(mixing.source_targets(sizes)).collect(), key=lambda r: r.slot)
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    lines = {}
+    for i, r in enumerate(rows):
+        key = "~" if r.source is None else f"={r.source}"
+        lines.setdefault(key, []).append((md5(f"{'' if r.doc_id is None else r.doc_id}:{md5(r.text or '')}"), len(plain_words(r.text)), i))
+    taken, begun, out = Counter(), Counter(), []
+    for key, line in lines.items():
+        line = sorted(line)
+        tokens = [(i, k) for _, n, i in line for k in range(n)]
+        for b in (b for b in plan if b.key == key):
+            for at in range(b.begin, b.end):
+                i, k = tokens[at % len(tokens)]
+                taken[i] += 1
+                if k == 0:
+                    begun[i] += 1
+                    out.append((b.slot, i, begun[i]))
+    times = {i: math.floor(taken[i] / len(plain_words(rows[i].text)) + 0.5) for i in taken}
+    want = [(slot, repr(rows[i])) for slot, i, turn in sorted(out) if turn <= times[i]]
+    mixed = [repr(r) for r in cp.mix_sources(spark, docs, folder).collect()]
+    assert len(mixed) == len(want)
+    for _, group in groupby(want, lambda x: x[0]):  # documents may begin in one slot
+        here = [r for _, r in group]
+        assert sorted(mixed[: len(here)]) == sorted(here)
+        mixed = mixed[len(here) :]
+    assert {(r.row.doc_id, r.taken) for r in mixing.mix(docs, ["doc_id"]).collect()} == {(rows[i].doc_id, taken[i]) for i in range(len(rows))}
 
 
 def test_run(spark, folder, nothing):

@@ -1,9 +1,13 @@
+import random
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from veilspan.llm import registry
 
 DATA = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def plain(v):
@@ -54,3 +58,65 @@ def test_reruns_agree(spark, folder, name):
     if name in ("op4_sharding", "op9_mixing"):  # rows with equal ids may change places
         runs = [len(r) for r in runs]
     assert runs[0] == runs[1]
+
+
+CLASHES = "score predicted row _row key _key order _order range place size _size t fp shingles _id _hash block piece grams mark _text n_words _n_words base spans found every vector host token slots owed trusted bucket llr ids batch".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, folder, tmp_path_factory):
+    """The tables of folder, with more columns that are named like the operators' own."""
+    out = str(tmp_path_factory.mktemp("clash"))
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{t}.parquet").withColumns({c: F.lit(f"{c}?") for c in CLASHES}).write.parquet(f"{out}/{t}.parquet")
+    spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumns({c: F.lit(f"{c}?") for c in CLASHES}).write.parquet(f"{out}/pages.parquet")
+    return out
+
+
+PAGES = [(i, f"http://a.example/{i}", f"<body><div class=top>site</div><article><p>text {i}</p></article></body>") for i in range(6)]
+
+
+@pytest.mark.parametrize("name", registry.queries())
+def test_clashing_columns_change_nothing(spark, folder, clashing, tmp_path, name):
+    if name == "op6_html_extraction":
+        spark.createDataFrame(PAGES, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+        folder = str(tmp_path)
+    want, got = (registry.queries()[name](spark, f) for f in (folder, clashing))
+    assert got.columns == want.columns
+    same = [c for c in want.columns if c not in ("slot",)]  # rows with equal ids may change places
+    assert sorted(map(repr, got.select(*same).collect())) == sorted(map(repr, want.select(*same).collect()))
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark, tmp_path_factory):
+    """A text of 120,000 words, one that shares half of it, one of a single word of 400,000 letters, and ordinary ones."""
+    path, rng = str(tmp_path_factory.mktemp("long")), random.Random(2)
+    words = [f"w{rng.randrange(20000)}" for _ in range(120_000)]
+    texts = [" ".join(words), " ".join(words[60_000:]) + " end a@b.com", "x" * 400_000, "one two three", " ".join(words[:30])]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(words[70_000:70_020])), (2, " ".join(words[:4000]))], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(1, "http://a.example", f"<body><article>{'<p>line of text</p>' * 20000}</article></body>")], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", registry.queries())
+def test_very_long_texts(spark, long_texts, name):
+    rows = registry.queries()[name](spark, long_texts).collect()
+    if name == "op6_html_extraction":
+        assert [r.n_chars for r in rows] == [20000 * 13 - 1]
+        return
+    got = {r.doc_id: r for r in rows}
+    assert set(got) == set(range(5)) and len(rows) == 5
+    if name == "op1_quality_rules":
+        assert [got[i].n_words for i in range(5)] == [120_000, 60_002, 1, 3, 30]
+    if name == "op7_suffix_dedup":
+        assert got[1].n_removed > 0.99 * (got[1].n_bytes - 12) and got[4].n_removed == got[4].n_bytes and got[2].n_removed == 0
+    if name == "op8_decontamination":
+        assert [got[i].n_hit for i in range(5)] == [4020, 20, 0, 0, 30]
+    if name == "op9_mixing":
+        assert sum(r.taken for r in rows) == sum(r["size"] for r in rows)
+    if name == "op10_lm_scoring":
+        assert [got[i].n_tokens for i in range(5)] == [120_000, 60_002, 1, 3, 30]
+    if name == "op5_pii":
+        assert got[1].n_email == 1

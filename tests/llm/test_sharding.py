@@ -38,7 +38,7 @@ def test_plan_equals_plain_version(spark, docs, rows, shards):
             shard, left = shard + 1, c
         left -= sum(groups[k])
         want[k] = shard
-    mine = sorted((r.doc_id if r.doc_id is not None else -1, r.size, r.text_crc32, r.shard) for r in got)
+    mine = sorted((r.row.doc_id if r.row.doc_id is not None else -1, r.size, r.text_crc32, r.shard) for r in got)
     assert mine == sorted((r[0] if r[0] is not None else -1, len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode()), want[hashlib.md5((r[1] or "").encode()).hexdigest()]) for r in rows)
     for s in {r.shard for r in got}:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
@@ -64,4 +64,4 @@ def test_refinement_finds_the_exact_cuts(spark, monkeypatch):
 def test_more_shards_than_groups(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "doc_id long, text string")
     got = sharding.assign_shards(df).collect()
-    assert len({r.shard for r in got if r.doc_id < 3}) == 1 and {r.size for r in got} == {1, 2}
+    assert len({r.shard for r in got if r.row.doc_id < 3}) == 1 and {r.size for r in got} == {1, 2}

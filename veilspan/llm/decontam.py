@@ -59,29 +59,24 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _windows(words: Column, lengths: list[int], prints: Column | None = None) -> Column:
-    """Structs of start, length, fingerprint and the window's words; only those with a fingerprint among prints, if given."""
+def _starts(words: Column, lengths: list[int]) -> Column:
+    """Structs of start, len and print of all windows of these lengths."""
 
     def of_length(n: int):
-        def started(x: Column, i: Column) -> Column:
-            return F.struct(i.alias("start"), x.alias("print"))
+        return lambda p: F.transform(p, lambda x, i: F.struct(i.alias("start"), F.lit(n).alias("len"), x.alias("print")))
 
-        def window(s: Column) -> Column:
-            return F.struct(s["start"].alias("start"), F.lit(n).alias("len"), s["print"].alias("print"), F.array_join(F.slice(words, s["start"] + 1, F.lit(n)), " ").alias("window"))
-
-        def all_(p: Column) -> Column:
-            starts = F.transform(p, started)
-            return F.transform(starts if prints is None else F.filter(starts, lambda s: F.array_contains(prints, s["print"])), window)
+    return _let(_hashes(words), lambda h: F.concat(*(_let(p, of_length(n)) for n, p in _fingerprints(h, lengths).items())))
 
-        return all_
 
-    return _let(_hashes(words), lambda h: F.concat(*(_let(p, of_length(n)) for n, p in _fingerprints(h, lengths).items())))
+def _with_words(words: Column, starts: Column) -> Column:
+    """starts with the window's words."""
+    return F.transform(starts, lambda s: F.struct(s["start"].alias("start"), s["len"].alias("len"), s["print"].alias("print"), F.array_join(F.slice(words, s["start"] + 1, s["len"]), " ").alias("window")))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """print, len, window, items: each distinct window of the benchmark and the ids of the items that hold it."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), _words(text_of(benchmark)).alias("words")).where(F.size("words") > 0)
-    long_ = items.where(F.size("words") >= WINDOW).select("item", F.explode(_windows(F.col("words"), [WINDOW])).alias("w"))
+    long_ = items.where(F.size("words") >= WINDOW).select("item", F.explode(_with_words(F.col("words"), _starts(F.col("words"), [WINDOW]))).alias("w"))
     short = items.where(F.size("words") < WINDOW)
     short = short.select(
         "item",
@@ -103,34 +98,38 @@ def _short_print(words: Column) -> Column:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
     """Each row of docs with the words that a window of the benchmark covers.
 
-    Returns all columns of docs, and _n_words, _n_hit, _items (ids of items with a window in the text, as sorted strings).
+    Returns row (a struct of the columns in keep), n_words, n_hit, items (ids of items with a window in the text, as sorted strings).
     A null or empty text has no words and no hit; an item without words is never found; repeated items and null item ids (as
     the empty text) count once. Equal texts get equal results; the order of rows doesn't matter. Empty tables give no rows, or
-    no hits. Other columns pass unread; those named like the results are replaced.
+    no hits. Columns may have any names. Very long texts are worked on whole: windows are exploded without their text.
     """
     table = written(benchmark_windows(benchmark), "decontam-windows")
     lengths = sorted(r.len for r in table.select("len").distinct().collect())  # at most WINDOW values
-    docs = docs.drop("_n_words", "_n_hit", "_items", "_key").withColumn("_key", F.md5(text_of(docs)))
-    n_words = F.size(split_words(text_of(docs), ANY_CASE_GAPS)).cast("long")
+    n_words = F.size(split_words(text_of(docs), ANY_CASE_GAPS)).cast("long").alias("n_words")
+    rows = docs.select(F.struct(*(docs[c] for c in keep)).alias("row"), F.md5(text_of(docs)).alias("_key"), n_words)
     none = F.array().cast("array<string>")
     if not lengths:
-        return docs.withColumns({"_n_words": n_words, "_n_hit": F.lit(0).cast("long"), "_items": none}).drop("_key")
+        return rows.select("row", "n_words", F.lit(0).cast("long").alias("n_hit"), none.alias("items"))
     prints = table.select("print").distinct()
     if prints.count() <= BROADCAST_PRINTS:
         prints = F.broadcast(prints)
 
-    texts = docs.select("_key", text_of(docs).alias("_text"))
+    texts = docs.select(F.md5(text_of(docs)).alias("_key"), text_of(docs).alias("_text"))
     every = _let(_hashes(_words(F.col("_text"))), lambda h: F.array_distinct(F.concat(*_fingerprints(h, lengths).values())))
     found = texts.select("_key", F.explode(every).alias("print")).join(prints, "print", "left_semi").groupBy("_key").agg(F.collect_set("print").alias("_prints"))
     found = written(found, "decontam-found")
 
     keys = found.select("_key")
     texts = texts.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "_key", "left_semi")
-    hit = texts.join(found, "_key").groupBy("_key").agg(F.first("_text").alias("_text"), F.first("_prints").alias("_prints"))
-    hit = hit.select("_key", F.explode(_let(_words(F.col("_text")), lambda w: _windows(w, lengths, F.col("_prints")))).alias("w")).select("_key", "w.*")
+    texts = written(texts.groupBy("_key").agg(F.first("_text").alias("_text")), "decontam-texts")  # a task sends a text once, however often it has it
+    starts = texts.select("_key", F.explode(_let(_words(F.col("_text")), lambda w: _starts(w, lengths))).alias("s")).select("_key", "s.*")
+    starts = starts.join(found.select("_key", F.explode("_prints").alias("print")), ["_key", "print"], "left_semi")
+    starts = starts.groupBy("_key").agg(F.collect_list(F.struct("start", "len", "print")).alias("_starts"))
+    hit = texts.join(starts, "_key")
+    hit = hit.select("_key", F.explode(_let(_words(F.col("_text")), lambda w: _with_words(w, F.col("_starts")))).alias("w")).select("_key", "w.*")
     hit = hit.join(table, ["print", "len", "window"])
     hit = hit.groupBy("_key").agg(
         F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("len")).alias("end")))).alias("spans"),
@@ -143,21 +142,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         lambda a: a["n"],
     )
     hit = written(hit.select("_key", covered.cast("long").alias("_n_hit"), "_items"), "decontam-hits")
-    out = docs.withColumn("_n_words", n_words).join(hit, "_key", "left")
-    return out.withColumns({"_n_hit": F.coalesce("_n_hit", F.lit(0).cast("long")), "_items": F.coalesce("_items", none)}).drop("_key")
+    out = rows.join(hit, "_key", "left")
+    return out.select("row", "n_words", F.coalesce("_n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("_items", none).alias("items"))
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
     """The digest of contamination() of all documents by all items."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    out = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["doc_id"])
     return out.select(
-        "doc_id",
-        F.col("_n_words").alias("n_words"),
-        F.col("_n_hit").alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
-        (F.col("_n_hit") > 0).alias("contaminated"),
+        "row.doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 

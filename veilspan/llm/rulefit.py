@@ -131,11 +131,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def classify(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
-    """The columns of carry, score (0 to 1) and predicted (1 if score >= ACCEPT) of each row of docs."""
-    scored = with_features(docs.drop("score", "predicted"), carry).withColumn("score", model.column())
+    """The columns of carry (not named score or predicted), score (0 to 1) and predicted (1 if score >= ACCEPT) of each row of docs."""
+    scored = with_features(docs, carry).withColumn("score", model.column())
     return scored.select(*carry, "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that are predicted 1, in docs' columns, whatever their names."""
+    names = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    kept = classify(docs.toDF(*names), model, names).where("predicted = 1").select(*names)
+    return kept.toDF(*docs.columns)
+
+
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model learnt from the labels that aren't held out.
 

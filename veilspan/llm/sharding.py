@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import digits_of, text_of, written
+from .common import text_of, written
 
 #: Hex digits of the first summing, of each later one, and of a whole key.
 FIRST, STEP, WHOLE = 3, 2, 32
@@ -120,33 +120,42 @@ def shard_of(key: Column, ends: list[str]) -> Column:
     return sum(((key > F.lit(e)).cast("int") for e in ends), F.lit(0))
 
 
-def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
+def _order(docs: DataFrame) -> Column:
+    """A uniform, reproducible order of rows, by id and text, so that rows without ids are dealt out too."""
+    return F.md5(F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit(":"), F.md5(text_of(docs))))
+
+
+def assign_shards(docs: DataFrame, shards: int = 8, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Each row of docs (doc_id, text) with its shard and slot.
 
-    Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, shard, slot, capacity. A null text counts as the empty one; a
-    null doc_id is ordered as the empty text. Repeated rows are told apart by nothing, so they take neighbouring slots in
-    any order. An empty table gives no rows. Fewer groups than shards leave shards empty. Other columns are not read.
+    Returns row (a struct of the columns in keep), size (UTF-8 bytes plus 1), text_crc32, shard, slot, capacity. A null text counts as the
+    empty one; a null doc_id is ordered as the empty text. Repeated rows are told apart by nothing, so they take neighbouring slots in
+    any order. An empty table gives no rows. Fewer groups than shards leave shards empty. Columns may have any names.
     """
     text = text_of(docs)
-    rows = written(
-        docs.select(
-            "doc_id",
-            (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.md5(text).alias("group_key"),
-        ),
-        "shard-rows",
-    )
-    ends, capacity = cuts(rows, shards)
-    rows = rows.withColumn("shard", shard_of(F.col("group_key"), ends)).withColumn("_order", digits_of(F.col("doc_id"))).drop("group_key")
-    rows = ranked(rows, ["shard"], ["doc_id", "text_crc32", "size"], "_order", "slot")
-    return rows.select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(capacity).cast("long").alias("capacity"))
+    size, crc = (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    groups = written(docs.select(F.md5(text).alias("group_key"), size), "shard-groups")
+    ends, capacity = cuts(groups, shards)
+    row = F.struct(*(docs[c] for c in keep)).alias("row")
+    rows = docs.select(row, size, crc, shard_of(F.md5(text), ends).cast("int").alias("shard"), _order(docs).alias("order"))
+    rows = ranked(rows, ["shard"], ["text_crc32", "size"], "order", "slot")
+    return rows.select("row", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"), F.lit(capacity).cast("long").alias("capacity"))
+
+
+def dealt(docs: DataFrame, shards: int = 8) -> DataFrame:
+    """docs with size, text_crc32, shard and slot of assign_shards(); columns of docs that have these names are replaced.
+
+    Rows lie by shard and slot where the ranking left them, in ranges of their order; nothing else is shuffled.
+    """
+    made = ("size", "text_crc32", "shard", "slot")
+    keep = tuple(c for c in docs.columns if c.lower() not in made)
+    return assign_shards(docs, shards, keep).select("row.*", *made)
 
 
 def op4_sharding(spark, sf_dir: str) -> DataFrame:
     """The digest of assign_shards() over all documents, under the law `bytes`."""
     out = assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("row.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 #: For every capacity from the mean to the mean and the largest group, eight greedy steps; the smallest that ends is taken.
@@ -181,7 +190,7 @@ WITH docs AS (
   SELECT t, xor(list_reduce(b, lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384 ELSE 0 END)), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) AS crc FROM bytes
 )
 SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard,
-  CAST(row_number() OVER (PARTITION BY shard ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, crc, size) - 1 AS BIGINT) AS slot,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || k), crc, size) - 1 AS BIGINT) AS slot,
   CAST(NULL AS INTEGER) AS grown_shard
 FROM put JOIN crcs USING (t)
 """
