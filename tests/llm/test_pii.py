@@ -56,21 +56,71 @@ def test_base_spans_stay_and_added_ones_are_apart(found):
             assert not any(x < b and a < y for q in mine if q != (k, a, b) for _, x, y in [q])
 
 
-def test_what_the_base_runs_into_is_added(spark):
+#: Texts labelled by hand: what is between double brackets is personal data or a secret, whatever the kind.
+LABELLED = (
+    "Please write to [[anna.keller@posteo.de]] or call [[+49 30 901820-0]] before noon.",
+    "The server at [[192.168.17.4]] was rebooted; see release 10.2.1.4 for the fix.",
+    "My card [[4111 1111 1111 1111]] was charged twice. Order 4111111111111112 is open.",
+    "reach me: [[j.doe (at) example.org]], mobile [[(415) 555-2671]]",
+    "export API_KEY=[[sk1live9f8e7d6c5b4a39281706f5e4d3c2b1]] # rotate",
+    "commit 9fceb02d0ae598e95dc970b74767f19372d61af8 fixes the build",
+    "Unser Büro: Tel. [[+43 1 58858 0123]], Fax auf Anfrage; [[office@kanzlei-moser.at]]",
+    "ISBN 9783161484100 is out of print, as is section 3.2.1.7 of the manual",
+    "login from [[85.214.132.117]] with password: [[Tr0ub4dor3correcthorsebattery9]]",
+    "La tarjeta [[5500-0000-0000-0004]] caduca en mayo. Version 2.0.14.3 instalada.",
+    "Amex [[378282246310005]] declined, phone [[+1 (212) 555-0199]] unreachable",
+    "sha256:e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855 is the empty hash",
+    "Contact [[maria_lopez+news@correo.example.com]]; host [[10.0.0.12]] only inside.",
+    "part 0049 30 1234 and item 00 12 34 56 78 are screws",
+    "call [[+44 20 7946 0958]] or [[+44 20 7946 0959]], ask for Priya",
+    "token = \"[[04dbebab91ab85687d33eeaaf9ac699e1188f962]]\" was leaked",
+    "In 2019 about 1,200,300 people moved; 45 000 000 euros were spent.",
+    "mail [[k.ito[at]keio.example.jp]] for slides",
+)
+
+
+def test_labelled_texts(spark):
+    """At least nine in ten of the labelled spans are found, and nine in ten of what is added to the base is labelled; the base alone misses more."""
+    rows, truth = [], set()
+    for i, t in enumerate(LABELLED):
+        plain, at = "", 0
+        for m in re.finditer(r"\[\[((?:[^\[\]]|\[at\])+)\]\]", t):
+            plain += t[at : m.start()]
+            truth.add((i, len(plain), len(plain) + len(m[1])))
+            plain, at = plain + m[1], m.end()
+        rows.append((i, plain + t[at:]))
+    model = pii.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], model).collect()
+    every = {(r.row.doc_id, s.start, s.end) for r in found for s in (*r.spans, *r.secrets)}
+    base = {(r.row.doc_id, s.start, s.end) for r in found for s in r.base}
+    assert len(every & truth) >= 0.9 * len(truth), sorted(truth - every)
+    assert len((every - base) & truth) >= 0.9 * len(every - base), sorted(every - base - truth)
+    assert len(base & truth) < len(every & truth)
+
+
+def test_what_the_base_runs_into_is_added(spark, docs):
     df = spark.createDataFrame([(1, "call +1 (826) 555-4081 190.137.223.204 now"), (2, "id 9807915762804490 of it"), (3, "version 1.2.3.4 of it")], "doc_id long, text string")
-    got = {r.doc_id: [pii.KINDS[s.kind] + ":" + s.value for s in r._spans] for r in pii.find(df).collect()}
+    got = {r.row.doc_id: [pii.KINDS[s.kind] + ":" + s.value for s in r.spans] for r in pii.find(df, ["doc_id"], pii.fit(docs)).collect()}
     assert "phone:+1 (826) 555-4081" in got[1] and "ip:190.137.223.204" in got[1] and got[2] == []
 
 
-def test_trees_find_held_out_examples():
-    trees, limits = pii.model()
-    rng = random.Random(99)
-    made = [pii._example(rng) for _ in range(2000)]
-    import numpy as np
+def test_trees_find_held_out_examples(docs):
+    model = pii.fit(docs)
+    x, y = pii.made(99)
+    margins = model.trees.margins(x)
+    right = [(m >= model.limits[int(k)]) == bool(t) for m, k, t in zip(margins, x[:, 0], y, strict=True)]
+    assert sum(right) / len(right) >= 0.93
 
-    margins = trees.margins(np.array([pii._example_features(*e[:4]) for e in made], float))
-    right = [(m >= limits[e[0]]) == bool(e[4]) for m, e in zip(margins, made, strict=True)]
-    assert sum(right) / len(right) >= 0.95
+
+def test_candidates_of_documents_are_labelled(spark):
+    x, y = pii.seen(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert len(x) == len(y) > 5 and 0 < y.sum() < len(y)
+
+
+def test_matches_of_long_texts(spark):
+    text = " ".join(f"a{i}@b.example.com" for i in range(1000))
+    (r,) = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id"]).collect()
+    assert [s.value for s in r.base if s.kind == 0] == text.split() and all(text[s.start : s.end] == s.value for s in r.base)
 
 
 def test_features_agree_with_python(spark):
@@ -85,12 +135,12 @@ def test_features_agree_with_python(spark):
         assert list(r[1:]) == [float(x) for x in pii._example_features(*e[:4])], e
 
 
-def test_redaction(spark):
-    df = spark.createDataFrame([(1, "a@b.com at 1.2.3.4", "keep"), (2, None, "keep")], "doc_id long, text string, spans string")
-    got = [tuple(r) for r in pii.redact(df).orderBy("doc_id").collect()]
-    assert got == [(1, "[EMAIL] at [IP]", "keep"), (2, None, "keep")]
+def test_redaction(spark, docs):
+    df = spark.createDataFrame([(1, 'a@b.com at 1.2.3.4, token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "keep", 1), (2, None, "keep", 2)], "doc_id long, text string, spans string, row int")
+    got = [tuple(r) for r in pii.redact(df, pii.fit(docs)).orderBy("doc_id").collect()]
+    assert got == [(1, '[EMAIL] at [IP], token = "[SECRET]"', "keep", 1), (2, None, "keep", 2)]
 
 
 def test_no_python_in_the_plan(spark, docs):
-    plan = pii.find(docs)._jdf.queryExecution().toString()
+    plan = pii.find(docs, ["doc_id"])._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

@@ -2,20 +2,24 @@
 
 Generators with high recall propose spans, which may overlap. Each candidate gets features of its format (digits, separators,
 checksum, octets) and of its context (neighbouring characters, words near it); boosted trees, fitted in numpy on the driver
-from examples made by rule and compiled into column expressions, score it; and it is redacted if the score reaches its kind's
+and compiled into column expressions, score it; and it is redacted if the score reaches its kind's
 calibrated threshold. The spans of the fixed base patterns always stay; a selected candidate is added where it overlaps no
 base span and no better candidate.
 
+The trees learn from candidates of the documents at hand, at most EXAMPLES of one text in SAMPLE, which checks label (checksum, octets, number of
+digits, the name before a secret), and from as many made examples, which have shapes that the documents may lack (addresses spelt
+out, numbers without +) with the words that go with them. Thresholds are set on the half of both that the trees haven't seen.
+
 Everything happens inside the row of a document, so nothing is shuffled. Matches are marked by regexp_replace and cut by
-split, which take time in proportion to the text; offsets are in code points. Runs are matched possessively and from their
-start, so long runs cost no retries.
+split, which take time in proportion to the text, and are put together in pieces of PIECE; offsets are in code points. Runs are matched
+possessively and from their start, so long runs cost no retries. Only candidates are compared with each other, document by document.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from functools import cache
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -25,6 +29,8 @@ from . import boosting
 from .common import text_of
 
 KINDS = ("email", "ip", "card", "phone")
+#: Keys, tokens and passwords: found and redacted like the others, and reported apart.
+ALL = (*KINDS, "secret")
 _LOCAL, _HOST = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 #: Equal to the base patterns, leftmost and without overlap: a run is entered at its start, or where the last match ended.
 BASE = (
@@ -41,14 +47,20 @@ GENERATORS = (
     ("phone", r"(?<![0-9])(?:\+|00)[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?(?:[\x20.-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9])\([0-9]{3}\)[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
     ("phone", r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])"),
 )
+SECRET = ("secret", r"(?<![\w+/=-])(?=[A-Za-z_+/=-]*+[0-9])[\w+/=-]{20,100}+(?![\w+/=-])")
 #: Marks the ends of matches; in texts it is first exchanged for another private-use character.
 _MARK, _OTHER = "\uE000", "\uE001"
 #: Code points of context on either side.
 NEAR = 24
 HINTS = r"(?i)(?:card|visa|master|amex|credit|phone|call|tel|mobile|fax|contact|mail|write|reach|host|server|login|from)"
 AGAINST = r"(?i)(?:version|release|v\.|isbn|token|order|invoice|serial|build|section|sha|hash|item|part)"
-FEATURES = ("kind", "length", "digits", "marks", "luhn", "octets", "before", "after", "hint", "against", "plus", "groups", "glued")
-TREES, DEPTH, EXAMPLES = 12, 3, 4000
+NAMED = r"(?i)(?:token|secret|passw|api.?key|access.?key|private.?key|credential|bearer)[\w-]*[\x22']?\s*[=:]?\s*[\x22']?$"
+FEATURES = ("kind", "length", "digits", "marks", "luhn", "octets", "before", "after", "hint", "against", "plus", "groups", "glued", "named")
+TREES, DEPTH, EXAMPLES = 16, 4, 4000
+#: Texts, of which one gives candidates to learn from.
+SAMPLE = 16
+#: Parts of a text that are put together at once.
+PIECE = 128
 #: The share of true spans among the examples at a kind's threshold, at least.
 PRECISION = 0.98
 
@@ -90,8 +102,15 @@ def _matches(text: Column, pattern: str) -> Column:
         span = F.struct(a["at"].alias("start"), end.alias("end"), p.alias("value"))
         return F.struct(end.alias("at"), (~a["in"]).alias("in"), F.when(a["in"], F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("in"), empty.alias("out"))
-    return _let(parts, lambda p: F.when(F.size(p) > 1, F.aggregate(p, start, step, lambda a: a["out"])).otherwise(empty))
+    def piece(parts: Column, at: Column) -> Column:
+        return F.aggregate(parts, F.struct(at.alias("at"), F.lit(False).alias("in"), empty.alias("out")), step, lambda a: a["out"])
+
+    def pieces(p: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / PIECE).cast("int")), lambda k: F.slice(p, k * PIECE + 1, F.lit(PIECE)))
+        starts = F.aggregate(cut, F.array(F.lit(0)), lambda a, c: F.concat(a, F.array(F.aggregate(c, F.element_at(a, -1), lambda n, x: n + F.length(x)))))
+        return _let(starts, lambda at: F.flatten(F.transform(cut, lambda c, k: piece(c, F.get(at, k)))))
+
+    return _let(parts, lambda p: F.when(F.size(p) > PIECE, pieces(p)).when(F.size(p) > 1, piece(p, F.lit(0))).otherwise(empty))
 
 
 def _spans(text: Column, patterns: tuple[tuple[str, str], ...], keep) -> Column:
@@ -99,8 +118,8 @@ def _spans(text: Column, patterns: tuple[tuple[str, str], ...], keep) -> Column:
 
     def of_kind(kind: str, pattern: str) -> Column:
         found = F.filter(_matches(text, pattern), lambda s: keep(kind, s["value"]))
-        found = F.transform(found, lambda s: F.struct(F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-        needs = text.rlike("[0-9]") if kind != "email" else F.contains(text, F.lit("@")) | (F.contains(F.lower(text), F.lit("at")) if patterns is GENERATORS else F.lit(False))
+        found = F.transform(found, lambda s: F.struct(F.lit(ALL.index(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+        needs = text.rlike("[0-9]") if kind != "email" else F.contains(text, F.lit("@")) | (F.contains(text, F.lit("(at)")) | F.contains(text, F.lit("[at]")) if patterns is not BASE else F.lit(False))
         return F.when(needs, found).otherwise(_none())
 
     return F.concat(*(of_kind(kind, pattern) for kind, pattern in patterns))
@@ -136,6 +155,7 @@ def _features(text: Column, s: Column) -> dict[str, Column]:
         "plus": flag(s["value"].startswith("+")),
         "groups": F.size(F.split(s["value"], r"[^0-9A-Za-z]+")),
         "glued": flag(F.when(s["start"] == 0, False).otherwise(before.rlike(r"[.,:/=_-]"))),
+        "named": flag(left.rlike(NAMED)),
     }
 
 
@@ -147,7 +167,7 @@ def _example(rng: random.Random) -> tuple[int, str, str, str, int]:
     """kind, left context, value, right context, label: one made span."""
     number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9)))
-    kind, good = rng.randrange(4), rng.random() < 0.5
+    kind, good = rng.randrange(len(ALL)), rng.random() < 0.5
     hints = ["card ", "visa ", "phone ", "call ", "tel: ", "contact ", "mail ", "host ", "from "]
     against = ["version ", "release v.", "isbn ", "token=", "order ", "serial ", "build ", "section ", "sha:"]
     left = rng.choice(["", word() + " ", word() + ". ", word() + "\n", word() + ": ", "(", word() + ", "])
@@ -170,6 +190,11 @@ def _example(rng: random.Random) -> tuple[int, str, str, str, int]:
         d = next(d[:-1] + c for c in "0123456789" if _luhn_ok(d[:-1] + c) == good)
         cut = rng.choice(["", "", " ", "-", "."])
         value = cut.join([d[:4], d[4:8], d[8:12], d[12:]])
+    elif kind == 4:
+        letters = rng.choice(["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"])
+        value = "1" + "".join(rng.choice(letters) for _ in range(rng.choice([20, 24, 32, 40, 40, 64])))
+        left += rng.choice(['token = "', "api_key=", 'secret: "', "password: ", "Authorization: Bearer ", "access-key ", "token "]) if good else rng.choice(["sha256:", "commit ", "md5 ", "id=", "/v/", "", "hash "])
+        right = rng.choice(['"', " " + word(), "", "\n"])
     else:
         cut = rng.choice([" ", "-", "."])
         value = rng.choice([f"+{number(1)} ({number(3)}) {number(3)}-{number(4)}", f"+{number(2)}{cut}{number(3)}{cut}{number(3)}{cut}{number(3)}", f"({number(3)}) {number(3)}-{number(4)}"])
@@ -199,51 +224,80 @@ def _example_features(kind: int, left: str, value: str, right: str) -> list[floa
         value.startswith("+"),
         len(re.split("[^0-9A-Za-z]+", value)),
         bool(left[-1:] and left[-1] in ".,:/=_-"),
+        bool(re.search(NAMED, near)),
     ]
 
 
-@cache
-def model(seed: int = 7) -> tuple[boosting.Boosted, tuple[float, ...]]:
-    """Trees from half of the made examples, and each kind's least margin with PRECISION over the other half."""
+@dataclass(frozen=True)
+class Model:
+    """Trees, and each kind's least margin."""
+
+    trees: boosting.Boosted
+    limits: tuple[float, ...]
+
+    def margin(self, features: Column) -> Column:
+        total = F.lit(self.trees.prior)
+        for tree in self.trees.trees:
+            leaf = None
+            for terms, value in tree:
+                holds = F.lit(True)
+                for f, above, bound in terms:
+                    holds &= (features[FEATURES[f]] > bound) if above else (features[FEATURES[f]] <= bound)
+                leaf = F.when(holds, F.lit(value)) if leaf is None else leaf.when(holds, F.lit(value))
+            total += leaf.otherwise(F.lit(0.0))
+        return total
+
+
+def _candidates(text: Column) -> Column:
+    return _spans(text, (*GENERATORS, SECRET), lambda k, v: F.lit(True))
+
+
+def seen(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of at most EXAMPLES candidates of one text in SAMPLE of docs (text), by hash; the checks label them."""
+    text = F.translate(text_of(docs), _MARK, _OTHER)
+    some = docs.where(F.pmod(F.xxhash64(text_of(docs)), F.lit(SAMPLE)) == 0).select(text.alias("text")).where(F.col("text").rlike("[0-9@]|\\(at\\)|\\[at\\]"))
+    rows = some.select("text", F.explode(_candidates(F.col("text"))).alias("s"))
+    f = F.struct(*(c.cast("double").alias(n) for n, c in _features(F.col("text"), F.col("s")).items()))
+    rows = rows.select(f.alias("f"), F.col("s.value").alias("value"))
+    kind = lambda k: F.col("f.kind") == ALL.index(k)
+    address = F.col("value").rlike(rf"^[{_LOCAL}]+[\x20]?(?:@|\(at\)|\[at\])[\x20]?(?:[{_HOST}]+\.)+[A-Za-z]{{2,}}$")
+    good = F.when(kind("email"), address).when(kind("ip"), (F.col("f.octets") == 1) & (F.col("f.against") == 0)).when(kind("card"), F.col("f.luhn") == 1).when(kind("phone"), F.col("f.digits").between(9, 15) & (F.col("f.plus") == 1)).otherwise(F.col("f.named") == 1)
+    got = rows.select("f.*", good.cast("int").alias("y")).distinct().orderBy(F.xxhash64(*FEATURES), *FEATURES).limit(EXAMPLES).collect()
+    return np.array([[r[c] for c in FEATURES] for r in got], float).reshape(len(got), len(FEATURES)), np.array([r.y for r in got], int)
+
+
+def made(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of EXAMPLES made examples."""
     rng = random.Random(seed)
-    made = [_example(rng) for _ in range(EXAMPLES)]
-    x = np.array([_example_features(*e[:4]) for e in made], float)
-    y = np.array([e[4] for e in made])
-    half = EXAMPLES // 2
-    trees = boosting.fit(x[:half], y[:half], TREES, DEPTH)
-    margins, kinds, truth = trees.margins(x[half:]), x[half:, 0], y[half:]
+    examples = [_example(rng) for _ in range(EXAMPLES)]
+    return np.array([_example_features(*e[:4]) for e in examples], float), np.array([e[4] for e in examples])
+
+
+def fit(docs: DataFrame) -> Model:
+    """Trees from every second example, and each kind's least margin with PRECISION over the others, of candidates of docs and made ones alike."""
+    parts = [seen(docs), made()]
+    x, y = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    learn = np.arange(len(x)) % 2 == 0
+    trees = boosting.fit(x[learn], y[learn], TREES, DEPTH)
+    margins, kinds, truth = trees.margins(x[~learn]), x[~learn, 0], y[~learn]
     out = []
-    for k in range(len(KINDS)):
+    for k in range(len(ALL)):
         m, t = margins[kinds == k], truth[kinds == k]
         order = np.argsort(-m)
         right = np.cumsum(t[order]) / np.arange(1, len(order) + 1)
         right[:-1][m[order][1:] == m[order][:-1]] = 0  # equal margins go together
         good = np.flatnonzero(right >= PRECISION)
         out.append(float(m[order][good[-1]]) if len(good) else float("inf"))
-    return trees, tuple(out)
+    return Model(trees, tuple(out))
 
 
-def _margin(features: Column) -> Column:
-    trees, _ = model()
-    total = F.lit(trees.prior)
-    for tree in trees.trees:
-        leaf = None
-        for terms, value in tree:
-            holds = F.lit(True)
-            for f, above, bound in terms:
-                holds &= (features[FEATURES[f]] > bound) if above else (features[FEATURES[f]] <= bound)
-            leaf = F.when(holds, F.lit(value)) if leaf is None else leaf.when(holds, F.lit(value))
-        total += leaf.otherwise(F.lit(0.0))
-    return total
-
-
-def _selected(text: Column, candidates: Column) -> Column:
+def _selected(text: Column, candidates: Column, model: Model) -> Column:
     """Candidates with their margins, those that reach the threshold of their kind."""
-    limits = F.array(*map(F.lit, model()[1]))
+    limits = F.array(*map(F.lit, model.limits))
 
     def scored(s: Column) -> Column:
         features = F.struct(*(c.cast("double").alias(n) for n, c in _features(text, s).items()))
-        return _let(features, lambda f: F.struct((-_margin(f)).alias("cost"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+        return _let(features, lambda f: F.struct((-model.margin(f)).alias("cost"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
     return F.filter(F.transform(candidates, scored), lambda s: -s["cost"] >= F.get(limits, s["kind"]))
 
@@ -258,31 +312,37 @@ def _added(base: Column, chosen: Column) -> Column:
     return F.when(F.size(chosen) > 0, F.aggregate(F.array_sort(chosen), base, step)).otherwise(base)
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """Each row of docs with _base and _spans: arrays of kind (its place in KINDS), start, end, value, ordered.
+def find(docs: DataFrame, keep: list[str], model: Model | None = None) -> DataFrame:
+    """Each row of docs (text) with its spans: arrays of kind (its place in ALL), start, end, value, ordered.
 
-    Offsets are code points of the text, end exclusive. A null or empty text has no spans; equal texts get equal spans.
-    Columns named _base or _spans are replaced; others pass. An empty table gives no rows.
+    Returns row (a struct of the columns in keep), base, spans (of KINDS) and secrets; without a model, one is fitted on docs. Offsets are code
+    points of the text, end exclusive. A null or empty text has no spans; equal texts get equal spans. Columns may have any names. An
+    empty table gives no rows. Very long texts are worked on whole.
     """
-    docs = docs.drop("_base", "_spans", "_text")
+    model = model or fit(docs)
     text = F.translate(text_of(docs), _MARK, _OTHER)
-    rows = docs.withColumn("_found", _let(text, lambda t: F.when(t.rlike("[0-9@]|\\(at\\)|\\[at\\]"), _let(_spans(t, BASE, _valid), lambda b: F.struct(b.alias("base"), _added(b, _selected(t, _spans(t, GENERATORS, lambda k, v: F.lit(True)))).alias("spans"))))))
-    base, spans = (F.coalesce(F.col("_found")[c], _none()) for c in ("base", "spans"))
-    return rows.withColumns({"_base": base, "_spans": F.array_sort(spans)}).drop("_found")
-
-
-def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span of find() in text replaced by its kind in brackets."""
-    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    spans = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    out = find(docs).withColumn("_s", spans)
+    found = _let(text, lambda t: F.when(t.rlike("[0-9@]|\\(at\\)|\\[at\\]"), _let(_spans(t, BASE, _valid), lambda b: F.struct(b.alias("base"), _added(b, _selected(t, _candidates(t), model)).alias("spans")))))
+    rows = docs.select(F.struct(*(docs[c] for c in keep)).alias("row"), found.alias("found"))
+    base, spans = (F.coalesce(F.col("found")[c], _none()) for c in ("base", "spans"))
+    rows = rows.select("row", base.alias("base"), F.array_sort(spans).alias("every"))
+    secret = ALL.index("secret")
+    return rows.select("row", "base", F.filter("every", lambda s: s["kind"] != secret).alias("spans"), F.filter("every", lambda s: s["kind"] == secret).alias("secrets"))
+
+
+def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """docs, whatever its columns, with every span and secret of find() in text replaced by its kind in brackets."""
+    names = F.array(*(F.lit(f"[{k.upper()}]") for k in ALL))
+    out = find(docs, docs.columns, model)
+    spans = F.array_sort(F.transform(F.concat("spans", "secrets"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    out = out.select("row", spans.alias("s"))
+    text = F.col("row.text")
     done = F.aggregate(
-        "_s",
+        "s",
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.get(names, s["kind"]))).alias("out")),
-        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
+        lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.get(names, s["kind"]))).alias("out")),
+        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))),
     )
-    return out.withColumn("text", F.when(F.size("_s") > 0, done).otherwise(F.col("text"))).drop("_s", "_base", "_spans")
+    return out.select(F.col("row").withField("text", F.when(F.size("s") > 0, done).otherwise(text)).alias("row")).select("row.*")
 
 
 def _joined(spans: Column) -> Column:
@@ -291,7 +351,8 @@ def _joined(spans: Column) -> Column:
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
-    """The digest of find() over all documents."""
-    rows = find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    counts = [F.size(F.filter("_base", _one(lambda s, k=k: s["kind"] == k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return rows.select("doc_id", *counts, F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.col("_spans")).alias("spans"))
+    """The digest of find() over all documents; n_found counts spans and secrets."""
+    rows = find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), ["doc_id"])
+    counts = [F.size(F.filter("base", _one(lambda s, k=k: s["kind"] == k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    more = [F.size("secrets").cast("long").alias("n_secret"), (F.size("spans") + F.size("secrets")).cast("long").alias("n_found")]
+    return rows.select("row.doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), *more)
