@@ -28,7 +28,6 @@ BROADCAST_IDS = 500_000
 THRESHOLD = -0.3
 #: Added to each bucket's count in both tables.
 SMOOTHING = 1.0
-BLOCKS = 16
 BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -62,16 +61,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts[0] += np.bincount(buckets[inside], minlength=BUCKETS)
             of = np.repeat(trusted[first:last], np.diff(offsets))[: len(buckets)] & inside
             counts[1] += np.bincount(buckets[of], minlength=BUCKETS)
-    parts = counts.reshape(2, BLOCKS, -1).transpose(1, 0, 2)
-    yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([np.ascontiguousarray(p).tobytes() for p in parts], pa.binary())], ["block", "counts"])
-
-
-def _added(parts: pa.Table) -> pa.Table:
-    """The sum of one block's counts over all tasks."""
-    total = np.zeros(2 * BUCKETS // BLOCKS, np.int64)
-    for blob in parts.column("counts"):
-        total += np.frombuffer(blob.as_buffer(), np.int64)
-    return pa.table({"block": parts.column("block")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+    at = np.flatnonzero(counts[0])
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[0, at]), pa.array(counts[1, at])], ["bucket", "n", "m"])
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -83,17 +74,16 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """The log ratio of each bucket, from all of docs (doc_id, text) and the ids in trusted.
 
-    Each task sends BLOCKS arrays of counts; the driver gets their sums, BUCKETS * 16 bytes. Without any n-gram in one of the
-    tables all ratios are 0.
+    Each task sends a row for each bucket that it has seen, and these are added up by bucket; the driver gets their sums, BUCKETS rows
+    at most. Without any n-gram in one of the tables all ratios are 0.
     """
     flags = written(trusted.select(F.col("id").alias("_id"), F.lit(True).alias("trusted")), "quality-trusted")
     flags = F.broadcast(flags) if flags.count() <= BROADCAST_IDS else flags
     rows = docs.select("doc_id", "text").join(flags, F.col("doc_id") == F.col("_id"), "left").select("text", "trusted")
-    parts = rows.mapInArrow(_counted, "block int, counts binary").groupBy("block").applyInArrow(_added, "block int, counts binary").collect()
+    got = rows.mapInArrow(_counted, "bucket int, n long, m long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).toArrow()
     counts = np.zeros((2, BUCKETS))
-    width = BUCKETS // BLOCKS
-    for p in parts:
-        counts[:, p.block * width : (p.block + 1) * width] = np.frombuffer(p.counts, np.int64).reshape(2, width)
+    for i, c in enumerate(("n", "m")):
+        counts[i, got.column("bucket").to_numpy()] = got.column(c).to_numpy()
     if not counts.sum(1).all():
         return np.zeros(BUCKETS)
     shares = (counts + SMOOTHING) / (counts + SMOOTHING).sum(1, keepdims=True)
@@ -135,7 +125,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     """Each row of docs (doc_id, text) with its statistics, its score and whether it is kept.
 
     Returns doc_id, BASE_COLUMNS, llr, base_failed, kept. A null text counts as the empty one, which fails the base (no
-    words) and scores 0. Repeated rows get equal results; a null doc_id is never trusted; without any trusted document all
+    words) and scores 0; a very long one is counted and scored whole, in memory in proportion to its length. Repeated rows get equal results; a null doc_id is never trusted; without any trusted document all
     scores are 0, and the base alone decides. An empty table gives no rows. Other columns are not read.
     """
     out = score(docs, log_ratios(docs, trusted_ids(labels)))
