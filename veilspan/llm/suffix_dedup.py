@@ -11,8 +11,9 @@ LENGTH bytes around the gram is looked up among those of smaller ids. Suffixes w
 task, but for the smallest id, so a passage that many documents share is exchanged once for each task.
 
 A text that equals one of a smaller id is removed whole, without being sorted, as all its strings start there. Of the others, a
-first pass finds the grams that occur in two documents, so that only their suffixes are exchanged. Their hashes are broadcast up to
-FILTER_BYTES; beyond, every suffix is exchanged, with the same result.
+first pass finds the grams that stand in two texts, so that only their suffixes are exchanged: each piece of a task sends its
+distinct grams, dealt out by hash into blocks, and the blocks answer which of them other pieces have too; the answers go back to the piece, and
+from there to its texts. Nothing of this is held by the driver or by all tasks, so one path serves every size.
 """
 
 from __future__ import annotations
@@ -35,9 +36,12 @@ LENGTH, GRAM = 50, 16
 #: Places at which the gram may stand in a string, less one: also the bytes kept before a suffix.
 LEFT = LENGTH - GRAM
 HASH_BITS = 48
-#: The most bytes of gram hashes in a broadcast, and spans to remove (16 bytes each) in another.
-FILTER_BYTES, SPAN_ROWS = 64 << 20, 2_000_000
-FILTER_BLOCKS = 64
+#: The most spans to remove (16 bytes each) in a broadcast; beyond, the join shuffles.
+SPAN_ROWS = 2_000_000
+#: Bytes of text whose grams (one in 18 bytes or so) are counted in one block.
+BLOCK_BYTES = 32 << 20
+#: The most texts of a piece.
+PIECE_TEXTS = (1 << 16) - 1
 #: Suffixes merged in one task, about; suffixes sorted into one run; and grams counted in one piece.
 MERGED, RUN, GRAMS_AT_ONCE = 60_000, 100_000, 1_000_000
 #: Keys of texts that occur more than once are broadcast up to this number (about 50 bytes each); beyond, the join shuffles.
@@ -81,39 +85,52 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By block: distinct gram hashes of a piece of the task in order, and those of them in two documents."""
-    hashes, ids, n = [], [], 0
+def _grams(blocks: int, at_once: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each piece of the task a row with its texts and the grams that stand in two of them, and by block a row with its distinct grams."""
+    from pyspark import TaskContext
+
+    part, number = TaskContext.get().partitionId(), 0
+    ids, marks, hashes, owners, n, texts = [], [], [], [], 0, 0
     for batch in batches:
-        doc = _ids(batch.column("doc_id"))
-        for first, _, data, offsets in tb.chunks(batch.column("text")):
-            at, h = anchors(data, offsets)
-            row = doc[first + np.searchsorted(offsets, at, "right") - 1]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            hashes.append(h[new])
-            ids.append(row[new])
-            n += len(hashes[-1])
-            if n >= GRAMS_AT_ONCE:
-                yield _gram_blocks(np.concatenate(hashes), np.concatenate(ids))
-                hashes, ids, n = [], [], 0
-    if n:
-        yield _gram_blocks(np.concatenate(hashes), np.concatenate(ids))
-
-
-def _gram_blocks(h: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((d, h))
-    h, d = h[order], d[order]
+        doc, mark = _ids(batch.column("doc_id")), np.asarray(batch.column("mark"))
+        for first, last, data, offsets in tb.chunks(batch.column("text")):
+            for a in range(first, last, PIECE_TEXTS):
+                b = min(last, a + PIECE_TEXTS)
+                if texts and (texts + b - a > PIECE_TEXTS or n >= at_once):
+                    yield _piece((part << 32) + number, blocks, *map(np.concatenate, (ids, marks, hashes, owners)))
+                    number += 1
+                    ids, marks, hashes, owners, n, texts = [], [], [], [], 0, 0
+                if a == first:
+                    at, h = anchors(data, offsets)
+                    row = np.searchsorted(offsets, at, "right") - 1 + first
+                mine = (row >= a) & (row < b)
+                ids.append(doc[a:b])
+                marks.append(mark[a:b])
+                hashes.append(h[mine] - np.uint64(1))
+                owners.append((row[mine] - a + texts).astype(np.uint64))
+                n += len(hashes[-1])
+                texts += b - a
+    if texts:
+        yield _piece((part << 32) + number, blocks, *map(np.concatenate, (ids, marks, hashes, owners)))
+
+
+def _piece(piece: int, blocks: int, ids: np.ndarray, marks: np.ndarray, h: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
+    both = np.unique((h << np.uint64(16)) | owner)  # grams of HASH_BITS, texts of 16
+    h, owner = both >> np.uint64(16), (both & np.uint64(0xFFFF)).astype(np.uint16)
     new = np.ones(len(h), bool)
     new[1:] = h[1:] != h[:-1]
     begin = np.flatnonzero(new)
-    several = np.maximum.reduceat(d, begin) != np.minimum.reduceat(d, begin)
-    h = h[begin]
-    edges = np.searchsorted(h, np.arange(FILTER_BLOCKS + 1, dtype=np.uint64) * np.uint64(((1 << HASH_BITS) + 1) // FILTER_BLOCKS + 1))
-    blocks = [(b, h[i:j], several[i:j]) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
+    several = np.diff(np.append(begin, len(h))) > 1
+    inside = both[np.repeat(several, np.diff(np.append(begin, len(h))))]
+    h, owner = h[begin], np.where(several, np.uint16(0xFFFF), owner[begin])
+    width = ((1 << HASH_BITS) - 1) // blocks + 1
+    edges = np.searchsorted(h, np.arange(blocks + 1, dtype=np.uint64) * np.uint64(width))
+    made = [(k, _packed(h[i:j]), owner[i:j].tobytes()) for k, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
+    n = 1 + len(made)
+    head = [pa.array([ids.tolist(), *[None] * (n - 1)], pa.list_(pa.int64())), pa.array([marks.tolist(), *[None] * (n - 1)], pa.list_(pa.int32()))]
     return pa.RecordBatch.from_arrays(
-        [pa.array([b for b, _, _ in blocks], pa.int32()), pa.array([_packed(x) for _, x, _ in blocks], pa.binary()), pa.array([_packed(x[s]) for _, x, s in blocks], pa.binary())],
-        ["block", "every", "several"],
+        [pa.array([piece % blocks, *(k for k, _, _ in made)], pa.int64()), pa.array([piece] * n, pa.int64()), *head, pa.array([inside.tobytes(), *(x for _, x, _ in made)], pa.binary()), pa.array([None, *(x for _, _, x in made)], pa.binary())],
+        ["block", "piece", "ids", "marks", "grams", "owners"],
     )
 
 
@@ -132,12 +149,51 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, np.uint64, offset=1)
 
 
-def _shared(parts: pa.Table) -> pa.Table:
-    """The hashes of one block that occur in two tasks, or in two documents of one."""
-    every = np.sort(np.concatenate([_unpacked(b) for b in parts.column("every").to_pylist()]))
+def _answered(group: pa.Table) -> pa.Table:
+    """The rows of pieces as they came, and for each piece those of its grams, with their text, that another piece has too."""
+    names = ["piece", "ids", "marks", "grams"]
+    came = group.filter(pa.compute.is_null(group.column("owners"))).select(names)
+    asked = group.filter(pa.compute.is_valid(group.column("owners")))
+    found = [_unpacked(b) for b in asked.column("grams").to_pylist()]
+    if not found:
+        return came
+    every = np.sort(np.concatenate(found))
     twice = every[1:][every[1:] == every[:-1]]
-    out = np.unique(np.concatenate([twice, *(_unpacked(b) for b in parts.column("several").to_pylist())]))
-    return pa.table({"block": parts.column("block")[:1], "n": pa.array([len(out)], pa.int64()), "shared": pa.array([out.tobytes()], pa.binary())})
+    pieces, blobs = [], []
+    for piece, h, owners in zip(asked.column("piece").to_pylist(), found, asked.column("owners").to_pylist(), strict=True):
+        owner = np.frombuffer(owners, np.uint16)
+        same = owner != 0xFFFF  # what stands in two texts of the piece is known there
+        if len(twice):
+            same &= twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
+            if same.any():
+                pieces.append(piece)
+                blobs.append(((h[same] << np.uint64(16)) | owner[same]).tobytes())
+    made = pa.table([pa.array(pieces, pa.int64()), *(pa.nulls(len(pieces), came.schema.field(n).type) for n in names[1:3]), pa.array(blobs, pa.binary())], names)
+    return pa.concat_tables([came, made])
+
+
+def _returned(group: pa.Table) -> pa.Table:
+    """id, mark, grams (ascending, 8 bytes each), n of the piece's texts that share grams."""
+    head = group.filter(pa.compute.is_valid(group.column("ids")))
+    ids, marks = (np.asarray(head.column(c)[0].values) for c in ("ids", "marks"))
+    both = np.concatenate([np.frombuffer(b, np.uint64) for b in group.column("grams").to_pylist()])
+    h, owner = both >> np.uint64(16), (both & np.uint64(0xFFFF)).astype(np.int64)
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+    end = np.append(begin[1:], len(owner)) if len(begin) else begin
+    at = owner[begin]
+    return pa.table([pa.array(ids[at]), pa.array(marks[at].astype(np.int32)), pa.array([h[i:j].tobytes() for i, j in zip(begin, end, strict=True)], pa.binary()), pa.array(end - begin, pa.int64())], ["id", "mark", "grams", "n"])
+
+
+def shared_grams(rows: DataFrame) -> DataFrame:
+    """id, mark, grams, n: for each text of rows (doc_id, text, mark) with grams that stand in another text, these."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks, at_once = max(1, -(-total // BLOCK_BYTES)), GRAMS_AT_ONCE
+    pieces = "piece long, ids array<long>, marks array<int>, grams binary"
+    found = rows.mapInArrow(lambda batches: _grams(blocks, at_once, batches), f"block long, {pieces}, owners binary")
+    found = found.groupBy("block").applyInArrow(_answered, pieces).groupBy("piece").applyInArrow(_returned, "id long, mark int, grams binary, n long")
+    return written(found, "suffix-grams")
 
 
 _WORDS = 8 * (-(-LENGTH // 8)), 8 * (-(-LEFT // 8))
@@ -338,25 +394,33 @@ def _merge_task(parts: pa.Table) -> pa.Table:
     return pa.concat_tables([settled, pa.table([pa.array(c, t) for c, t in zip(out, settled.schema.types, strict=True)], names=settled.column_names)])
 
 
-def _runs(rows: DataFrame, shared: np.ndarray | None, sets: int) -> DataFrame:
-    """bucket, run; or, without a run and under any bucket, id, mark, start, end of a span that is settled inside a task."""
-    known = rows.sparkSession.sparkContext.broadcast(shared)
+def _runs(rows: DataFrame, sets: int) -> DataFrame:
+    """bucket, run; or, without a run and under any bucket, id, mark, start, end of a span that is settled inside a task.
+
+    rows: doc_id, text, mark, grams (those whose suffixes count).
+    """
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list] = [[] for _ in range(8)]
         n = 0
         for batch in batches:
-            doc, mark = _ids(batch.column("doc_id")), np.asarray(batch.column("mark"))
-            for first, _, data, offsets in tb.chunks(batch.column("text")):
+            doc, mark, grams = _ids(batch.column("doc_id")), np.asarray(batch.column("mark")), batch.column("grams")
+            for first, last, data, offsets in tb.chunks(batch.column("text")):
                 at, h = anchors(data, offsets)
-                if known.value is not None:
-                    if not len(known.value):
-                        continue
-                    same = known.value[np.minimum(np.searchsorted(known.value, h), len(known.value) - 1)] == h
-                    at, h = at[same], h[same]
                 if not len(at):
                     continue
                 row = np.searchsorted(offsets, at, "right") - 1
+                same = np.zeros(len(at), bool)
+                edges = np.searchsorted(row, np.arange(last - first + 1))
+                for k in range(last - first):
+                    i, j = edges[k], edges[k + 1]
+                    if j > i:
+                        known = np.frombuffer(grams[first + k].as_buffer(), np.uint64)
+                        own = h[i:j] - np.uint64(1)
+                        same[i:j] = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
+                at, h, row = at[same], h[same], row[same]
+                if not len(at):
+                    continue
                 for c, v in zip(cols, [*_around(data, offsets, at), doc[first + row], mark[first + row], at - offsets[row], (h % np.uint64(sets)).astype(np.int32)], strict=True):
                     c.append(v)
                 n += len(at)
@@ -427,12 +491,11 @@ def _marked(docs: DataFrame) -> DataFrame:
 def repeated_spans(marked: DataFrame) -> DataFrame:
     """id, mark, starts, ends: for each text of marked (doc_id, text, mark) with repeated strings, the maximal spans to remove, ordered."""
     rows = marked.select("doc_id", "text", "mark").where(F.octet_length("text") >= LENGTH)
-    blocks = written(rows.mapInArrow(_grams, "block int, every binary, several binary").groupBy("block").applyInArrow(_shared, "block int, n long, shared binary"), "suffix-grams")
-    n = blocks.agg(F.sum("n")).first()[0] or 0
-    shared = None
-    if 8 * n <= FILTER_BYTES:
-        shared = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.shared, np.uint64) for r in blocks.select("shared").toLocalIterator())]))
-    runs = _runs(rows, shared, max(24, -(-3 * n // MERGED)))
+    grams = shared_grams(rows)
+    n = grams.agg(F.sum("n")).first()[0] or 0
+    grams = grams.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "grams").dropDuplicates(["_id", "_mark"])
+    rows = rows.join(grams, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_id")) & (F.col("mark") == F.col("_mark")))
+    runs = _runs(rows.select("doc_id", "text", "mark", "grams"), max(24, -(-n // MERGED)))
     spans = runs.groupBy("bucket").applyInArrow(_merge_task, "id long, mark int, start long, end long")
     line = Window.partitionBy("id", "mark").orderBy("start", "end")
     reach = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
