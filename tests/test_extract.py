@@ -148,3 +148,13 @@ def test_scan_without_rules(spark):
 def test_scan_is_one_narrow_stage(spark):
     df = extract.scan(blocks(spark, "x"), ru.ASCII_RULES).select(F.count(F.lit(1)))
     assert "Exchange hashpartitioning" not in df._jdf.queryExecution().toString()
+
+
+def test_needs_drop_no_match(spark):
+    arabic = str.maketrans("0123456789", "٠١٢٣٤٥٦٧٨٩")
+    texts = [t for t, _ in STRUCTURED.values()] + [t.translate(arabic) for t, _ in STRUCTURED.values()] + ["код ١٢٣٤٥٦٧٨٩٠ конец", "no digits"]
+    b = blocks(spark, *texts)
+    rules = [*ru.structured_rules(), *ru.language_rules(), *ru.ASCII_RULES]
+    bare = [ru.Rule(**{**r.__dict__, "needs": ""}) for r in rules]
+    got, want = (sorted(map(tuple, extract.scan(b, r).collect())) for r in (rules, bare))
+    assert got == want and any(r[0] == len(texts) - 2 and r[2] == "inn" for r in got)

@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from veilspan.operators import extract
+from veilspan.operators import combine, extract
 from veilspan.plans import catalog
 from veilspan.session import spread
 from veilspan.sources.blocks import whole_blocks
@@ -39,3 +39,15 @@ def test_folds_shuffle_once(spark):
 def test_only_small_tables_are_dealt_out(spark):
     assert "RoundRobin" in plan(spread(spark.read.parquet(f"{DATA}/documents.parquet")))
     assert "Exchange" not in plan(spread(spark.range(0, 100, 1, 64)))
+
+
+def test_passages_are_joined_by_words(spark):
+    docs = spark.createDataFrame([(1, "being near the old mill"), (2, "a bc d"), (3, None), (4, "xa bcd e")], "doc_id long, text string")
+    passages = spark.createDataFrame([(1, "ing near"), (2, "near the old"), (3, "a bc"), (4, "mil"), (5, ""), (6, None), (7, "zz zz")], "item_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = combine.contained(passages, docs)
+        assert not re.search("CartesianProduct|NestedLoop", plan(out))
+        assert sorted(map(tuple, out.collect())) == [(1, 1), (1, 2), (1, 4), (2, 3), (4, 3)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -26,6 +26,27 @@ def batches(blocks: DataFrame, size: int) -> DataFrame:
     return blocks.withColumn("batch", F.floor((F.row_number().over(line) - 1) / size).cast("int"))
 
 
+#: The least blocks of a document for each batch size; lengths beyond which it is halved, and under which it grows by a fifth.
+BATCH_SIZES = ((1000, 200), (600, 175), (300, 100), (100, 75), (0, 50))
+LONG_TEXT, SHORT_TEXT, LEAST_BATCH, MOST_BATCH = 500, 50, 50, 200
+#: Fixed value: unique blocks from which work in parallel pays off.
+PARALLEL_FROM = 200
+
+
+def batch_sizes(blocks: DataFrame) -> DataFrame:
+    """doc_id, blocks, mean_length, batch_size, parallel: the size of batches for each document, and whether it has blocks enough to go parallel.
+
+    Spark sizes its own tasks; these are for a model server behind hooks.model_detections(). A null text has length 0.
+    """
+    rows = blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.avg(F.coalesce(F.length("text"), F.lit(0))).alias("mean_length"), F.count_distinct(content_hash(F.col("text"))).alias("unique"))
+    size = F.lit(BATCH_SIZES[-1][1])
+    for least, n in reversed(BATCH_SIZES):
+        size = F.when(F.col("blocks") >= least, F.lit(n)).otherwise(size)
+    halved, raised = F.greatest(F.lit(LEAST_BATCH), F.floor(size / 2).cast("int")), F.least(F.lit(MOST_BATCH), F.floor(size * 1.2).cast("int"))
+    size = F.when(F.col("mean_length") > LONG_TEXT, halved).when(F.col("mean_length") < SHORT_TEXT, raised).otherwise(size)
+    return rows.select("doc_id", "blocks", F.round("mean_length", 4).alias("mean_length"), size.cast("int").alias("batch_size"), (F.col("unique") >= PARALLEL_FROM).alias("parallel"))
+
+
 def batches_by_length(blocks: DataFrame, most: int = 50_000) -> DataFrame:
     """doc_id, batch, first_seq, last_seq, chars: runs of a document's blocks, each with at most `most` characters or a single block.
 

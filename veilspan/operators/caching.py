@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import prefix_key
+
 
 def with_store(blocks: DataFrame, detect: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
     """detect() over the blocks, through a store of Parquet files: only texts that aren't in it are searched, and then added.
 
+    A text that the store holds twice, after runs at the same time or one that was repeated, is read once.
+
     The store holds a row for each text, with its detections as an array; texts that merely begin alike or differ in case are different.
     """
     spark = blocks.sparkSession
@@ -23,5 +27,29 @@ def with_store(blocks: DataFrame, detect: Callable[[DataFrame], DataFrame], path
     rest = [c for c in found.columns if c not in ("doc_id", "block_id")]
     arrays = found.groupBy(F.col("block_id").alias("_key")).agg(F.collect_list(F.struct(*rest)).alias("found"))
     one.select(F.col("block_id").alias("_key")).join(arrays, "_key", "left").write.mode("append").parquet(path)
-    every = spark.read.parquet(path)
+    every = spark.read.parquet(path).groupBy("_key").agg(F.first("found").alias("found"))
     return keyed.select("doc_id", "block_id", "_key").join(every, "_key").select("doc_id", "block_id", F.explode("found").alias("_f")).select("doc_id", "block_id", "_f.*")
+
+
+def once_for_similar(blocks: DataFrame, detect: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """detect() over the first block (by doc_id and block_id) of those that begin alike, its detections copied to all of them.
+
+    `similar_to` is the block that was searched. Offsets and values are that block's, so where texts differ they are a guess, as in any
+    cache that goes by the first 50 characters; with_store() and combine.once_for_equal_texts() are exact. Blocks without text have none.
+    """
+    keyed = blocks.withColumn("_key", F.md5(prefix_key(F.col("text")))).where(F.trim("text") != "")
+    place = F.struct("doc_id", "block_id")
+    one = keyed.groupBy("_key").agg(F.min_by(F.struct("doc_id", "block_id", "text"), place).alias("b"))
+    first = one.select(F.lit(0).alias("doc_id"), F.col("_key").alias("block_id"), F.col("b.text").alias("text"))
+    found = detect(first).drop("doc_id").withColumnRenamed("block_id", "_key")
+    origin = one.select("_key", F.concat_ws("/", "b.doc_id", "b.block_id").alias("similar_to"))
+    return keyed.select("doc_id", "block_id", "_key").join(origin, "_key").join(found, "_key").drop("_key")
+
+
+def cache_statistics(blocks: DataFrame) -> DataFrame:
+    """One row: requests, misses (the first block of each text), hits, hit_rate (percent, 0 without requests), size: of a cache by exact text."""
+    rows = blocks.where(F.trim(F.coalesce("text", F.lit(""))) != "").groupBy(F.sha2("text", 256).alias("_key")).agg(F.count(F.lit(1)).alias("n"))
+    out = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("requests"), F.count(F.lit(1)).alias("misses"))
+    hits = F.col("requests") - F.col("misses")
+    rate = F.when(F.col("requests") > 0, F.round(hits * 100.0 / F.col("requests"), 2)).otherwise(F.lit(0.0))
+    return out.select("requests", "misses", hits.alias("hits"), rate.alias("hit_rate"), F.col("misses").alias("size"))

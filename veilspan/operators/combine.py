@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,7 +31,7 @@ def once_for_equal_texts(blocks: DataFrame, detect: Callable[[DataFrame], DataFr
     blocks share is detected once, and only its detections are copied.
     """
     keyed = blocks.withColumn("_key", F.md5("text")).where(F.trim("text") != "")
-    one = keyed.groupBy("_key").agg(F.min_by("text", "block_id").alias("text")).select(F.lit(0).alias("doc_id"), F.col("_key").alias("block_id"), "text")
+    one = keyed.groupBy("_key").agg(F.first("text").alias("text")).select(F.lit(0).alias("doc_id"), F.col("_key").alias("block_id"), "text")
     found = detect(one).drop("doc_id").withColumnRenamed("block_id", "_key")
     return keyed.select(*BLOCK, "_key").join(found, "_key").drop("_key")
 
@@ -105,15 +105,21 @@ def report_with_metadata(document: DataFrame, metadata: DataFrame) -> DataFrame:
 def contained(passages: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, item_id of documents that contain a passage as a whole.
 
-    Passages are short and their longest rare word is looked for first: documents' distinct words are joined with it, and only
-    documents that have it are searched.
+    Of a passage of three words or more, the longest inner word is a word of the document too: documents' distinct words are joined with it,
+    and only documents that have it are searched. The words of shorter passages may be cut out of longer ones, so the first letters (three at
+    most) of their longest word are joined with the parts of documents' words. Passages without words are in no document.
     """
     words = lambda c: F.array_remove(F.split(c, r"[\x20\x09-\x0D]+"), "")
     inner = lambda c: F.slice(words(c), F.lit(2), F.greatest(F.size(words(c)) - 2, F.lit(0)))
-    key = F.array_max(F.transform(inner(F.col("text")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = passages.select("item_id", F.col("text").alias("passage"), key.alias("word"))
-    rare, plain = keyed.where("word is not null"), keyed.where("word is null")
-    place = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(rare, "word").select("doc_id", "item_id", "passage")
-    found = docs.join(place, "doc_id").where(F.contains(F.col("text"), F.col("passage"))).select("doc_id", "item_id")
-    short = docs.join(plain, F.contains(F.col("text"), F.col("passage"))).select("doc_id", "item_id")
-    return found.unionByName(short)
+    longest = lambda c: F.array_max(F.transform(c, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = passages.select("item_id", F.col("text").alias("passage"), longest(inner(F.col("text"))).alias("word"), F.substring(longest(words(F.col("text"))), 1, 3).alias("part"))
+    distinct = F.array_distinct(words(F.col("text")))
+    by_word = docs.select("doc_id", F.explode(distinct).alias("word")).join(keyed.where("word is not null").drop("part"), "word")
+
+    def parts(w: Column) -> Column:
+        of = lambda n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+        return F.concat(of(1), of(2), of(3))
+
+    by_part = docs.select("doc_id", F.explode(F.array_distinct(F.flatten(F.transform(distinct, parts)))).alias("part")).join(keyed.where("word is null and part is not null").drop("word"), "part")
+    place = by_word.select("doc_id", "item_id", "passage").unionByName(by_part.select("doc_id", "item_id", "passage"))
+    return docs.join(place, "doc_id").where(F.contains(F.col("text"), F.col("passage"))).select("doc_id", "item_id")

@@ -163,6 +163,37 @@ def name_filter(detections: DataFrame, surnames: DataFrame, given: DataFrame, le
     return names.join(valid, "_id", "left_semi").unionByName(rows.where("category != 'person_name'")).drop("_id")
 
 
+def three_nouns(detections: DataFrame, forms: DataFrame) -> DataFrame:
+    """Detections of person_name with three words, all nouns and two of them animate, by a table of forms (form, pos, animate); other categories pass.
+
+    Words are compared in lower case; of a form's several rows the first by `ord` counts. Stands in for a morphological model, which the engine hasn't.
+    """
+    rows = detections.withColumn("_id", F.struct("doc_id", "block_id", "ord"))
+    names = rows.where("category = 'person_name'")
+    best = forms.groupBy(F.lower("form").alias("word")).agg(F.min_by(F.struct("pos", "animate"), "ord").alias("f"))
+    words = F.filter(F.split(F.trim(F.lower("original_value")), r"(?U)\s+"), lambda w: w != "")
+    parts = names.where(F.size(words) == 3).select("_id", F.explode(words).alias("word")).join(best, "word")
+    noun = F.col("f.pos") == "NOUN"
+    valid = parts.groupBy("_id").agg(F.count_if(noun).alias("nouns"), F.count_if(noun & F.col("f.animate")).alias("animate")).where("nouns = 3 and animate >= 2").select("_id")
+    return names.join(valid, "_id", "left_semi").unionByName(rows.where("category != 'person_name'")).drop("_id")
+
+
+def span_systems(spans: DataFrame) -> DataFrame:
+    """Spans found by a method as detections of information systems: 0.85 for phrases and 0.8 for others, with core, private and anonymized parts.
+
+    A value without a system word is its own core.
+    """
+    value, parts = F.col("original_value"), system_parts(F.col("original_value"))
+    return spans.withColumns({
+        "category": F.lit("information_system"),
+        "confidence": F.when(F.col("method") == "phrase_matcher", 0.85).otherwise(F.lit(0.8)),
+        "method": F.concat(F.lit("information_system_"), "method"),
+        "core": F.coalesce(parts["core"], value),
+        "private": F.coalesce(parts["private"], F.lit("")),
+        "anonymized": F.coalesce(parts["anonymized"], value),
+    })
+
+
 # Abbreviations of information systems, what may follow them, and patterns of long names.
 JOINED = ("ЕИС", "АИС", "ГИС", "ЕГИС", "ПГИС", "ГАС", "ФИС")
 SPACED = ("ЕИС", "АИС", "ГИС", "ФГИС", "ЕГИС", "ПГИС", "ГАС", "ФИС", "РИС")
@@ -173,6 +204,7 @@ LONG_NAMES = (
     r"(?:государственна[яоейыми]|федеральна[яоейыми])\s+информационна[яоейыми]\s+систем[аыеуой]",
     r"автоматизированна[яоейыми]\s+информационна[яоейыми]\s+систем[аыеуой]",
 )
+# What a text that names a system holds.
 SYSTEM_HINTS = ("информационная система", "информационная платформа", "информационный портал", "информационный комплекс", "еис", "аис", "гис", "егис", "епгу", "есиа")
 
 

@@ -107,3 +107,34 @@ def metadata_summary(properties: DataFrame) -> DataFrame:
 def preview(rows: DataFrame, *order: str, n: int = 3) -> DataFrame:
     """The first n rows in an order."""
     return rows.orderBy(*order).limit(n)
+
+
+def replacement_report(replacements: DataFrame) -> DataFrame:
+    """One row: total, categories (a map of counts; a missing category is `unknown`), and replacements of high, medium and low confidence (missing: 1)."""
+    rows = replacements.select(F.coalesce("category", F.lit("unknown")).alias("category"), band(F.coalesce("confidence", F.lit(1.0))).alias("band"))
+    counts = rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("band") == k).alias(k) for k in ("high", "medium", "low")))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(a) for c, a in (("n", "total"), ("high", "high"), ("medium", "medium"), ("low", "low"))]
+    return counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("categories"), *sums)
+
+
+def run_metrics(timings: DataFrame, parse: str, work: str, found: DataFrame) -> DataFrame:
+    """One row: total, parse and work time of timings (stage, seconds), items by source of found, and the parse time over the work time (null without work)."""
+    seconds = lambda name: F.coalesce(F.sum(F.when(F.col("stage") == name, F.col("seconds"))), F.lit(0.0))
+    times = timings.agg(F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("total"), seconds(parse).alias("parse"), seconds(work).alias("work"))
+    times = times.select(*(F.round(c, 2).alias(f"{c}_seconds") for c in ("total", "parse", "work")), F.round(F.try_divide("parse", "work"), 1).alias("ratio"))
+    items = found.agg(F.count_if(F.col("source") == "Rule Engine").alias("rule_items"), F.count_if(F.col("source") == "NLP Service").alias("language_items"))
+    return times.crossJoin(items)  # one row each
+
+
+def profile_export(timings: DataFrame, value: str, *by: str) -> DataFrame:
+    """dimension, name, record: a JSON record of n, total, mean, least and most of the value for each name of each column in `by`.
+
+    For write.json(); beside it slowest() has the bottlenecks, and the timings themselves are a table already.
+    """
+    out = None
+    for c in by:
+        rows = profile(timings.where(F.col(c).isNotNull()), c, value)
+        record = F.to_json(F.struct("n", *(F.round(k, 3).alias(k) for k in ("total", "mean", "least", "most"))))
+        rows = rows.select(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("name"), record.alias("record"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

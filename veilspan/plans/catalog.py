@@ -323,16 +323,16 @@ def q44(spark, d):
 
 
 def q45(spark, d):
-    blocks = _lines(spark, d).where("block_seq < 3")
+    blocks = _lines(spark, d)
     marked = blocks.withColumn("type", F.when(F.col("block_seq") == 0, F.lit("header")).otherwise(F.col("type")))
-    echo = marked.where("block_seq = 0").select("doc_id", F.lit("paragraph_9").alias("block_id"), F.lit(9).alias("block_seq"), F.lit("paragraph").alias("type"), F.concat(F.lit("see "), "text").alias("text"))
+    echo = marked.where("block_seq = 0").select("doc_id", F.lit("paragraph_x").alias("block_id"), F.lit(-1).alias("block_seq"), F.lit("paragraph").alias("type"), F.concat(F.lit("see "), "text").alias("text"))
     out = bl.header_echo(marked.unionByName(echo))
     return out.select("doc_id", "block_seq", F.size("hf_matches").alias("n_echo"))
 
 
 def q46(spark, d):
     """The phrase matchers: every phrase, and the longest without overlap."""
-    docs = _docs(spark, d).where(~F.col("text").rlike("[^\\x00-\\x7F]"))
+    docs = _docs(spark, d)
     every = extract.phrases(docs, "phrase", PHRASES).select("doc_id", F.lit("every").alias("how"), "start", "end", F.round("confidence", 6).alias("confidence"))
     return every.unionByName(extract.smart_phrases(docs, "phrase", PHRASES).select("doc_id", F.lit("longest").alias("how"), "start", "end", F.round("confidence", 6).alias("confidence")))
 
@@ -385,6 +385,8 @@ UNION ALL SELECT props.doc_id, section, property, props.value, arg_min(u.uuid, u
   FROM props LEFT JOIN equal USING (doc_id, value) JOIN u ON u.doc_id = props.doc_id AND length(u.original_value) >= 3 AND contains(props.value, u.original_value) WHERE equal.uuid IS NULL GROUP BY props.doc_id, section, property, props.value)"""
 
 _PHRASES = tuple(Rule("phrase", rf"(?i)\b{w.replace(' ', chr(92) + 's+')}\b", "phrase", round(conf.for_phrase(len(w.split())), 6)) for w in PHRASES)
+#: DuckDB's \\b knows ASCII alone: letters beyond it become z, and other characters beyond it a space, so that all offsets stay.
+_ASCII_WORDS = f"SELECT doc_id, block_id, block_seq, regexp_replace(regexp_replace(text, '[^\\x00-\\x7F\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]', ' ', 'g'), '[^\\x00-\\x7F]', 'z', 'g') AS text FROM ({DOCS})"
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "q01_span_scan": (q01, f'WITH {_with_spans()} SELECT doc_id, category, original_value, start, "end", confidence, method FROM spans'),
     "q02_span_report": (lambda s, d: reports.by_category(_spans(s, d)), f"WITH {_with_spans()} SELECT category, {BAND} AS band, count(*) AS n FROM spans GROUP BY ALL"),
@@ -445,8 +447,8 @@ SELECT doc_id, category, start, "end", method, confidence FROM x WHERE (last IS
     "q42_report_with_metadata": (q42, f"WITH {_with_spans()}, m AS (SELECT doc_id, original_value || CASE WHEN start % 2 = 0 THEN '' ELSE '!' END AS original_value FROM spans) SELECT doc_id, original_value, block_id FROM spans UNION ALL SELECT doc_id, original_value, 'metadata' FROM m WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc_id = m.doc_id AND s.original_value = m.original_value)"),
     "q43_rule_listing": (q43, f"WITH r(place, category, pattern, confidence, method, description) AS (VALUES {_values(OVERLAPPING)}) SELECT category, count(*) AS n, 'regex' AS kinds, string_agg(description, '; ' ORDER BY description) AS descriptions FROM r GROUP BY category"),
     "q44_typed_rules": (q44, "SELECT * FROM (VALUES ('email', 'regex', true), ('inn', 'regex', true), ('email', 'sql', false), ('phone', 'keyword', false), ('other', 'regex', false)) t(category, method, valid)"),
-    "q45_header_echo": (q45, f"WITH l AS ({LINES}), b AS (SELECT *, CASE WHEN block_seq = 0 THEN 'header' ELSE 'paragraph' END AS type FROM l WHERE block_seq < 3 UNION ALL SELECT doc_id, 'paragraph_9', 9, 'see ' || text, 'paragraph' FROM l WHERE block_seq = 0) SELECT b.doc_id, b.block_seq, CAST(count(h.text) AS INTEGER) AS n_echo FROM b LEFT JOIN (SELECT doc_id, text FROM b WHERE type = 'header') h ON h.doc_id = b.doc_id AND b.type <> 'header' AND contains(b.text, h.text) GROUP BY ALL"),
-    "q46_phrases": (q46, f"""WITH {_with_spans(_PHRASES, DOCS + " WHERE NOT regexp_matches(coalesce(text, ''), '[^' || chr(1) || '-' || chr(127) || ']')")}, lists AS (SELECT doc_id, list_transform(list({PACK} ORDER BY -len(string_split(original_value, ' ')), -confidence, start, ord), lambda x: [x]) AS l FROM spans GROUP BY doc_id),
+    "q45_header_echo": (q45, f"WITH l AS ({LINES}), b AS (SELECT *, CASE WHEN block_seq = 0 THEN 'header' ELSE 'paragraph' END AS type FROM l UNION ALL SELECT doc_id, 'paragraph_x', -1, 'see ' || text, 'paragraph' FROM l WHERE block_seq = 0) SELECT b.doc_id, b.block_seq, CAST(count(h.text) AS INTEGER) AS n_echo FROM b LEFT JOIN (SELECT doc_id, text FROM b WHERE type = 'header') h ON h.doc_id = b.doc_id AND b.type <> 'header' AND contains(b.text, h.text) GROUP BY ALL"),
+    "q46_phrases": (q46, f"""WITH {_with_spans(_PHRASES, _ASCII_WORDS)}, lists AS (SELECT doc_id, list_transform(list({PACK} ORDER BY -len(string_split(original_value, ' ')), -confidence, start, ord), lambda x: [x]) AS l FROM spans GROUP BY doc_id),
 kept AS (SELECT doc_id, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: {_strict('k', 'x[1]')})) > 0 THEN acc ELSE list_concat(acc, x) END)) AS k FROM lists)
 SELECT doc_id, 'every' AS how, start, "end", CAST(0.7 AS DOUBLE) AS confidence FROM spans UNION ALL SELECT doc_id, 'longest', k.start, k."end", round(k.confidence, 6) FROM kept"""),
     "q47_analyse": (q47, f"WITH {_ANALYSE} SELECT {_S}, 'Rule Engine' AS source FROM p UNION ALL SELECT {_S}, 'NLP Service' FROM l"),
@@ -466,9 +468,15 @@ SELECT category, count(*) AS attempts, count(k) AS successes FROM spans LEFT JOI
 }
 
 
+def _all() -> dict[str, tuple[Query, str | None]]:
+    from . import names
+
+    return {**QUERIES, **names.QUERIES}
+
+
 def queries() -> dict[str, Query]:
-    return {name: query for name, (query, _) in QUERIES.items()}
+    return {name: query for name, (query, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
+    return {name: sql for name, (_, sql) in _all().items() if sql}

@@ -31,3 +31,11 @@ def header_echo(blocks: DataFrame) -> DataFrame:
     inside = F.filter("_marks", lambda m: F.contains(F.col("text"), m["text"]))
     none = F.array().cast("array<struct<source:string,text:string>>")
     return out.withColumn("hf_matches", F.when(F.col("type").isin("header", "footer"), none).otherwise(F.coalesce(inside, none))).drop("_marks")
+
+
+def walk(blocks: DataFrame) -> DataFrame:
+    """doc_id, paragraphs, tables, headers, footers: the texts of each document's blocks by kind, in order; kinds that it lacks are empty."""
+    kinds = {"paragraphs": ("paragraph", "sdt"), "tables": ("table_cell", "table"), "headers": ("header",), "footers": ("footer",)}
+    place = F.struct("block_seq", "block_id", "text")
+    lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("type").isin(*types), place))), lambda x: x["text"]).alias(name) for name, types in kinds.items()]
+    return blocks.groupBy("doc_id").agg(*lists)

@@ -15,6 +15,7 @@ from dataclasses import asdict, dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import xlsx
 from .data import language, structured
 
 
@@ -55,7 +56,7 @@ _NUMERIC = frozenset("phone passport inn snils bank_account card_number ogrn ogr
 
 
 def structured_rules() -> list[Rule]:
-    return [Rule(c.lower(), p, d, f, needs="[0-9]" if c.lower() in _NUMERIC else "@" if c.lower() == "email" else "") for c, p, d, f in structured.RULES]
+    return [Rule(c.lower(), p, d, f, needs=r"(?U)\d" if c.lower() in _NUMERIC else "@" if c.lower() == "email" else "") for c, p, d, f in structured.RULES]
 
 
 def repaired_line(line: str) -> tuple[str, str, str, str]:
@@ -80,6 +81,15 @@ def read_structured(spark: SparkSession, path: str) -> DataFrame:
     return out.where("pattern != ''")
 
 
+def read_structured_workbook(spark: SparkSession, path: str) -> DataFrame:
+    """As read_structured(), of a workbook with the columns category, pattern, description and confidence, in any case."""
+    rows = xlsx.read_table(spark, path)
+    names = {c.strip().lower(): c for c in reversed(rows.columns)}
+    cell = lambda n: F.trim(F.col(f"`{names[n]}`")) if n in names else F.lit(None).cast("string")
+    out = rows.select(F.lower(cell("category")).alias("category"), cell("pattern").alias("pattern"), F.coalesce(cell("description"), F.lit("")).alias("description"), F.coalesce(cell("confidence").try_cast("double"), F.lit(0.5)).alias("confidence"))
+    return out.where("pattern != ''")
+
+
 #: Names of the typed rules' categories and methods.
 TYPED_CATEGORIES = ("person_name", "organization", "position", "address", "phone", "email", "passport", "inn", "snils", "bank_account", "date", "financial_amount", "other")
 TYPED_METHODS = ("regex", "phrase_matcher", "spacy_ner", "morphological", "custom_matcher", "context_matcher", "keyword")
@@ -147,6 +157,19 @@ def dictionary(spark: SparkSession, *paths: str) -> DataFrame:
     return out.distinct()
 
 
+#: Government bodies that are looked for where there is no list.
+GOVERNMENT_FALLBACK = (
+    "министерство", "департамент", "управление", "служба", "комитет", "администрация", "правительство", "дума", "совет",
+    "федеральная служба", "государственная дума", "совет федерации", "правительство российской федерации",
+)
+
+
+def government_bodies(spark: SparkSession, *paths: str) -> DataFrame:
+    """word: the lines of the lists that are there, else GOVERNMENT_FALLBACK."""
+    listed = dictionary(spark, *paths)
+    return spark.createDataFrame([(w,) for w in GOVERNMENT_FALLBACK], "word string") if listed.isEmpty() else listed
+
+
 def checked(spark: SparkSession, rules: Iterable[Rule]) -> tuple[list[Rule], list[tuple[Rule, str]]]:
     """Rules that Java compiles and that don't match the empty string; and the others with the reason."""
     jvm, good, bad = spark.sparkContext._jvm, [], []

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import xlsx
+
 # Names under which the columns are known, without regard to case, and the names that are written.
 UUID_NAMES = ("замена (идентификатор)", "замена", "uuid", "identifier", "replacement", "идентификатор")
 VALUE_NAMES = ("исходные данные", "исходное значение", "original_value", "original", "value", "оригинал")
@@ -32,7 +34,9 @@ def replacement_table(df: DataFrame) -> DataFrame:
 
 
 def read_replacements(spark: SparkSession, path: str) -> DataFrame:
-    """A replacement table from CSV files."""
+    """A replacement table from CSV files, or from workbooks if the path ends in .xlsx."""
+    if path.lower().endswith(".xlsx"):
+        return replacement_table(xlsx.read_table(spark, path))
     return replacement_table(spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True))
 
 
@@ -41,6 +45,11 @@ def write_replacements(table: DataFrame, path: str) -> None:
     table.select(*(F.col(c).alias(n) for c, n in WRITTEN.items())).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
 
 
+def replacement_workbooks(table: DataFrame) -> DataFrame:
+    """doc_id, content: the replacement table (doc_id, number, original_value, uuid, block_id) of each document as a workbook."""
+    return xlsx.workbooks(table, "doc_id", "Замены", WRITTEN, "number")
+
+
 def write_ledger(ledger: DataFrame, path: str) -> None:
     """A ledger (doc_id, ledger) as JSON lines."""
     ledger.select("ledger").write.mode("overwrite").text(path)
