@@ -43,14 +43,14 @@ NEVER = -1e9
 #: What the prior weighs against places of the corpus.
 WEIGHT = 4.0
 #: Words of a block of windows, and of a batch of documents, on average and at most (but for one text alone).
-BLOCK, BATCH = 1 << 21, 1 << 20
+BLOCK, BATCH = 1 << 20, 1 << 20
 #: Evidence is summed as integers, so that its order doesn't matter.
 SCALE = 1024
 _U = np.uint64
 
 
-def _summed(rows: DataFrame, count: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
-    """The sum over all texts of count(bytes, offsets), an array of this size, which reaches the driver.
+def _counted(rows: DataFrame, places: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """How often each place under `size` is among places(bytes, offsets) of all texts; the counts reach the driver.
 
     Each task sends a row for each place that isn't 0; they are added up by place, so no task holds more than its share of the places.
     """
@@ -59,7 +59,7 @@ def _summed(rows: DataFrame, count: Callable[[np.ndarray, np.ndarray], np.ndarra
         total = np.zeros(size, np.int64)
         for batch in batches:
             for _, _, data, offsets in tb.chunks(batch.column("text")):
-                total += count(data, offsets)
+                np.add.at(total, places(data, offsets), 1)
         at = np.flatnonzero(total)
         for i in range(0, len(at), 1 << 16):
             k = at[i : i + (1 << 16)]
@@ -95,8 +95,8 @@ def _vocabulary(words: tb.Words) -> tuple[np.ndarray, np.ndarray]:
     return (_shapes(words) << SHAPE_BITS) + (hashes >> _U(64 - SHAPE_BITS)).astype(np.int64), hashes
 
 
-def _count_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return np.bincount(_vocabulary(tb.Words(data, offsets))[0], minlength=VOCABULARY)
+def _places(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return _vocabulary(tb.Words(data, offsets))[0]
 
 
 def _beside(words: tb.Words, values: np.ndarray, step: int) -> np.ndarray:
@@ -194,18 +194,18 @@ class Model:
 
 def fit(docs: DataFrame) -> Model:
     """The network of all texts of docs (doc_id, text)."""
-    counts = _summed(docs, _count_words, VOCABULARY)
+    counts = _counted(docs, _places, VOCABULARY)
     classes = 1 + SINGLES + (np.arange(VOCABULARY) >> SHAPE_BITS)
     top = np.lexsort((np.arange(VOCABULARY), -counts))[:SINGLES]
     top = top[counts[top] > 0]
     classes[top] = np.arange(1, len(top) + 1)
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
-    def count(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def cells_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         w = tb.Words(data, offsets)
-        return np.bincount(_cells(w, shared.value[_vocabulary(w)[0]]), minlength=CONTEXTS * CLASSES)
+        return _cells(w, shared.value[_vocabulary(w)[0]])
 
-    cells = train(_summed(docs, count, CONTEXTS * CLASSES).reshape(CONTEXTS, CLASSES)).reshape(-1)
+    cells = train(_counted(docs, cells_of, CONTEXTS * CLASSES).reshape(CONTEXTS, CLASSES)).reshape(-1)
     smooth = counts + SMOOTHING
     totals = np.bincount(classes, smooth, CLASSES)
     return Model(classes, cells, np.log(smooth / totals[classes]).astype(np.float32), int(counts.sum()))
