@@ -69,6 +69,18 @@ def test_links_give_the_components_of_all_pairs(spark, hot):
     assert {p: got.get(p, p) for p in prints} == roots(prints)
 
 
+@pytest.mark.parametrize("hot", [8, 2])
+def test_crowded_fingerprints_are_split(spark, hot):
+    """Many that agree in four bytes, some of which agree in six or are within two bits."""
+    rng = random.Random(9)
+    prints = {np.int64(np.uint64(0xABCD1234 << 32 | rng.getrandbits(32))).item() for _ in range(150)}
+    prints |= {np.int64(np.uint64(p & (1 << 64) - 1 ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64))).item() for p in list(prints)[:60]}
+    prints |= {np.int64(np.uint64(0x1111111111110000 + rng.getrandbits(16))).item() for _ in range(60)}
+    prints = sorted(prints)
+    got = {r.node: r.root for r in simhash.components(simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), hot)).collect()}
+    assert {p: got.get(p, p) for p in prints} == roots(prints)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}

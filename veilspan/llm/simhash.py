@@ -5,9 +5,11 @@ pairs, so such fingerprints agree in two pairs at least, and the index has a pos
 bytes. Members of a list are compared once: their shared positional bytes are tallied, pairs with fewer than 8 - REACH are
 dropped, and the rest are verified bit by bit. Exact copies are one fingerprint throughout.
 
-Lists of over HOT fingerprints are not paired off. Each of their members is sent to itself and its 64 neighbours at one bit;
-all members that meet at a place are within two bits of each other, and two within two bits meet somewhere, so linking each to the
-smallest at the place gives the same components with rows in proportion to the members.
+Lists of over HOT fingerprints are split by more of their bytes: their members agree in six positions or more with whatever is near them, so they
+are listed under each six positions, and the shorter of these lists are tallied and verified in the same way. What is left are members
+that are equal but for two bytes and crowd there (over HOT of 65,536 values). These aren't paired off: each is sent to itself and its 64
+neighbours at one bit; all that meet at a place are within two bits of each other, and two within two bits meet somewhere, so linking
+each to the smallest at the place gives the same components with rows in proportion to the members.
 
 Components are found by alternating large-star and small-star steps over links between fingerprints, each step written
 to the shared folder.
@@ -27,8 +29,11 @@ from pyspark.sql import functions as F
 from .common import written
 
 REACH, SHINGLE, SEED = 2, 3, 42
-#: Longer posting lists are linked through neighbours instead of pairs.
+#: Longer posting lists are split, and what can't be is linked through neighbours.
 HOT = 64
+#: The byte positions of the index's lists, and of those that long lists are split into.
+FOUR = tuple((2 * i, 2 * i + 1, 2 * j, 2 * j + 1) for i, j in combinations(range(4), 2))
+SIX = tuple(combinations(range(8), 8 - REACH))
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -80,29 +85,44 @@ def _linked(a: Column, b: Column) -> Column:
     return (_shared_bytes(a, b) >= 8 - REACH) & (F.bit_count(a.bitwiseXOR(b)) <= REACH)
 
 
-def _postings(prints: DataFrame) -> DataFrame:
-    """which, bytes, fp: each fingerprint under each two of its four pairs of positions."""
-    pair = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    entries = [F.struct(F.lit(4 * i + j).alias("which"), (pair[i] * 65536 + pair[j]).alias("bytes")) for i, j in combinations(range(4), 2)]
-    return prints.select("fp", F.explode(F.array(*entries)).alias("e")).select("e.which", "e.bytes", "fp")
+def _postings(prints: DataFrame, places: tuple[tuple[int, ...], ...]) -> DataFrame:
+    """which, bytes, fp: each fingerprint under each choice of byte positions."""
 
+    def entry(which: int, positions: tuple[int, ...]) -> Column:
+        value = F.lit(0).cast("long")
+        for i in positions:
+            value = F.shiftleft(value, 8).bitwiseOR(_byte(F.col("fp"), i))
+        return F.struct(F.lit(which).alias("which"), value.alias("bytes"))
 
-def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
-    """a, b: links between the distinct fingerprints in prints (fp) that join what is within REACH bits."""
-    postings = written(_postings(prints), "simhash-postings")
+    entries = F.array(*(entry(k, p) for k, p in enumerate(places)))
+    return prints.select("fp", F.explode(entries).alias("e")).select("e.which", "e.bytes", "fp")
+
+
+def _tallied(prints: DataFrame, places: tuple[tuple[int, ...], ...], hot: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """a, b: pairs of members of the lists of up to `hot` that pass the count filter and verification; and fp of members of longer lists."""
+    postings = written(_postings(prints, places), f"{name}-postings")
     key = ["which", "bytes"]
-    sizes = written(postings.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-sizes")
+    sizes = written(postings.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"{name}-sizes")
     few = postings.join(sizes.where(F.col("n") <= hot).select(*key), key, "left_semi")
     x, y = few.alias("x"), few.alias("y")
     met = (F.col("x.which") == F.col("y.which")) & (F.col("x.bytes") == F.col("y.bytes")) & (F.col("x.fp") < F.col("y.fp"))
     pairs = x.join(y, met & _linked(F.col("x.fp"), F.col("y.fp"))).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-
     many = postings.join(sizes.where(F.col("n") > hot).select(*key), key, "left_semi").select("fp").distinct()
+    return pairs, many
+
+
+def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
+    """a, b: links between the distinct fingerprints in prints (fp) that join what is within REACH bits."""
+    pairs, many = _tallied(prints, FOUR, hot, "simhash")
+    many = written(many, "simhash-many")
+    if many.isEmpty():
+        return pairs.distinct()
+    split, crowded = _tallied(many, SIX, hot, "simhash-split")
     near = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(np.int64(np.uint64(1) << np.uint64(i)).item())) for i in range(64)))
-    places = many.select("fp", F.explode(near).alias("place"))
+    places = crowded.select("fp", F.explode(near).alias("place"))
     least = places.groupBy("place").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("place", "a")
     stars = places.join(least, "place").where("fp > a").select("a", F.col("fp").alias("b"))
-    return pairs.unionByName(stars).distinct()
+    return pairs.unionByName(split).unionByName(stars).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
