@@ -60,7 +60,10 @@ def test_mixing_follows_the_schedule(spark, folder):
     """A plain walk over the schedule: each slot's block of its source's line, and copies in the order of the slots they begin in."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = docs.collect()
-    sizes = docs.select("source", F.size(F.expr("filter(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '')")).cast("long").alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += len(plain_words(r.text))
+    sizes = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
     plan = sorted(mixing.blocks(mixing.source_targets(sizes)).collect(), key=lambda r: r.slot)
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
     lines = {}
@@ -89,6 +92,51 @@ def test_mixing_follows_the_schedule(spark, folder):
     assert {(r.row.doc_id, r.taken) for r in mixing.mix(docs, ["doc_id"]).collect()} == {(rows[i].doc_id, taken[i]) for i in range(len(rows))}
 
 
+def test_decontamination_equals_plain_version(spark, folder):
+    split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+    windows = set()
+    for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect():
+        w = split(r.text)
+        n = min(10, len(w))
+        windows |= {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    clean = lambda w: not any(tuple(w[i : i + n]) in windows for n in range(1, 11) for i in range(len(w) - n + 1))
+    want = [r for r in docs.collect() if clean(split(r.text))]
+    assert 0 < len(want) < docs.count()
+    assert sorted(map(repr, cp.drop_contaminated(spark, docs, folder).collect())) == sorted(map(repr, want))
+
+
+def test_near_copies_equal_plain_version(spark, folder):
+    """Of each component of texts with a similarity of 0.8 (by all pairs) the row with the smallest id stays, ids that are null last."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = docs.collect()
+
+    def shingles(t):
+        w = plain_words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, parent = [shingles(r.text) for r in rows], list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if (not a and not b) or (a and b and 5 * len(a & b) >= 4 * len(a | b)):
+                parent[find(i)] = find(j)
+    best = {}
+    for i, r in enumerate(rows):
+        k = find(i)
+        key = (r.doc_id is None, r.doc_id or 0)
+        best[k] = min(best.get(k, key), key)
+    got = cp.drop_near_copies(spark, docs, folder).collect()
+    of = {repr(r): find(i) for i, r in enumerate(rows)}
+    assert sorted(of[repr(r)] for r in got) == sorted(best)
+    assert all((r.doc_id is None, r.doc_id or 0) == best[of[repr(r)]] for r in got)
+
+
 def test_run(spark, folder, nothing):
     assert cp.run(spark, folder).count() > 0
     assert cp.run(spark, nothing).count() == 0
