@@ -39,7 +39,7 @@ HASH_BITS = 48
 #: The most spans to remove (16 bytes each) in a broadcast; beyond, the join shuffles.
 SPAN_ROWS = 2_000_000
 #: Bytes of text whose grams (one in 18 bytes or so) are counted in one block.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 #: The most texts of a piece.
 PIECE_TEXTS = (1 << 16) - 1
 #: Suffixes merged in one task, about; suffixes sorted into one run; and grams counted in one piece.
