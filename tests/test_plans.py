@@ -3,7 +3,7 @@ import re
 import pytest
 
 from veilspan.operators import combine, extract
-from veilspan.plans import catalog
+from veilspan.plans import catalog, files
 from veilspan.session import spread
 from veilspan.sources.blocks import whole_blocks
 from veilspan.sources.rules import ASCII_RULES
@@ -26,7 +26,7 @@ def test_scan_has_no_shuffle_and_no_python(spark):
     assert "Exchange" not in text and not re.search("Python|Arrow|Pandas", text)
 
 
-@pytest.mark.parametrize("name", catalog.queries())
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(files.QUERIES)))
 def test_no_query_runs_python_or_a_cartesian_product(spark, name):
     text = plan(catalog.queries()[name](spark, DATA))
     assert not re.search("Python|MapInArrow|Pandas|CartesianProduct", text)

@@ -469,9 +469,9 @@ SELECT category, count(*) AS attempts, count(k) AS successes FROM spans LEFT JOI
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
-    from . import names
+    from . import files, names
 
-    return {**QUERIES, **names.QUERIES}
+    return {**QUERIES, **names.QUERIES, **files.QUERIES}
 
 
 def queries() -> dict[str, Query]:

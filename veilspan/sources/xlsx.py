@@ -117,33 +117,41 @@ def _cell(reference: str, value: object) -> str:
     return f'<c r="{reference}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id (the path), sheet_no, sheet, row, cells of all rows of the workbooks below a path; a file that is no workbook has none."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select(F.col("path").alias("doc_id"), "content")
+def cells(files: DataFrame) -> DataFrame:
+    """doc_id, sheet_no, sheet, row, cells of all rows of workbooks (doc_id, content); a file that is no workbook has none."""
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for doc_id, content in zip(f["doc_id"], f["content"], strict=True):
                 try:
-                    out += [(doc_id, n, name, i, cells) for n, (name, table) in enumerate(sheets(content)) for i, cells in enumerate(table)]
+                    out += [(doc_id, n, name, i, row) for n, (name, table) in enumerate(sheets(content)) for i, row in enumerate(table)]
                 except (zipfile.BadZipFile, KeyError, ET.ParseError):
                     continue
             yield pd.DataFrame(out, columns=["doc_id", "sheet_no", "sheet", "row", "cells"]).astype({"row": "int32", "sheet_no": "int32"})
 
-    return files.mapInPandas(rows, "doc_id string, sheet_no int, sheet string, row int, cells array<string>")
+    return files.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInPandas(rows, "doc_id string, sheet_no int, sheet string, row int, cells array<string>")
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """cells() of the workbooks below a path, which is their doc_id."""
+    return cells(spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select(F.col("path").alias("doc_id"), "content"))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheets of the workbooks below a path as one table of texts; the first row with a cell of one of them names the columns.
+    """table_of() of the workbooks below a path."""
+    return table_of(read_cells(spark, path))
+
+
+def table_of(rows: DataFrame) -> DataFrame:
+    """The first sheets of workbooks (as cells() gives them) as one table of texts; the first row with any text names the columns.
 
     Each workbook's own names decide where its columns stand; a name that it lacks is null. Rows without any text are dropped.
     """
-    cells = read_cells(spark, path)
-    cells = cells.where((F.col("sheet_no") == 0) & F.exists("cells", lambda c: F.coalesce(F.trim(c) != "", F.lit(False))))
-    top = cells.groupBy("doc_id").agg(F.min("row").alias("_top"), F.min_by("cells", "row").alias("_names"))
+    rows = rows.where((F.col("sheet_no") == 0) & F.exists("cells", lambda c: F.coalesce(F.trim(c) != "", F.lit(False))))
+    top = rows.groupBy("doc_id").agg(F.min("row").alias("_top"), F.min_by("cells", "row").alias("_names"))
     names = [r.name for r in top.select(F.posexplode("_names").alias("at", "name")).where("name is not null").groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect()]
-    rows = cells.join(top, "doc_id").where(F.col("row") > F.col("_top"))
+    rows = rows.join(top, "doc_id").where(F.col("row") > F.col("_top"))
     pick = lambda n: F.try_element_at(F.col("cells"), F.nullif(F.array_position("_names", n), F.lit(0)).cast("int")).alias(n)
     return rows.select("doc_id", "row", *map(pick, names)) if names else rows.select("doc_id", "row")
 
