@@ -27,7 +27,8 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (simhash_wide.one_of_each).
+    """One document of each group of near copies (simhash_wide.one_of_each): by SimHash and its index of bytes, verified by exact similarity,
+    and by an exact search for what that misses.
 
     Texts without words (null too) are copies of each other, and so are repeated rows; the smallest id stays, ids that are null come last.
     Columns may have any names. An empty table gives no rows.

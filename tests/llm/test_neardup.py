@@ -184,3 +184,70 @@ def test_rows_that_share_an_id_lose_no_group(spark):
     rows = [(5, long_[0]), (5, long_[1]), (3, long_[1]), (9, long_[0]), (None, long_[2]), (None, long_[2]), (7, None), (2, ""), (7, None), (4, long_[2] + " x"), (4, long_[2] + " x")]
     kept = simhash_wide.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(5, long_[0]), (3, long_[1]), (4, long_[2] + " x"), (2, "")], key=repr)
+
+
+def edited(rng, groups):
+    """Texts by id: groups of copies with up to 24 words changed of 400."""
+    texts = {}
+    for g in range(groups):
+        base = [f"g{g}w{rng.randrange(10**6)}" for _ in range(400)]
+        for k in (0, 1, 2, 4, 8, 24):
+            w = list(base)
+            for i in rng.sample(range(400), k):
+                w[i] = f"new{rng.randrange(10**6)}"
+            texts[len(texts)] = " ".join(w)
+    return texts
+
+
+def wide_prints(texts):
+    return {i: sum((w & (1 << 64) - 1) << 64 * k for k, w in enumerate(simhash_wide.fingerprint(t.encode()))) for i, t in texts.items()}
+
+
+@pytest.mark.parametrize("hot", [8, 1])
+def test_simhash_index_equals_plain_version(spark, hot):
+    """Pairs that share a list, enough bytes and enough bits; all pairs within SURE bits are among them."""
+    texts = edited(random.Random(21), 30)
+    prints = wide_prints(texts)
+    blocks = {i: [p >> 16 * k & 0xFFFF for k in range(16)] for i, p in prints.items()}
+    lists = {}
+    for i, b in blocks.items():
+        for x in range(16):
+            for y in range(x + 1, 16):
+                if x // 8 == y // 8:
+                    lists.setdefault((x, y, b[x], b[y]), []).append(i)
+    want = set()
+    for members in lists.values():
+        want |= {(a, b) for a in members[: 1 if len(members) > hot else None] for b in members if a < b}  # ids are in order
+    differ = lambda a, b: (prints[a] ^ prints[b]).bit_count()
+    shared = lambda a, b: sum((prints[a] ^ prints[b]) >> 8 * k & 255 == 0 for k in range(32))
+    want = {(a, b) for a, b in want if shared(a, b) >= simhash_wide.SHARED and differ(a, b) <= simhash_wide.REACH}
+    sure = {(a, b) for a in texts for b in texts if a < b and differ(a, b) <= simhash_wide.SURE}
+    nodes = spark.createDataFrame([(i, simhash_wide.fingerprint(t.encode())) for i, t in texts.items()], "fp long, simhash array<long>")
+    got = {(r.a, r.b) for r in simhash_wide.met(nodes, hot).collect()}
+    assert got == want and len(sure) > 20 and (hot < 8 or sure <= got)
+
+
+def test_fingerprint_is_the_majority_of_the_hashes_of_runs():
+    rng = random.Random(22)
+    words = [f"w{rng.randrange(50)}" for _ in range(90)]
+    a, b, c = (simhash_wide.fingerprint(" ".join(w).encode()) for w in (words, [w.upper() for w in words], words + words[:30]))
+    assert a == b and a != c and len(set(a)) == simhash_wide.WORDS
+    factor, mask = int(simhash_wide._FACTOR), (1 << 64) - 1
+    h = [xxhash.xxh64_intdigest(w, 42) for w in words]
+    runs = [(x * factor * factor + y * factor + z) & mask for x, y, z in zip(h, h[1:], h[2:], strict=False)]
+    runs = [r ^ r >> 29 for r in runs]  # repeats included
+    assert a[0] & mask == sum(1 << i for i in range(64) if 2 * sum(r >> i & 1 for r in runs) > len(runs))
+    assert simhash_wide.fingerprint(b" \n") == [0] * simhash_wide.WORDS
+
+
+def test_stage_links_near_copies_by_simhash(spark, monkeypatch):
+    """Without the exact search that follows, most groups are found; with it, all."""
+    texts = edited(random.Random(23), 20)
+    want = near_components(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in simhash_wide.one_of_each(docs).collect()} == set(want.values())
+    monkeypatch.setattr(simhash_wide, "missed", lambda docs, nodes, near, length, hot: near.limit(0))
+    got = {r.doc_id: r.component_id for r in simhash_wide.near_duplicates(docs).collect()}
+    assert all(want[i] == want[root] for i, root in got.items())  # nothing is linked that isn't near
+    extra, all_ = len(set(got.values())) - len(set(want.values())), len(texts) - len(set(want.values()))
+    assert all_ > 40 and extra <= 0.2 * all_

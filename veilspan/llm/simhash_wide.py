@@ -1,7 +1,16 @@
-"""Near copies of whole documents: exact Jaccard similarity over word shingles, with a candidate search that misses no pair.
+"""Near copies of whole documents: SimHash by an index of fingerprint bytes, verified by exact Jaccard similarity over word shingles.
 
-A document is the set of its shingles, by 64-bit hash; documents with equal sets are one node. All sets are sorted in one order. Two
-sets of n and m shingles with a similarity of SIMILARITY share at least 4/9 (n + m) shingles, so their first shared one stands
+A document is the set of its shingles, by 64-bit hash; documents with equal sets are one node. Links are found in two steps.
+
+SimHash: a node has a fingerprint of 64 * WORDS bits over the runs of words that op3 takes, repeats included. Its 32 bytes are 16 blocks
+of two, in two halves, and the index has a posting list for each two blocks of a half and their bytes. Fingerprints that
+differ in at most SURE bits agree in three blocks at least, two of them in one half, so they meet; others meet by chance. Members
+that meet are compared once: pairs with fewer than SHARED equal bytes are dropped, then those that differ in over REACH bits, and
+the rest are verified by their whole sets. Members of lists of over HOT are compared with the smallest, in rows in proportion to them.
+
+An exact search follows, as no number of bits is sure at a similarity of 0.8 (NEAR): it finds the links that are left between different
+components, so that no pair is missed. All sets are sorted in one order. Two
+sets of n and m shingles with that similarity share at least 4/9 (n + m) shingles, so their first shared one stands
 among the first n // 5 + 1 of the one and the first m // 5 + 1 of the other, and neither has too few left from there on. Each node
 therefore stands in the posting lists of its first n // 5 + 1 shingles; members of a list that pass the test of what is left are
 verified by their whole sets, whatever the length of the list. Before, pairs are dropped whose sketches differ in more places
@@ -11,7 +20,7 @@ set has changes one place.
 Any order of shingles gives the same pairs. Rare shingles come first, so that lists are short: how often shingles occur is
 estimated from the documents of one in SAMPLE hashes of texts, and those without an estimate are in the order of their hashes.
 
-Members of lists of over HOT are first compared with a centre of their list, the member that stands in most long lists, in rows in
+Members of these lists, if over HOT, are first compared with a centre of their list, the member that stands in most long lists, in rows in
 proportion to the members. Then only members whose components still differ are paired, and only if their
 sketches let them be near, so that a large group of near copies isn't paired off, and every pair that meets is verified, ruled out by
 its sketches or known to be in one component already.
@@ -20,6 +29,7 @@ its sketches or known to be in one component already.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +37,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import fresh, text_of, written
-from .simhash import _LOWER, SEED, components
+from .simhash import _LOWER, SEED, _majority, _shared_bytes, components
+from .simhash import SHINGLE as RUN
+from .textbytes import mixed
 
 #: The least similarity is NEAR[0] / NEAR[1].
 SHINGLE, NEAR = 5, (4, 5)
-#: Members of longer lists are first compared with a centre.
+#: The 64-bit words of a fingerprint, and the blocks of two bytes, two of a half, that name its lists.
+WORDS = 4
+PLACES = tuple(p for half in (range(8), range(8, 16)) for p in combinations(half, 2))
+#: Bits up to which fingerprints are sure to meet; the equal bytes that a pair has at least, and the bits in which it differs at most, to be verified.
+SURE, SHARED, REACH = 13, 7, 40
+#: Members of longer lists are first compared with one member.
 HOT = 8
 #: The words of a sketch.
 SKETCH = 16
@@ -46,19 +64,38 @@ BROADCAST_IDS = 500_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_set(text: bytes, length: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the runs of `length` words of the lower-cased text; of the whole sequence if there are fewer words."""
+def _words(text: bytes) -> np.ndarray:
+    """Hashes of the words of the lower-cased text."""
     hash_ = xxhash.xxh64_intdigest
     words = text.translate(_LOWER).split()
     known = {w: hash_(w, SEED) for w in set(words)}
-    h = np.fromiter((known[w] for w in words), np.uint64, len(words))
+    return np.fromiter((known[w] for w in words), np.uint64, len(words))
+
+
+def _runs(h: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the runs of `length` words, by their hashes; of the whole sequence if there are fewer words."""
     n = min(length, len(h))
     if not n:
         return h
     out = np.zeros(len(h) - n + 1, np.uint64)
     for i in range(n):
         out = out * _FACTOR + h[i : i + len(out)]
-    return np.unique(out ^ (out >> np.uint64(29)))
+    return out ^ (out >> np.uint64(29))
+
+
+def shingle_set(text: bytes, length: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the runs of `length` words of the lower-cased text; of the whole sequence if there are fewer words."""
+    return np.unique(_runs(_words(text), length))
+
+
+def fingerprint(text: bytes) -> list[int]:
+    """The SimHash of a text, WORDS signed integers; zeros for a text without words."""
+    return _simhash(_words(text))
+
+
+def _simhash(words: np.ndarray) -> list[int]:
+    h = _runs(words, RUN)
+    return [_majority(mixed(h + np.uint64(w * int(_FACTOR) % (1 << 64))) if w else h) if len(h) else 0 for w in range(WORDS)]
 
 
 def prefix_length(n: int) -> int:
@@ -72,18 +109,20 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, length: int, estimates: object = None) -> DataFrame:
-    """The columns of docs but text, and fp, n, sketch, shingles of each row: all shingles, or with estimates those of the prefix in their order."""
+    """The columns of docs but text, and fp, n, sketch, shingles of each row: all shingles, or with estimates simhash too, and those of the prefix in their order."""
     carried = [f for f in docs.schema if f.name != "text"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes, sketches, lists = [], [], [], []
+            prints, sizes, sketches, lists, simhashes = [], [], [], [], []
             for t in batch.column("text").cast(pa.large_binary()):
-                s = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", length)
+                words = _words(t.as_buffer().to_pybytes() if t.is_valid else b"")
+                s = np.unique(_runs(words, length))
                 prints.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                 sizes.append(len(s))
                 sketches.append(sketch(s).tolist())
                 if estimates is not None:
+                    simhashes.append(_simhash(words))
                     named, counts = estimates.value
                     if len(named) and len(s):
                         at = np.minimum(np.searchsorted(named, s), len(named) - 1)
@@ -94,10 +133,13 @@ def _sets(docs: DataFrame, length: int, estimates: object = None) -> DataFrame:
             flat = np.concatenate([*lists, np.zeros(0, np.uint64)]).view(np.int64)
             shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             arrays = [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), shingles]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in carried), *arrays], [*(f.name for f in carried), "fp", "n", "sketch", "shingles"])
+            if estimates is not None:
+                arrays.append(pa.array(simhashes, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in carried), *arrays], [f.name for f in [*carried, *made]])
 
     longs = T.ArrayType(T.LongType())
     made = [T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", longs), T.StructField("shingles", longs)]
+    made += [T.StructField("simhash", longs)] if estimates is not None else []
     return docs.mapInArrow(rows, T.StructType([*carried, *made]))
 
 
@@ -119,16 +161,16 @@ def _left(xn: str, xpos: str, yn: str, ypos: str) -> Column:
 
 
 def _met() -> Column:
-    """Whether x and y are two members of a list that have different roots and can be near."""
-    return (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & _left("x.n", "x.pos", "y.n", "y.pos")
+    """Whether x and y are two members of a list that can be near."""
+    return (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.fp") < F.col("y.fp")) & _left("x.n", "x.pos", "y.n", "y.pos")
 
 
 def _paired(lists: DataFrame) -> DataFrame:
-    """a, b: all pairs of members (shingle, fp, n, pos, root; sketch, if there) of a list that have different roots and can be near."""
+    """a, b: all pairs of members (shingle, fp, n, pos; root and sketch, if there) of a list that have different roots and can be near."""
     x, y = lists.alias("x"), lists.alias("y")
     met = _met()
-    if "sketch" in lists.columns:
-        met &= _alike(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n") + F.col("y.n"))
+    if "root" in lists.columns:
+        met &= (F.col("x.root") != F.col("y.root")) & _alike(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n") + F.col("y.n"))
     return x.join(y, met).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
 
@@ -154,28 +196,73 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, length: int) -
     return written(both.where(near).select("a", "b"), "neardup-links")
 
 
-def links(docs: DataFrame, nodes: DataFrame, length: int, hot: int = HOT) -> DataFrame:
-    """a, b: links that join what has the similarity; nodes has fp, n, shingles (the prefix) and `least`, the doc_id and t of a row."""
+def _list_names() -> Column:
+    """The names of a fingerprint's lists: their places and the bytes there."""
+    block = lambda i: F.shiftrightunsigned(F.get("simhash", F.lit(i // 4)), 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF))
+    return F.array(*(F.lit(k << 32).cast("long").bitwiseOR(F.shiftleft(block(i), 16)).bitwiseOR(block(j)) for k, (i, j) in enumerate(PLACES)))
+
+
+def met(nodes: DataFrame, hot: int = HOT) -> DataFrame:
+    """a, b: pairs of nodes (fp, simhash) that meet in a posting list and pass the count filter and the comparison bit by bit."""
+    # one shuffle deals the postings out, and lists of one are dropped there
+    lists = Window.partitionBy("name")
+    postings = nodes.select("fp", F.explode(_list_names()).alias("name"))
+    members = postings.withColumns({"size": F.count(F.lit(1)).over(lists), "least": F.min("fp").over(lists)}).where("size > 1")
+    members = written(members, "simhash-members")
+    few, many = members.where(F.col("size") <= hot).select("name", "fp"), members.where((F.col("size") > hot) & (F.col("fp") > F.col("least")))
+    pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), "name").where("a < b").select("a", "b")
+    pairs = pairs.unionByName(many.select(F.col("least").alias("a"), F.col("fp").alias("b"))).distinct()
+    left, right = (nodes.select(F.col("fp").alias(side), F.col("simhash").alias(f"h{side}")) for side in "ab")
+    words = [(F.get("ha", F.lit(w)), F.get("hb", F.lit(w))) for w in range(WORDS)]
+    shared = sum((_shared_bytes(x, y) for x, y in words), F.lit(0))
+    differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in words), F.lit(0))
+    return pairs.join(left, "a").join(right, "b").where((shared >= SHARED) & (differ <= REACH)).select("a", "b")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose nodes are not in one component by roots (node, root)."""
+    for side in "ab":
+        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
+    return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
+def missed(docs: DataFrame, nodes: DataFrame, near: DataFrame, length: int, hot: int = HOT) -> DataFrame:
+    """a, b: links that join what has the similarity where `near` (a, b) don't; nodes as in links()."""
+    roots = components(near)
     postings = nodes.select("fp", "n", F.posexplode("shingles").alias("pos", "shingle"))
     sizes = written(postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "neardup-sizes")
-    lists = written(postings.join(sizes, "shingle").withColumn("root", F.col("fp")), "neardup-lists")
+    lists = written(postings.join(sizes, "shingle"), "neardup-lists")
     few, many = lists.where(F.col("size") <= hot), lists.where(F.col("size") > hot)
     if many.isEmpty():
-        return verified(_paired(few), docs, nodes, length)
+        return verified(_apart(_paired(few), roots), docs, nodes, length)
     # the more long lists a set is in, the more of it is common to the group
     places = many.groupBy("fp").agg(F.count(F.lit(1)).alias("places"))
-    many = many.join(places, "fp").join(nodes.select("fp", "sketch"), "fp")
-    many = written(many.select("shingle", "fp", "n", "pos", "places", "sketch"), "neardup-long")
-    centre = F.max_by(F.struct("fp", "n", "pos", "sketch"), F.struct("places", "fp"))
-    stars = many.join(many.groupBy("shingle").agg(centre.alias("c")), "shingle").where(F.col("fp") != F.col("c.fp"))
+    many = many.join(places, "fp").join(_rooted(nodes.select("fp", "sketch"), roots), "fp")
+    many = written(many.select("shingle", "fp", "n", "pos", "places", "sketch", "root"), "neardup-long")
+    centre = F.max_by(F.struct("fp", "n", "pos", "sketch", "root"), F.struct("places", "fp"))
+    stars = many.join(many.groupBy("shingle").agg(centre.alias("c")), "shingle").where(F.col("root") != F.col("c.root"))
     stars = stars.where(_left("n", "pos", "c.n", "c.pos") & _alike(F.col("sketch"), F.col("c.sketch"), F.col("n") + F.col("c.n")))
     stars = verified(stars.select(F.least("fp", "c.fp").alias("a"), F.greatest("fp", "c.fp").alias("b")).distinct(), docs, nodes, length)
-    roots = components(stars).select(F.col("node").alias("fp"), F.col("root").alias("_root"))
-    many = many.join(roots, "fp", "left").withColumn("root", F.coalesce("_root", "fp"))
-    pairs = _paired(few).unionByName(_paired(many)).distinct()
+    roots = components(near.unionByName(stars))
+    pairs = _apart(_paired(few), roots).unionByName(_paired(_rooted(many.drop("root"), roots))).distinct()
     return verified(pairs, docs, nodes, length).unionByName(stars)
 
 
+def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """nodes with the root of their component, by roots (node, root)."""
+    roots = roots.select(F.col("node").alias("fp"), F.col("root").alias("_root"))
+    return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("_root", "fp")).drop("_root")
+
+
+def links(docs: DataFrame, nodes: DataFrame, length: int, hot: int = HOT) -> DataFrame:
+    """a, b: links that join what has the similarity: by SimHash, then those it missed.
+
+    nodes has fp, n, simhash, shingles (the prefix) and `least`, the doc_id and t of a row.
+    """
+    near = verified(met(nodes, hot), docs, nodes, length)
+    return near.unionByName(missed(docs, nodes, near, length, hot))
+
+
 def near_duplicates(docs: DataFrame, length: int = SHINGLE, hot: int = HOT) -> DataFrame:
     """doc_id, t, fp, component_id, is_first of each row of docs (doc_id, text): the smallest doc_id of its component, and whether the row has it.
 
@@ -186,10 +273,10 @@ def near_duplicates(docs: DataFrame, length: int = SHINGLE, hot: int = HOT) -> D
     docs = docs.select("doc_id", F.xxhash64(text_of(docs)).alias("t"), "text")
     estimates = docs.sparkSession.sparkContext.broadcast(estimated(docs, length))
     prints = written(_sets(docs, length, estimates), "neardup-prints")
-    nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("least"), *(F.first(c).alias(c) for c in ("n", "sketch", "shingles")))
+    nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("least"), *(F.first(c).alias(c) for c in ("n", "sketch", "shingles")), F.min("simhash").alias("simhash"))
     nodes = written(nodes, "neardup-nodes")
-    roots = components(links(docs, nodes, length, hot)).withColumnRenamed("node", "fp")
-    nodes = nodes.select("fp", "least").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    roots = components(links(docs, nodes, length, hot))
+    nodes = _rooted(nodes.select("fp", "least"), roots)
     ids = nodes.groupBy("root").agg(F.min("least").alias("first"))
     out = prints.select("doc_id", "t", "fp").join(nodes.select("fp", "root").join(ids, "root"), "fp")
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))
