@@ -6,8 +6,9 @@ noise are drawn, which is a draw without replacement in proportion to exp(weight
 
 A task keeps the words of its texts in a trie: a node for each word, with a child for each word that followed it. A node holds the count of
 its feature and the CRC state of the path to it, from which a child's is carried on, so a feature is hashed once in a trie and not once in a
-text. To count, tasks send the totals of buckets, BUCKETS rows at most, and these are added up. To score, tries are grown again with gains in
-the nodes, and each text walks through its paths. A trie that reaches NODES is emptied, after its counts went to the totals: it only saves work.
+text. Nodes lie in numpy arrays, and texts grow and walk the trie a piece at a time. To count, tasks send the totals of buckets, BUCKETS rows at
+most, and these are added up. To score, tries are grown again with gains in the nodes, and each text walks through its paths. A trie that reaches
+NODES is emptied, after its counts went to the totals: it only saves work.
 
 Ranks need no global sort: scores are whole numbers within a few ten thousand of 0, so the number of documents at each score says where the draw
 ends and at which rank each score begins; only documents at the same score are ordered together.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,14 @@ BUCKETS = 10_000
 #: Words that a document must have to be drawn; percent of these documents that are drawn.
 MIN_WORDS, PERCENT = 20, 25
 SEED = 7
-#: Nodes that a task's trie holds at most, but for what one text adds.
-NODES = 200_000
+#: Nodes that a task's trie holds at most, but for what one piece of PIECE bytes of texts, or one longer text, adds.
+NODES, PIECE = 1_000_000, 1 << 20
 #: Words are runs of digits, letters and anything beyond ASCII: other bytes end them, and A-Z are lower-cased.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_START = np.uint32(0xFFFFFFFF)
+#: The register after a byte, from zlib's own CRC of that byte.
+_CRC = np.array([zlib.crc32(bytes([b])) for b in range(256)], np.uint32)
+_CRC = (_CRC ^ _START)[np.arange(256) ^ 255] ^ np.uint32(0x00FFFFFF)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -42,78 +48,110 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-class Node:
-    """A word after the path to it: how often it was met, its path's CRC state, its gain, and the words that followed."""
+def _carried(state: np.ndarray, word: np.ndarray, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """CRC-32 registers, carried on through the bytes text[begin:end] of each one's word, all of them a byte at a time."""
+    state, todo, at = state.copy(), np.arange(len(state)), begin[word]
+    stop = end[word]
+    while True:
+        more = at < stop
+        if not more.all():
+            todo, at, stop = todo[more], at[more], stop[more]
+        if not len(todo):
+            return state
+        old = state[todo]
+        state[todo] = _CRC[(old ^ text[at]) & 255] ^ (old >> np.uint32(8))
+        at = at + 1
 
-    __slots__ = ("count", "state", "gain", "next")
 
-    def __init__(self, state: int, gain: int = 0):
-        self.count, self.state, self.gain, self.next = 0, state, gain, {}
+class Trie:
+    """Runs of one and two words; nodes lie in arrays: those of first words in the order met, those of second words by (first, second).
 
+    A node has the count of its feature and the CRC register after its path, from which its children's are carried on.
+    """
 
-class Trie:
-    """Runs of one and two words."""
-
-    def __init__(self, gains: list[int] | None = None):
-        self.first: dict[bytes, Node] = {}
-        self.nodes, self.gains = 0, gains
-
-    def _node(self, state: int) -> Node:
-        self.nodes += 1
-        return Node(state, self.gains[state % BUCKETS] if self.gains else 0)
-
-    def count(self, words: list[bytes]) -> None:
-        first, before = self.first, None
-        for word in words:
-            node = first.get(word)
-            if node is None:
-                node = first[word] = self._node(zlib.crc32(word))
-            node.count += 1
-            if before is not None:
-                pair = before.next.get(word)
-                if pair is None:
-                    pair = before.next[word] = self._node(zlib.crc32(b" " + word, before.state))
-                pair.count += 1
-            before = node
-
-    def walk(self, words: list[bytes]) -> int:
-        """The sum of the gains of all features."""
-        first, before, total = self.first, None, 0
-        for word in words:
-            node = first.get(word)
-            if node is None:
-                node = first[word] = self._node(zlib.crc32(word))
-            total += node.gain
-            if before is not None:
-                pair = before.next.get(word)
-                if pair is None:
-                    pair = before.next[word] = self._node(zlib.crc32(b" " + word, before.state))
-                total += pair.gain
-            before = node
-        return total
-
-    def totals(self, into: np.ndarray) -> None:
-        """Adds the counts of all nodes to their buckets."""
-        for node in self.first.values():
-            into[node.state % BUCKETS] += node.count
-            for pair in node.next.values():
-                into[pair.state % BUCKETS] += pair.count
-
-
-def _texts(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
+    def __init__(self, gains: np.ndarray | None = None):
+        self.words: dict[bytes, int] = {}
+        self.state, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.pair, self.pair_state, self.pair_count = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.gains = gains
+
+    def __len__(self) -> int:
+        return len(self.words) + len(self.pair)
+
+    def grow(self, rows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Adds and counts the paths of all rows: their nodes of first words, of second words (row by row), and where the latter's rows begin and end."""
+        ids, known = self.words, len(self.words)
+        met = np.array([ids.setdefault(w, len(ids)) for row in rows for w in row], np.int64)
+        new = list(islice(ids, known, None))
+        text = np.frombuffer(b"".join(new), np.uint8).astype(np.uint32)
+        end = np.cumsum([len(w) for w in new], dtype=np.int64)
+        begin = end - np.array([len(w) for w in new], np.int64)
+        self.state = np.concatenate([self.state, _carried(np.full(len(new), _START, np.uint32), np.arange(len(new)), text, begin, end)])
+        self.count = np.concatenate([self.count, np.zeros(len(new), np.int64)]) + np.bincount(met, minlength=len(ids))
+        ends = np.cumsum([len(row) for row in rows], dtype=np.int64)
+        last = np.zeros(len(met), bool)
+        last[ends[np.diff(ends, prepend=0) > 0] - 1] = True
+        inner = np.flatnonzero(~last)
+        paths, path, times = np.unique(met[inner] << 32 | met[inner + 1], return_inverse=True, return_counts=True)
+        at = np.searchsorted(self.pair, paths)
+        fresh = np.ones(len(paths), bool)
+        inside = at < len(self.pair)
+        fresh[inside] = self.pair[at[inside]] != paths[inside]
+        added = paths[fresh]
+        second, words = np.unique(added & 0xFFFFFFFF, return_inverse=True)
+        names = list(ids)
+        spelt = [b" " + names[w] for w in second.tolist()]
+        text = np.frombuffer(b"".join(spelt), np.uint8).astype(np.uint32)
+        end = np.cumsum([len(w) for w in spelt], dtype=np.int64)
+        begin = end - np.array([len(w) for w in spelt], np.int64)
+        states = _carried(self.state[added >> 32], words, text, begin, end)
+        self.pair, self.pair_state, self.pair_count = (np.insert(old, at[fresh], more) for old, more in ((self.pair, added), (self.pair_state, states), (self.pair_count, np.zeros(len(added), np.int64))))
+        nodes = np.searchsorted(self.pair, paths)
+        self.pair_count[nodes] += times
+        steps = np.concatenate([[0], np.cumsum(~last)])
+        return met, nodes[path], ends, steps
+
+    def walk(self, rows: list[list[bytes]]) -> list[int]:
+        """Each row's sum of the gains of its features."""
+        first, second, ends, steps = self.grow(rows)
+        of_first, of_second = (np.concatenate([[0], np.cumsum(self.gains[bucket_of(state)[node]])]) for state, node in ((self.state, first), (self.pair_state, second)))
+        begins = np.concatenate([[0], ends])[:-1]
+        return (of_first[ends] - of_first[begins] + of_second[steps[ends]] - of_second[steps[begins]]).tolist()
+
+    def totals(self) -> np.ndarray:
+        """The counts of all nodes by bucket."""
+        out = np.zeros(BUCKETS, np.int64)
+        np.add.at(out, bucket_of(self.state), self.count)
+        np.add.at(out, bucket_of(self.pair_state), self.pair_count)
+        return out
+
+
+def bucket_of(state: np.ndarray) -> np.ndarray:
+    return (state ^ _START) % np.uint32(BUCKETS)
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[list[list[bytes]]]:
+    """The words of the texts, in pieces of PIECE bytes or one longer text; together they are the batch's, in order."""
+    rows, held = [], 0
     for text in batch.column("text"):
-        yield words_of(text.as_buffer().to_pybytes())
+        rows.append(words_of(text.as_buffer().to_pybytes()))
+        held += len(text.as_buffer())
+        if held >= PIECE:
+            yield rows
+            rows, held = [], 0
+    if rows:
+        yield rows
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals, trie = np.zeros(BUCKETS, np.int64), Trie()
     for batch in batches:
-        for words in _texts(batch):
-            trie.count(words)
-            if trie.nodes >= NODES:
-                trie.totals(totals)
+        for rows in _texts(batch):
+            trie.grow(rows)
+            if len(trie) >= NODES:
+                totals += trie.totals()
                 trie = Trie()
-    trie.totals(totals)
+    totals += trie.totals()
     at = np.flatnonzero(totals)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(totals[at])], ["bucket", "n"])
 
@@ -139,20 +177,20 @@ def gains(corpus: list[int], target: list[int]) -> list[int]:
 
 def weigh(docs: DataFrame, gain: list[int], keep: list[str]) -> DataFrame:
     """row (a struct of the columns in keep), n_words, n_features and weight of each row of docs (text)."""
-    table = docs.sparkSession.sparkContext.broadcast(gain)
+    table = docs.sparkSession.sparkContext.broadcast(np.array(gain, np.int64))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(table.value)
         for batch in batches:
-            n, weight = [], []
-            for words in _texts(batch):
-                features = max(2 * len(words) - 1, 0)
-                n.append(len(words))
-                weight.append(trie.walk(words) // features if features else 0)
-                if trie.nodes >= NODES:
+            n, sums = [], []
+            for texts in _texts(batch):
+                n += map(len, texts)
+                sums += trie.walk(texts)
+                if len(trie) >= NODES:
                     trie = Trie(table.value)
-            n = np.array(n, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n), pa.array(np.maximum(2 * n - 1, 0)), pa.array(weight, pa.int64())], ["row", "n_words", "n_features", "weight"])
+            n, sums = np.array(n, np.int64), np.array(sums, np.int64)
+            features = np.maximum(2 * n - 1, 0)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n), pa.array(features), pa.array(sums // np.maximum(features, 1))], ["row", "n_words", "n_features", "weight"])
 
     row = F.struct(*(docs[c] for c in keep))
     source = docs.select(row.alias("row"), _binary(docs))
