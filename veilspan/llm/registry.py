@@ -11,6 +11,7 @@ from .pseudolikelihood import op10_lm_scoring
 from .quality_rules import OP1_SQL, op1_quality_rules
 from .resampling import OP12_SQL, op12_importance_resampling
 from .rulefit import op2_quality_classifier
+from .secret_scan import op13_secret_scan
 from .simhash import op3_simhash_near_dedup
 from .sharding import OP4_SQL, op4_sharding
 from .suffix_dedup import OP7_SQL, op7_suffix_dedup
@@ -30,6 +31,7 @@ def queries() -> dict:
         "op10_lm_scoring": op10_lm_scoring,
         "op11_source_divergence": op11_source_divergence,
         "op12_importance_resampling": op12_importance_resampling,
+        "op13_secret_scan": op13_secret_scan,
     }
 
 
