@@ -16,7 +16,7 @@ from ..functions.spans import matches, no_spans, overlap_ratio
 from ..functions.text import UUID_PATTERN, context_window, let, plain_spaces, system_parts, system_suffix
 from ..sources.data import language
 from ..sources.rules import Rule
-from . import intervals
+from . import dictionary, intervals
 
 COLUMNS = ("doc_id", "block_id", "category", "original_value", "start", "end", "confidence", "method", "description", "ord")
 #: Rules' matches are numbered from multiples of this, so that ord keeps rules apart.
@@ -109,18 +109,17 @@ def _quoted(phrase: str) -> str:
 
 
 def phrases(blocks: DataFrame, category: str, values: Sequence[str], confidence: float = 0.7) -> DataFrame:
-    """Phrases of a category, one rule a phrase so that overlapping ones are all found."""
-    return scan(blocks, [phrase_rule(category, [v], confidence) for v in values])
+    """Phrases of a category, overlapping ones too; a dictionary of any size goes to dictionary.match as a table."""
+    return dictionary.match(blocks, _phrase_table(blocks, category, values, confidence))
 
 
 def smart_phrases(blocks: DataFrame, category: str, values: Sequence[str]) -> DataFrame:
     """Phrases, longer ones surer, without those that overlap a longer one."""
-    from ..functions.confidence import for_phrase
+    return dictionary.match_longest(blocks, _phrase_table(blocks, category, values, 0.0))
 
-    rules = [phrase_rule(category, [v], for_phrase(len(v.split())), "smart_phrase_matcher") for v in values]
-    found = scan(blocks, rules)
-    words = lambda s: F.size(F.split(s["original_value"], r"(?U)\s+"))
-    return intervals.resolve(found, lambda spans: intervals.longest_first(spans, words), "doc_id", "block_id").drop("pos")
+
+def _phrase_table(blocks: DataFrame, category: str, values: Sequence[str], confidence: float) -> DataFrame:
+    return blocks.sparkSession.createDataFrame([(v, category, float(confidence)) for v in values], "phrase string, category string, confidence double")
 
 
 def uuids(blocks: DataFrame) -> DataFrame:

@@ -469,9 +469,9 @@ SELECT category, count(*) AS attempts, count(k) AS successes FROM spans LEFT JOI
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
-    from . import files, names
+    from . import files, names, words
 
-    return {**QUERIES, **names.QUERIES, **files.QUERIES}
+    return {**QUERIES, **names.QUERIES, **files.QUERIES, **words.QUERIES}
 
 
 def queries() -> dict[str, Query]:
