@@ -1,35 +1,26 @@
 """Near copies of whole documents: SimHash by an index of fingerprint bytes, verified by exact Jaccard similarity over word shingles.
 
-A document is the set of its shingles, by 64-bit hash; documents with equal sets are one node. Links are found in two steps.
-
-SimHash: a node has a fingerprint of 64 * WORDS bits over the runs of words that op3 takes, repeats included. Its 32 bytes are 16 blocks
-of two, in two halves, and the index has a posting list for each two blocks of a half and their bytes. Fingerprints that
-differ in at most SURE bits agree in three blocks at least, two of them in one half, so they meet; others meet by chance. Members
-that meet are compared once: pairs with fewer than SHARED equal bytes are dropped, then those that differ in over REACH bits, and
-the rest are verified by their whole sets. Members of lists of over HOT are compared with the smallest, in rows in proportion to them.
-
-An exact search follows, as no number of bits is sure at a similarity of 0.8 (NEAR): it finds the links that are left between different
-components, so that no pair is missed. All sets are sorted in one order. Two
-sets of n and m shingles with that similarity share at least 4/9 (n + m) shingles, so their first shared one stands
-among the first n // 5 + 1 of the one and the first m // 5 + 1 of the other, and neither has too few left from there on. Each node
-therefore stands in the posting lists of its first n // 5 + 1 shingles; members of a list that pass the test of what is left are
-verified by their whole sets, whatever the length of the list. Before, pairs are dropped whose sketches differ in more places
-than near sets can: a sketch is, for each of 64 * SKETCH places, whether an odd number of hashes fall there, so a shingle that only one
-set has changes one place.
-
-Any order of shingles gives the same pairs. Rare shingles come first, so that lists are short: how often shingles occur is
-estimated from the documents of one in SAMPLE hashes of texts, and those without an estimate are in the order of their hashes.
-
-Members of these lists, if over HOT, are first compared with a centre of their list, the member that stands in most long lists, in rows in
-proportion to the members. Then only members whose components still differ are paired, and only if their
-sketches let them be near, so that a large group of near copies isn't paired off, and every pair that meets is verified, ruled out by
-its sketches or known to be in one component already.
+A document is the set of its shingles, by 64-bit hash; documents with equal sets are one node. A node has a fingerprint of 64 * WORDS bits over
+its runs of RUN words, repeats included, so BYTES bytes at BYTES positions. Two fingerprints that differ in at most SURE bits agree in
+BYTES - SURE of their bytes at least, the guaranteed minimum SHARED.
+
+The index has a posting list for each of a fixed choice of byte positions and the bytes there. Positions are taken in threes, so that a list has few
+members by chance up to 2^24 nodes; beyond, one more for each 256 times as many nodes, in as many more lists as keep the chance alike that a pair meets (see places()).
+Members of a list are compared once: their shared positional bytes are tallied, pairs with fewer than SHARED are dropped, and the rest are
+verified by their whole sets. What meets in no list is not found: tests measure the recall by pairs at a similarity of 0.8 (NEAR) and more.
+
+Members of lists of over HOT are first verified with a centre of their list, the member that stands in most long lists, in rows in proportion
+to the members. Then only members whose components still differ are paired, so that a large group of near copies isn't paired off, and each pair
+that meets is verified, dropped by the count filter, or in one component already.
+
+Before whole sets are compared, pairs are dropped whose sketches differ in more places than near sets can: a sketch is, for each of 64 * SKETCH
+places, whether an odd number of hashes fall there, so a shingle that only one set has changes one place.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,25 +31,23 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import fresh, text_of, written
-from .simhash import _LOWER, SEED, _majority, _shared_bytes, components
-from .simhash import SHINGLE as RUN
+from .simhash import _LOWER, SEED, _shared_bytes, components
 from .textbytes import mixed
 
 #: The least similarity is NEAR[0] / NEAR[1].
 SHINGLE, NEAR = 5, (4, 5)
-#: The 64-bit words of a fingerprint, and the blocks of two bytes, two of a half, that name its lists.
-WORDS = 4
-PLACES = tuple(p for half in (range(8), range(8, 16)) for p in combinations(half, 2))
-#: Bits up to which fingerprints are sure to meet; the equal bytes that a pair has at least, and the bits in which it differs at most, to be verified.
-SURE, SHARED, REACH = 13, 7, 40
+#: The words of a run, and the 64-bit words of a fingerprint.
+RUN, WORDS = 2, 8
+BYTES = 8 * WORDS
+#: Bits up to which fingerprints are sure to share the least number of bytes that a pair has to be verified.
+SURE = 60
+SHARED = BYTES - SURE
+#: Positions that name a list of up to 2^24 nodes, and the lists of a node; with each more position, the lists are LISTS_TIMES as many.
+POSITIONS, LISTS, LISTS_TIMES = 3, 128, 4
 #: Members of longer lists are first compared with one member.
-HOT = 8
+HOT = 16
 #: The words of a sketch.
 SKETCH = 16
-#: Texts, of which one is read to estimate how often shingles occur, and the least count there of a shingle that has an estimate.
-SAMPLE, LEAST_COUNT = 16, 4
-#: The most estimates, 16 bytes each in a broadcast: the rest are ordered by hash, which finds the same pairs in longer lists.
-ESTIMATES = 500_000
 #: Ids and hashes of rows to drop or to read are broadcast up to this number (16 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 500_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -95,12 +84,27 @@ def fingerprint(text: bytes) -> list[int]:
 
 def _simhash(words: np.ndarray) -> list[int]:
     h = _runs(words, RUN)
-    return [_majority(mixed(h + np.uint64(w * int(_FACTOR) % (1 << 64))) if w else h) if len(h) else 0 for w in range(WORDS)]
+    counts = np.zeros(64 * WORDS, np.int64)
+    for i in range(0, len(h), 1 << 12):
+        part = h[i : i + (1 << 12)]
+        wide = np.stack([mixed(part + np.uint64(w * int(_FACTOR) % (1 << 64))) for w in range(WORDS)], 1)
+        counts += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(h), bitorder="little").view(np.int64).tolist()
 
 
-def prefix_length(n: int) -> int:
-    """Of n shingles, those among which the first one shared with a near set stands."""
-    return n - -(-n * NEAR[0] // NEAR[1]) + 1 if n else 0
+def places(nodes: int) -> list[tuple[int, ...]]:
+    """The choices of byte positions that name the lists of so many nodes; each position stands in about as many of them.
+
+    Positions are shuffled (by a fixed seed) and cut into choices, again and again, so that choices of one shuffle have no position in common.
+    """
+    size = POSITIONS
+    while nodes > 256**size:
+        size += 1
+    rng, out, lists = random.Random(SEED), [], LISTS * LISTS_TIMES ** (size - POSITIONS)
+    while len(out) < lists:
+        order = rng.sample(range(BYTES), BYTES)
+        out += [tuple(order[i : i + size]) for i in range(0, BYTES - size + 1, size)]
+    return out[:lists]
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -108,70 +112,31 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _sets(docs: DataFrame, length: int, estimates: object = None) -> DataFrame:
-    """The columns of docs but text, and fp, n, sketch, shingles of each row: all shingles, or with estimates simhash too, and those of the prefix in their order."""
+def _sets(docs: DataFrame, length: int, whole: bool) -> DataFrame:
+    """The columns of docs but text, and fp, n, sketch of each row; and all its shingles (whole), or its simhash."""
     carried = [f for f in docs.schema if f.name != "text"]
+    longs = T.ArrayType(T.LongType())
+    made = [T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", longs), T.StructField("shingles" if whole else "simhash", longs)]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes, sketches, lists, simhashes = [], [], [], [], []
+            prints, sizes, sketches, lists = [], [], [], []
             for t in batch.column("text").cast(pa.large_binary()):
                 words = _words(t.as_buffer().to_pybytes() if t.is_valid else b"")
                 s = np.unique(_runs(words, length))
                 prints.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                 sizes.append(len(s))
-                sketches.append(sketch(s).tolist())
-                if estimates is not None:
-                    simhashes.append(_simhash(words))
-                    named, counts = estimates.value
-                    if len(named) and len(s):
-                        at = np.minimum(np.searchsorted(named, s), len(named) - 1)
-                        s = s[np.argsort(np.where(named[at] == s, counts[at], 0), kind="stable")]
-                    s = s[: prefix_length(len(s))]
-                lists.append(s)
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in lists])]).astype(np.int32)
-            flat = np.concatenate([*lists, np.zeros(0, np.uint64)]).view(np.int64)
-            shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            arrays = [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), shingles]
-            if estimates is not None:
-                arrays.append(pa.array(simhashes, pa.list_(pa.int64())))
+                sketches.append(sketch(s))
+                lists.append(s.view(np.int64) if whole else np.array(_simhash(words), np.int64))
+            arrays = [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), _listed(sketches), _listed(lists)]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in carried), *arrays], [f.name for f in [*carried, *made]])
 
-    longs = T.ArrayType(T.LongType())
-    made = [T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", longs), T.StructField("shingles", longs)]
-    made += [T.StructField("simhash", longs)] if estimates is not None else []
     return docs.mapInArrow(rows, T.StructType([*carried, *made]))
 
 
-def estimated(docs: DataFrame, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of frequent shingles, and their counts in the sample."""
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    counts = _sets(some.select("text"), length).select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where(F.col("count") >= LEAST_COUNT)
-    found = counts.orderBy(F.desc("count"), "shingle").limit(ESTIMATES).toArrow()
-    named, n = found.column("shingle").to_numpy().astype(np.int64).view(np.uint64), found.column("count").to_numpy().astype(np.int64)
-    order = np.argsort(named)
-    return named[order], n[order]
-
-
-def _left(xn: str, xpos: str, yn: str, ypos: str) -> Column:
-    """Whether two sets whose first shared shingle stands at these places can be near: what is left is enough."""
-    least, most = NEAR
-    left = F.least(F.col(xn) - F.col(xpos), F.col(yn) - F.col(ypos))
-    return (least + most) * left >= least * (F.col(xn) + F.col(yn))
-
-
-def _met() -> Column:
-    """Whether x and y are two members of a list that can be near."""
-    return (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.fp") < F.col("y.fp")) & _left("x.n", "x.pos", "y.n", "y.pos")
-
-
-def _paired(lists: DataFrame) -> DataFrame:
-    """a, b: all pairs of members (shingle, fp, n, pos; root and sketch, if there) of a list that have different roots and can be near."""
-    x, y = lists.alias("x"), lists.alias("y")
-    met = _met()
-    if "root" in lists.columns:
-        met &= (F.col("x.root") != F.col("y.root")) & _alike(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n") + F.col("y.n"))
-    return x.join(y, met).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+def _listed(lists: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in lists])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*lists, np.zeros(0, np.int64)])))
 
 
 def _alike(x: Column, y: Column, n: Column) -> Column:
@@ -190,62 +155,56 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, length: int) -
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "least"), "fp")
     wanted = written(wanted.select("least.doc_id", "least.t").distinct(), "neardup-wanted")
     texts = _marked(docs, wanted, "left_semi").select("text")
-    sets = _sets(texts, length).groupBy("fp").agg(F.min("shingles").alias("s"))
+    sets = _sets(texts, length, True).groupBy("fp").agg(F.min("shingles").alias("s"))
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
     near = (least + most) * F.size(F.array_intersect("sa", "sb")) >= least * (F.size("sa") + F.size("sb"))
     return written(both.where(near).select("a", "b"), "neardup-links")
 
 
-def _list_names() -> Column:
-    """The names of a fingerprint's lists: their places and the bytes there."""
-    block = lambda i: F.shiftrightunsigned(F.get("simhash", F.lit(i // 4)), 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF))
-    return F.array(*(F.lit(k << 32).cast("long").bitwiseOR(F.shiftleft(block(i), 16)).bitwiseOR(block(j)) for k, (i, j) in enumerate(PLACES)))
+def _postings(nodes: DataFrame, chosen: list[tuple[int, ...]]) -> DataFrame:
+    """name, fp: each node (fp, simhash) in its lists; a name is a choice of positions and the bytes there."""
+    byte = lambda i: F.shiftrightunsigned(F.get("simhash", F.lit(i // 8)), 8 * (i % 8)).bitwiseAND(F.lit(255))
+    rows = nodes.select("fp", F.array(*(byte(i) for i in range(BYTES))).alias("bytes"))
 
+    def name(k: int, positions: tuple[int, ...]) -> Column:
+        value = F.lit(k).cast("long")
+        for i in positions:
+            value = F.shiftleft(value, 8).bitwiseOR(F.get("bytes", F.lit(i)))
+        return value
 
-def met(nodes: DataFrame, hot: int = HOT) -> DataFrame:
-    """a, b: pairs of nodes (fp, simhash) that meet in a posting list and pass the count filter and the comparison bit by bit."""
-    # one shuffle deals the postings out, and lists of one are dropped there
-    lists = Window.partitionBy("name")
-    postings = nodes.select("fp", F.explode(_list_names()).alias("name"))
-    members = postings.withColumns({"size": F.count(F.lit(1)).over(lists), "least": F.min("fp").over(lists)}).where("size > 1")
-    members = written(members, "simhash-members")
-    few, many = members.where(F.col("size") <= hot).select("name", "fp"), members.where((F.col("size") > hot) & (F.col("fp") > F.col("least")))
-    pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), "name").where("a < b").select("a", "b")
-    pairs = pairs.unionByName(many.select(F.col("least").alias("a"), F.col("fp").alias("b"))).distinct()
+    return rows.select("fp", F.explode(F.array(*(name(k, p) for k, p in enumerate(chosen)))).alias("name"))
+
+
+def _shared(x: str, y: str) -> Column:
+    """How many positional bytes two fingerprints share."""
+    return sum((_shared_bytes(F.get(x, F.lit(w)), F.get(y, F.lit(w))) for w in range(WORDS)), F.lit(0))
+
+
+def _counted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that pass the count filter."""
     left, right = (nodes.select(F.col("fp").alias(side), F.col("simhash").alias(f"h{side}")) for side in "ab")
-    words = [(F.get("ha", F.lit(w)), F.get("hb", F.lit(w))) for w in range(WORDS)]
-    shared = sum((_shared_bytes(x, y) for x, y in words), F.lit(0))
-    differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in words), F.lit(0))
-    return pairs.join(left, "a").join(right, "b").where((shared >= SHARED) & (differ <= REACH)).select("a", "b")
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose nodes are not in one component by roots (node, root)."""
-    for side in "ab":
-        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
-    return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-
-
-def missed(docs: DataFrame, nodes: DataFrame, near: DataFrame, length: int, hot: int = HOT) -> DataFrame:
-    """a, b: links that join what has the similarity where `near` (a, b) don't; nodes as in links()."""
-    roots = components(near)
-    postings = nodes.select("fp", "n", F.posexplode("shingles").alias("pos", "shingle"))
-    sizes = written(postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "neardup-sizes")
-    lists = written(postings.join(sizes, "shingle"), "neardup-lists")
-    few, many = lists.where(F.col("size") <= hot), lists.where(F.col("size") > hot)
-    if many.isEmpty():
-        return verified(_apart(_paired(few), roots), docs, nodes, length)
-    # the more long lists a set is in, the more of it is common to the group
-    places = many.groupBy("fp").agg(F.count(F.lit(1)).alias("places"))
-    many = many.join(places, "fp").join(_rooted(nodes.select("fp", "sketch"), roots), "fp")
-    many = written(many.select("shingle", "fp", "n", "pos", "places", "sketch", "root"), "neardup-long")
-    centre = F.max_by(F.struct("fp", "n", "pos", "sketch", "root"), F.struct("places", "fp"))
-    stars = many.join(many.groupBy("shingle").agg(centre.alias("c")), "shingle").where(F.col("root") != F.col("c.root"))
-    stars = stars.where(_left("n", "pos", "c.n", "c.pos") & _alike(F.col("sketch"), F.col("c.sketch"), F.col("n") + F.col("c.n")))
-    stars = verified(stars.select(F.least("fp", "c.fp").alias("a"), F.greatest("fp", "c.fp").alias("b")).distinct(), docs, nodes, length)
-    roots = components(near.unionByName(stars))
-    pairs = _apart(_paired(few), roots).unionByName(_paired(_rooted(many.drop("root"), roots))).distinct()
-    return verified(pairs, docs, nodes, length).unionByName(stars)
+    return pairs.join(left, "a").join(right, "b").where(_shared("ha", "hb") >= SHARED).select("a", "b")
+
+
+def members(nodes: DataFrame, nodes_count: int) -> DataFrame:
+    """name, fp, size: the members of lists of two or more. One shuffle deals the postings out, and lists of one are dropped there."""
+    lists = Window.partitionBy("name")
+    return _postings(nodes, places(nodes_count)).withColumn("size", F.count(F.lit(1)).over(lists)).where("size > 1")
+
+
+def met(listed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: pairs of members (name, fp) of a list that pass the count filter."""
+    x, y = (listed.select("name", F.col("fp").alias(side)) for side in "ab")
+    return _counted(x.join(y, "name").where("a < b").select("a", "b").distinct(), nodes)
+
+
+def met_apart(listed: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """met() of members whose components by roots (node, root) differ; lists with one component are passed over."""
+    rows = _rooted(listed.select("name", "fp"), roots)
+    open_ = rows.groupBy("name").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("name")
+    rows = rows.join(open_, "name", "left_semi").join(nodes.select("fp", "simhash"), "fp")
+    x, y = (rows.select("name", F.col("fp").alias(side), F.col("root").alias(f"r{side}"), F.col("simhash").alias(f"h{side}")) for side in "ab")
+    return x.join(y, "name").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (_shared("ha", "hb") >= SHARED)).select("a", "b").distinct()
 
 
 def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -255,12 +214,21 @@ def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, nodes: DataFrame, length: int, hot: int = HOT) -> DataFrame:
-    """a, b: links that join what has the similarity: by SimHash, then those it missed.
+    """a, b: links between nodes that meet in the index, pass the count filter and have the similarity; enough of them to join each component.
 
-    nodes has fp, n, simhash, shingles (the prefix) and `least`, the doc_id and t of a row.
+    nodes has fp, n, sketch, simhash and `least`, the doc_id and t of a row.
     """
-    near = verified(met(nodes, hot), docs, nodes, length)
-    return near.unionByName(missed(docs, nodes, near, length, hot))
+    listed = written(members(nodes, nodes.count()), "simhash-members")
+    few, many = listed.where(F.col("size") <= hot), listed.where(F.col("size") > hot)
+    near = verified(met(few, nodes), docs, nodes, length)
+    if many.isEmpty():
+        return near
+    # the more long lists a node is in, the more of it is common to the group
+    standing = many.groupBy("fp").agg(F.count(F.lit(1)).alias("places"))
+    centre = many.join(standing, "fp").groupBy("name").agg(F.max_by("fp", F.struct("places", "fp")).alias("c"))
+    stars = many.join(centre, "name").where("fp <> c").select(F.least("fp", "c").alias("a"), F.greatest("fp", "c").alias("b")).distinct()
+    near = near.unionByName(verified(_counted(stars, nodes), docs, nodes, length))
+    return near.unionByName(verified(met_apart(many, nodes, components(near)), docs, nodes, length))
 
 
 def near_duplicates(docs: DataFrame, length: int = SHINGLE, hot: int = HOT) -> DataFrame:
@@ -271,9 +239,8 @@ def near_duplicates(docs: DataFrame, length: int = SHINGLE, hot: int = HOT) -> D
     are told apart by t, of which the smallest is first. An empty table gives no rows.
     """
     docs = docs.select("doc_id", F.xxhash64(text_of(docs)).alias("t"), "text")
-    estimates = docs.sparkSession.sparkContext.broadcast(estimated(docs, length))
-    prints = written(_sets(docs, length, estimates), "neardup-prints")
-    nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("least"), *(F.first(c).alias(c) for c in ("n", "sketch", "shingles")), F.min("simhash").alias("simhash"))
+    prints = written(_sets(docs, length, False), "neardup-prints")
+    nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("least"), *(F.first(c).alias(c) for c in ("n", "sketch")), F.min("simhash").alias("simhash"))
     nodes = written(nodes, "neardup-nodes")
     roots = components(links(docs, nodes, length, hot))
     nodes = _rooted(nodes.select("fp", "least"), roots)
