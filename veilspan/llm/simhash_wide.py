@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import fresh, text_of, written
-from .simhash import _LOWER, SEED, _shared_bytes, components
+from .simhash import _LOWER, SEED, components
 from .textbytes import mixed
 
 #: The least similarity is NEAR[0] / NEAR[1].
@@ -43,7 +43,7 @@ BYTES = 8 * WORDS
 SURE = 60
 SHARED = BYTES - SURE
 #: Positions that name a list of up to 2^24 nodes, and the lists of a node; with each more position, the lists are LISTS_TIMES as many.
-POSITIONS, LISTS, LISTS_TIMES = 3, 128, 4
+POSITIONS, LISTS, LISTS_TIMES = 3, 192, 4
 #: Members of longer lists are first compared with one member.
 HOT = 16
 #: The words of a sketch.
@@ -163,21 +163,31 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, length: int) -
 
 def _postings(nodes: DataFrame, chosen: list[tuple[int, ...]]) -> DataFrame:
     """name, fp: each node (fp, simhash) in its lists; a name is a choice of positions and the bytes there."""
-    byte = lambda i: F.shiftrightunsigned(F.get("simhash", F.lit(i // 8)), 8 * (i % 8)).bitwiseAND(F.lit(255))
-    rows = nodes.select("fp", F.array(*(byte(i) for i in range(BYTES))).alias("bytes"))
-
-    def name(k: int, positions: tuple[int, ...]) -> Column:
-        value = F.lit(k).cast("long")
-        for i in positions:
-            value = F.shiftleft(value, 8).bitwiseOR(F.get("bytes", F.lit(i)))
+    word = lambda i: F.get("simhash", F.shiftright(i, 3))
+    size = len(chosen[0])
+    positions = F.array(*(F.lit(i) for c in chosen for i in c))
+    bytes_ = F.transform(F.sequence(F.lit(0), F.lit(BYTES - 1)), lambda i: F.call_function("shiftrightunsigned", word(i), 8 * (i % 8)).bitwiseAND(F.lit(255)))
+    rows = nodes.select("fp", bytes_.alias("bytes"))
+
+    def name(k: Column) -> Column:
+        value = k.cast("long")
+        for j in range(size):
+            value = F.shiftleft(value, 8).bitwiseOR(F.get("bytes", F.get(positions, k * size + j)))
         return value
 
-    return rows.select("fp", F.explode(F.array(*(name(k, p) for k, p in enumerate(chosen)))).alias("name"))
+    return rows.select("fp", F.explode(F.transform(F.sequence(F.lit(0), F.lit(len(chosen) - 1)), name)).alias("name"))
 
 
 def _shared(x: str, y: str) -> Column:
-    """How many positional bytes two fingerprints share."""
-    return sum((_shared_bytes(F.get(x, F.lit(w)), F.get(y, F.lit(w))) for w in range(WORDS)), F.lit(0))
+    """How many positional bytes two fingerprints share: the bits of each byte of their difference are gathered in its lowest, which are counted."""
+
+    def differing(a: Column, b: Column) -> Column:
+        apart = a.bitwiseXOR(b)
+        for k in (4, 2, 1):
+            apart = apart.bitwiseOR(F.shiftrightunsigned(apart, k))
+        return F.bit_count(apart.bitwiseAND(F.lit(0x0101010101010101)))
+
+    return F.lit(BYTES) - sum((differing(F.get(x, F.lit(w)), F.get(y, F.lit(w))) for w in range(WORDS)), F.lit(0))
 
 
 def _counted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
