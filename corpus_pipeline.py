@@ -19,7 +19,7 @@ SHARDS = 8
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier accepts; it learns from labels of the documents at hand.
 
-    Null and empty texts are scored like any other, and dropped where the score that follows from their statistics is too low. Repeated rows
+    Null, empty and very long texts are scored like any other, whole, and dropped where the score that follows from their statistics is too low. Repeated rows
     and ties of the score stay or go together. Columns may have any names. An empty table gives no rows.
     """
     model = rulefit.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -27,10 +27,9 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (simhash_wide.one_of_each): by SimHash and its index of bytes, verified by exact similarity,
-    and by an exact search for what that misses.
+    """One document of each group of near copies (simhash_wide.one_of_each): what meets in the SimHash index of bytes, verified by exact similarity.
 
-    Texts without words (null too) are copies of each other, and so are repeated rows; the smallest id stays, ids that are null come last.
+    Very long texts are compared whole. Texts without words (null too) are copies of each other, and so are repeated rows; the smallest id stays, ids that are null come last.
     Columns may have any names. An empty table gives no rows.
     """
     return simhash_wide.one_of_each(docs)
@@ -39,7 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in which no window of a benchmark item occurs.
 
-    Null and empty texts hold none and stay; repeated rows stay or go together. Columns may have any names. Without documents there are no rows,
+    Null and empty texts hold none and stay; very long ones are searched whole; repeated rows stay or go together. Columns may have any names. Without documents there are no rows,
     and without items all stay.
     """
     found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs.columns)
@@ -49,7 +48,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, to the nearest whole number (not at all, or up to three times), in the schedule's order.
 
-    Texts without words (null too) aren't in the mix; a null source is a source; repeated rows are documents of their own. Columns may
+    Texts without words (null too) aren't in the mix; very long ones are taken like any other, by their words; a null source is a source; repeated rows are documents of their own. Columns may
     have any names. An empty table gives no rows.
     """
     return mixing.in_order(docs)
@@ -58,7 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row of the mix with its shard and its slot in it, written by shard.
 
-    The columns of docs but those named like the results, and size, text_crc32, shard, slot. Null texts count as empty; copies of a text share a
+    The columns of docs but those named like the results, and size, text_crc32, shard, slot. Null texts count as empty, very long ones are one row of their size; copies of a text share a
     shard, in neighbouring slots if their ids are equal. An empty table gives no rows.
     """
     return sharding.dealt(docs, SHARDS)
