@@ -43,6 +43,12 @@ def context_window(text: Column, start: Column, end: Column, width: int = 50) ->
     return F.substring(text, left + 1, F.least(F.length(text), end + width) - left)
 
 
+def grams(text: Column, size: int = 3) -> Column:
+    """The distinct runs of `size` characters; a shorter text or null has none."""
+    runs = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - size), lambda i: F.concat(*(F.get(c, i + k) for k in range(size))))
+    return F.when(F.length(text) >= size, F.array_distinct(let(F.split(text, ""), runs))).otherwise(F.array().cast("array<string>"))
+
+
 def size_bucket(text: Column) -> Column:
     """empty, small (under 100 characters), medium (under 500) or large, of the trimmed text."""
     n = F.length(F.trim(F.coalesce(text, F.lit(""))))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import content_hash
+from ..functions.text import content_hash, grams
 from .extract import not_overlapping
 
 BLOCK = ["doc_id", "block_id"]
@@ -85,12 +85,21 @@ def metadata_matches(properties: DataFrame, replacements: DataFrame) -> DataFram
 
     An equal value has confidence 1 (its last replacement counts); else one that contains originals of three characters or more 0.8,
     with the uuid and category of the first and all of them in partial_matches. Replacements: doc_id, ord, original_value, uuid, category.
+
+    Values are listed under their runs of three characters; an original is looked up by the run of its own that fewest values of its document have, and only
+    there compared, so values and originals of a document are never paired off.
     """
-    value = F.col("value")
     equal = replacements.groupBy("doc_id", F.col("original_value").alias("value")).agg(F.max_by("uuid", "ord").alias("uuid"), F.max_by("category", "ord").alias("category"))
     exact = properties.join(equal, ["doc_id", "value"]).withColumns({"confidence": F.lit(1.0), "partial_matches": F.lit(None).cast("array<string>")})
     rest = properties.join(equal.select("doc_id", "value"), ["doc_id", "value"], "left_anti")
-    part = rest.join(replacements.where(F.length("original_value") >= 3), "doc_id").where(F.contains(value, F.col("original_value")))
+    listed = rest.select("doc_id", "section", "property", "value", F.explode(grams(F.col("value"))).alias("gram"))
+    often = listed.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    originals = replacements.groupBy("doc_id", "original_value").agg(F.min(F.struct("ord", "uuid", "category")).alias("first"))
+    own = originals.withColumn("gram", F.explode(grams(F.col("original_value")))).join(often, ["doc_id", "gram"], "left")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least")
+    anchors = own.groupBy("doc_id", "original_value", "first").agg(rarest).where("least.n > 0")  # a run that no value has rules the original out
+    anchors = anchors.select("doc_id", "original_value", "first.*", F.col("least.gram").alias("gram"))
+    part = listed.join(anchors, ["doc_id", "gram"]).where(F.contains("value", F.col("original_value")))
     part = part.groupBy("doc_id", "section", "property", "value").agg(
         F.min_by("uuid", "ord").alias("uuid"), F.min_by("category", "ord").alias("category"), F.array_sort(F.collect_set("original_value")).alias("partial_matches")
     )

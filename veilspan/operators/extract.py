@@ -12,11 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import matches, no_spans, overlap_ratio
+from ..functions.spans import matches, no_spans, overlap_ratio, overlaps
 from ..functions.text import UUID_PATTERN, context_window, let, plain_spaces, system_parts, system_suffix
 from ..sources.data import language
 from ..sources.rules import Rule
-from . import dictionary, intervals
+from . import dictionary, intervals, proximity
 
 COLUMNS = ("doc_id", "block_id", "category", "original_value", "start", "end", "confidence", "method", "description", "ord")
 #: Rules' matches are numbered from multiples of this, so that ord keeps rules apart.
@@ -391,8 +391,11 @@ def validated(detections: DataFrame) -> DataFrame:
 
 
 def not_overlapping(detections: DataFrame, taken: DataFrame, threshold: float | None = None) -> DataFrame:
-    """Detections that overlap nothing in `taken` of their block: any character, or a ratio from the threshold."""
-    other = taken.select(F.col("doc_id").alias("_d"), F.col("block_id").alias("_b"), F.struct("start", "end").alias("_o"))
-    own = F.struct(detections["start"], detections["end"])
-    hit = (own["start"] < F.col("_o.end")) & (own["end"] > F.col("_o.start")) if threshold is None else overlap_ratio(own, F.col("_o")) >= threshold
-    return detections.join(other, (detections["doc_id"] == F.col("_d")) & (detections["block_id"] == F.col("_b")) & hit, "left_anti")
+    """Detections that overlap nothing in `taken` of their block: any character, or a ratio from the threshold (over 0).
+
+    Only spans that share a bin of the block are compared (proximity), so a long block is split over tasks; what is hit goes by its place.
+    """
+    clash = (lambda a, b: overlaps(a, b)) if threshold is None else (lambda a, b: overlap_ratio(a, b) >= threshold)
+    place = ["start", "end"]
+    hit = proximity.meeting(detections.select(*proximity.KEY, *place).distinct(), taken.select(*proximity.KEY, *place).distinct(), clash, place, [])
+    return detections.join(hit.withColumnsRenamed({f"l_{c}": c for c in place}), [*proximity.KEY, *place], "left_anti")

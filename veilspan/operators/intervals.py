@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.spans import overlap_ratio, overlaps
+from ..session import cut
+from . import proximity
 
 
 def gathered(detections: DataFrame, *key: str) -> DataFrame:
@@ -44,6 +47,54 @@ def _greedy(spans: Column, clash) -> Column:
     return F.aggregate(spans, _none(spans), lambda kept, s: F.when(F.exists(kept, lambda k: clash(s, k)), kept).otherwise(F.concat(kept, F.array(s))))
 
 
+#: Spans of a block from which greedy() works in rounds, and the rounds before what is left is folded.
+LONG, ROUNDS = 2000, 12
+
+
+def greedy(detections: DataFrame, keys, clash, long: int = LONG, rounds: int = ROUNDS) -> DataFrame:
+    """Of each block's detections, by the keys (functions of a span, ascending) and then ord, each that clashes with none kept before; their order is `pos`.
+
+    The same as the fold of resolve(), but blocks of over `long` spans are split over tasks: in each round a span stays that no span before it clashes
+    with any more, and those that clash with it go. Clashes are found once, by bins (see proximity), so clash(a, b) must imply a
+    shared character. Spans that are undecided after `rounds` rounds (a chain, each clashing with the one before) are folded, without
+    those decided. ord tells the detections of a block apart; detections keep all columns.
+    """
+    key = proximity.KEY
+    sizes = detections.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > long).select(*key)
+    wide = detections.join(sizes, key, "left_semi")
+    fold = lambda rows: resolve(rows, lambda spans: _greedy(_ordered(spans, *keys), clash), *key).drop("pos")
+    short = fold(detections.join(sizes, key, "left_anti"))
+    span = F.struct(*(c for c in detections.columns if c not in key))
+    order = F.struct(*(k(span).alias(f"k{i}") for i, k in enumerate(keys)), F.col("ord").alias("o"))
+    ranked = wide.withColumn("_o", order)
+    before = lambda a, b: (a["_o"] < b["_o"]) & clash(b, a)
+    edges = cut(proximity.meeting(ranked, ranked, lambda a, b: before(a, b), ["ord"], ["ord"], ["_o"]))
+    left, kept = cut(wide.select(*key, "ord")), wide.select(*key, "ord").limit(0)
+    for _ in range(rounds):
+        if edges.isEmpty():
+            break
+        ends = edges.select(*key, F.col("r_ord").alias("ord")).distinct()
+        stay = left.join(ends, [*key, "ord"], "left_anti")
+        gone = edges.join(stay.withColumnRenamed("ord", "l_ord"), [*key, "l_ord"], "left_semi").select(*key, F.col("r_ord").alias("ord")).distinct()
+        kept = cut(kept.unionByName(stay))
+        left = cut(left.join(stay, [*key, "ord"], "left_anti").join(gone, [*key, "ord"], "left_anti"))
+        for end in ("l_ord", "r_ord"):
+            edges = edges.join(left.withColumnRenamed("ord", end), [*key, end], "left_semi")
+        edges = cut(edges)
+    if edges.isEmpty():
+        done = wide.join(kept.unionByName(left), [*key, "ord"], "left_semi")
+    else:
+        done = wide.join(kept, [*key, "ord"], "left_semi").unionByName(fold(wide.join(left, [*key, "ord"], "left_semi")).select(*wide.columns))
+    every = short.select(*detections.columns).unionByName(done.select(*detections.columns)).withColumn("_o", order)
+    place = Window.partitionBy(*key).orderBy("_o")
+    return every.withColumn("pos", F.row_number().over(place) - 1).select(*key, "pos", *(c for c in detections.columns if c not in key))
+
+
+def suppressed(detections: DataFrame, threshold: float = 0.8, long: int = LONG, rounds: int = ROUNDS) -> DataFrame:
+    """suppress() of each block, long ones in rounds; the threshold is over 0."""
+    return greedy(detections, [lambda s: -s["confidence"]], lambda s, k: overlap_ratio(s, k) >= threshold, long, rounds)
+
+
 def suppress(spans: Column, threshold: float = 0.8) -> Column:
     """By confidence from the highest; a span whose overlap ratio with a kept one reaches the threshold goes."""
     return _greedy(_ordered(spans, lambda s: -s["confidence"]), lambda s, k: overlap_ratio(s, k) >= threshold)

@@ -14,9 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import matches
-from ..functions.text import plain_spaces
+from ..functions.text import grams, plain_spaces
 
-GRAM = 3
 BROADCAST, SALT = 200_000, 16
 COLUMNS = ("rule", "category", "pattern", "description", "confidence", "method")
 
@@ -47,31 +46,25 @@ def folded(text: Column) -> Column:
     return F.translate(F.lower(upper), "ς", "σ")
 
 
-def _grams(text: Column) -> Column:
-    """The distinct runs of GRAM characters."""
-    runs = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - GRAM), lambda i: F.concat(*(F.get(c, i + k) for k in range(GRAM))))
-    return F.when(F.length(text) >= GRAM, F.array_distinct(F.element_at(F.transform(F.array(F.split(text, "")), runs), 1))).otherwise(F.array().cast("array<string>"))
-
-
 def index(rules: DataFrame) -> DataFrame:
     """COLUMNS, literal and anchor (null: run on every text) of rules (COLUMNS; rule is an id of its own kind)."""
     rows = rules.where(F.col("pattern").isNotNull() & (F.col("pattern") != "")).select(*COLUMNS, folded(required_literal(F.col("pattern"))).alias("literal"))
-    grams = rows.select("rule", F.explode(_grams(F.col("literal"))).alias("gram"))
-    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("rules"))
-    anchors = grams.join(shared, "gram").groupBy("rule").agg(F.min(F.struct("rules", "gram")).alias("a")).select("rule", F.col("a.gram").alias("anchor"))
+    runs = rows.select("rule", F.explode(grams(F.col("literal"))).alias("gram"))
+    shared = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("rules"))
+    anchors = runs.join(shared, "gram").groupBy("rule").agg(F.min(F.struct("rules", "gram")).alias("a")).select("rule", F.col("a.gram").alias("anchor"))
     return rows.join(anchors, "rule", "left")
 
 
 def candidates(blocks: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, block_id, text, COLUMNS: the rules of an index that may match a block, and those without an anchor for each."""
     anchored = known.where("anchor IS NOT NULL")
-    grams = blocks.select("doc_id", "block_id", F.explode(_grams(folded(F.col("text")))).alias("anchor"))
+    runs = blocks.select("doc_id", "block_id", F.explode(grams(folded(F.col("text")))).alias("anchor"))
     keys = anchored.select("rule", "anchor")
     if keys.count() <= BROADCAST:
-        hits = grams.join(F.broadcast(keys), "anchor")
+        hits = runs.join(F.broadcast(keys), "anchor")
     else:
         salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        hits = grams.withColumn("salt", F.pmod(F.xxhash64("doc_id", "block_id"), F.lit(SALT)).cast("int")).join(salted, ["anchor", "salt"])
+        hits = runs.withColumn("salt", F.pmod(F.xxhash64("doc_id", "block_id"), F.lit(SALT)).cast("int")).join(salted, ["anchor", "salt"])
     named = hits.groupBy("doc_id", "block_id").agg(F.collect_list("rule").alias("rules"))
     texts = blocks.select("doc_id", "block_id", plain_spaces(F.col("text")).alias("text"))
     few = texts.join(named, ["doc_id", "block_id"]).withColumn("folded", folded(F.col("text"))).withColumn("rule", F.explode("rules")).drop("rules")

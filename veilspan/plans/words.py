@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import dictionary, morphology, rule_index, tokens
+from ..operators import dictionary, intervals, morphology, proximity, rule_index, tokens
 from ..session import spread, table
 from ..sources import blocks as bl
+from .catalog import OVERLAPPING, QUERIES as FIRST, _docs, _spans, _with_spans
 
 LEGAL = ("the", "of", "and", "in", "to", "that")
 LONG = 9
@@ -100,6 +101,21 @@ def q88(spark, d):
     return rules.groupBy("category", "valid", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+CUES = {"ip": ("the", "of"), "card_number": ("and", "de", "die"), "phone": ("that",)}
+
+
+def q89(spark, d):
+    words = spark.createDataFrame([(w, c, 0.7) for c, ws in CUES.items() for w in ws], "phrase string, category string, confidence double")
+    cues = dictionary.match(_docs(spark, d), words)
+    return proximity.with_cues(_spans(spark, d), cues, 40).select("doc_id", "category", "start", "end", "cue", "cue_start", "distance")
+
+
+def q90(spark, d):
+    """q10 by rounds, whatever the length of the blocks."""
+    out = intervals.suppressed(_spans(spark, d, OVERLAPPING), long=0)
+    return out.select("doc_id", "pos", "category", "start", "end", F.round("confidence", 6).alias("confidence"), "method")
+
+
 #: b (doc_id, text) -> t (doc_id, i, text, word, start, "end"): the tokens of texts in which letters, marks and ASCII white space stand.
 _TOKENS = r"""parts AS (SELECT doc_id, string_split(regexp_replace(text, '\p{Lu}\.|[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]', chr(57344) || '\0' || chr(57344), 'g'), chr(57344)) AS p FROM b),
 u AS (SELECT doc_id, unnest(p) AS x, unnest(range(len(p))) AS k FROM parts),
@@ -137,6 +153,11 @@ parts AS (SELECT doc_id, rule, category, string_split(regexp_replace(text, patte
 u AS (SELECT doc_id, rule, category, unnest(p) AS x, unnest(range(len(p))) AS k FROM parts),
 c AS (SELECT *, coalesce(sum(length(x)) OVER (PARTITION BY doc_id, rule ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM u)
 SELECT doc_id, rule, category, x AS original_value, CAST(start AS INTEGER) AS start, CAST(start + length(x) AS INTEGER) AS "end" FROM c WHERE k % 2 = 1"""),
+    "q89_context_matches": (q89, rf"""WITH {_with_spans()}, {_TOKENS}, w(category, word) AS (VALUES {", ".join(f"('{c}', '{x}')" for c, xs in CUES.items() for x in xs)}), cue AS (SELECT doc_id, category, text AS cue, start, "end" FROM t JOIN w USING (word)),
+n AS (SELECT s.doc_id, s.category, s.ord, s.start, s."end", arg_max(cue.start, cue."end") FILTER (cue.start <= s.start) AS b, arg_min(cue.start, cue.start) FILTER (cue.start >= s.start) AS a FROM spans s JOIN cue USING (doc_id, category) GROUP BY ALL),
+k AS (SELECT n.*, cue, cue.start AS cue_start, greatest(0, n.start - cue."end", cue.start - n."end") AS distance, CASE WHEN cue.start = b THEN 0 ELSE 1 END AS side FROM n JOIN cue ON cue.doc_id = n.doc_id AND cue.category = n.category AND (cue.start = b OR cue.start = a))
+SELECT doc_id, category, start, "end", cue, cue_start, distance FROM k WHERE distance <= 40 QUALIFY row_number() OVER (PARTITION BY doc_id, category, ord ORDER BY distance, side) = 1"""),
+    "q90_greedy_in_rounds": (q90, FIRST["q10_greedy_suppression"][1]),
     "q88_rule_validation": (q88, r"""WITH r AS (SELECT p_type AS category, CASE WHEN p_partkey % 7 <> 0 THEN p_brand || CASE p_size % 5 WHEN 0 THEN '(' WHEN 1 THEN '[a-' WHEN 2 THEN '' WHEN 3 THEN '+' ELSE '|' END END AS pattern FROM part),
 v AS (SELECT category, CASE WHEN coalesce(pattern, '') = '' THEN 'no pattern' WHEN TRY(regexp_matches('', pattern)) IS NULL THEN 'doesn''t compile' WHEN TRY(regexp_matches('', pattern)) THEN 'matches the empty string' END AS reason FROM r)
 SELECT category, reason IS NULL AS valid, reason, count(*) AS n FROM v GROUP BY ALL"""),

@@ -31,3 +31,12 @@ def spread(df: DataFrame) -> DataFrame:
     """df over all cores: a table with fewer splits than cores (one small file, say) is dealt out, any larger one stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and checkpointed in the session's shared folder (spark.checkpoint.dir, or the one that the context has); it survives lost executors."""
+    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(named)
+    return df.checkpoint()
