@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import dictionary, intervals, morphology, proximity, rule_index, tokens
+from ..operators import dictionary, intervals, morphology, proximity, rule_index, strategies, tokens
 from ..session import spread, table
 from ..sources import blocks as bl
 from .catalog import OVERLAPPING, QUERIES as FIRST, _docs, _spans, _with_spans
+from .names import QUERIES as NAMES
 
 LEGAL = ("the", "of", "and", "in", "to", "that")
 LONG = 9
@@ -116,6 +117,21 @@ def q90(spark, d):
     return out.select("doc_id", "pos", "category", "start", "end", F.round("confidence", 6).alias("confidence"), "method")
 
 
+def q91(spark, d):
+    """Every strategy by its name."""
+    out, found = None, _spans(spark, d, OVERLAPPING)
+    for name in sorted(strategies.STRATEGIES):
+        rows = strategies.strategy(name)(found).select(F.lit(name).alias("strategy"), "doc_id", "pos", "category", "start", "end", "method")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_BY_NAME = {
+    "best_confidence": NAMES["q57_best_confidence"][1], "combine_all": NAMES["q57_combine_all"][1], "first_match": FIRST["q15_first_match"][1], "weighted_average": FIRST["q16_weighted_average"][1],
+    "hybrid_government": NAMES["q68_hybrid_government"][1].replace("NOT regexp_matches(original_value, '^1')", "true"),
+}
+
+
 #: b (doc_id, text) -> t (doc_id, i, text, word, start, "end"): the tokens of texts in which letters, marks and ASCII white space stand.
 _TOKENS = r"""parts AS (SELECT doc_id, string_split(regexp_replace(text, '\p{Lu}\.|[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]', chr(57344) || '\0' || chr(57344), 'g'), chr(57344)) AS p FROM b),
 u AS (SELECT doc_id, unnest(p) AS x, unnest(range(len(p))) AS k FROM parts),
@@ -158,6 +174,7 @@ n AS (SELECT s.doc_id, s.category, s.ord, s.start, s."end", arg_max(cue.start, c
 k AS (SELECT n.*, cue, cue.start AS cue_start, greatest(0, n.start - cue."end", cue.start - n."end") AS distance, CASE WHEN cue.start = b THEN 0 ELSE 1 END AS side FROM n JOIN cue ON cue.doc_id = n.doc_id AND cue.category = n.category AND (cue.start = b OR cue.start = a))
 SELECT doc_id, category, start, "end", cue, cue_start, distance FROM k WHERE distance <= 40 QUALIFY row_number() OVER (PARTITION BY doc_id, category, ord ORDER BY distance, side) = 1"""),
     "q90_greedy_in_rounds": (q90, FIRST["q10_greedy_suppression"][1]),
+    "q91_strategies_by_name": (q91, " UNION ALL ".join([*(f"SELECT '{n}' AS strategy, doc_id, pos, category, start, \"end\", method FROM ({sql})" for n, sql in _BY_NAME.items()), f"SELECT strategy, doc_id, pos, category, start, \"end\", method FROM ({NAMES['q67_strategies'][1]})"])),
     "q88_rule_validation": (q88, r"""WITH r AS (SELECT p_type AS category, CASE WHEN p_partkey % 7 <> 0 THEN p_brand || CASE p_size % 5 WHEN 0 THEN '(' WHEN 1 THEN '[a-' WHEN 2 THEN '' WHEN 3 THEN '+' ELSE '|' END END AS pattern FROM part),
 v AS (SELECT category, CASE WHEN coalesce(pattern, '') = '' THEN 'no pattern' WHEN TRY(regexp_matches('', pattern)) IS NULL THEN 'doesn''t compile' WHEN TRY(regexp_matches('', pattern)) THEN 'matches the empty string' END AS reason FROM r)
 SELECT category, reason IS NULL AS valid, reason, count(*) AS n FROM v GROUP BY ALL"""),
