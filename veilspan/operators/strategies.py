@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from ..functions.spans import overlap_ratio
 from ..sources.data import language
-from . import intervals
+from ..sources.rules import Rule
+from . import dictionary, extract, intervals, morphology, tokens
 from .extract import false_positive, organisation_type
 
 BLOCK = ("doc_id", "block_id")
@@ -118,3 +119,23 @@ def language_detections(candidates: DataFrame) -> DataFrame:
     out = _numbered(out, order).drop("pos")
     out = intervals.resolve(out, intervals.global_dedup, *BLOCK).drop("pos")
     return out.where(F.col("confidence") >= language.LEAST_CONFIDENCE)
+
+
+def every_extractor(blocks: DataFrame, rules: Sequence[Rule], words: dict[str, Sequence[str]], phrases: DataFrame, resolved: DataFrame, context: Sequence[str], legal_forms: Sequence[str] = tokens.LEGAL_FORMS, models: DataFrame | None = None) -> DataFrame:
+    """What all extractors find, whatever the category, one after the other; nothing is resolved, and ord is anew in each block.
+
+    Models' detections (if given); rules, with words of their category near where the rule wants context; phrases of a dictionary (phrase, category,
+    confidence); names by morphology and patterns of tokens, by resolved words (morphology.resolve). Null and empty texts have no detections.
+    """
+    wanting, others = [r for r in rules if r.context_required], [r for r in rules if not r.context_required]
+    rows = tokens.exploded(blocks)
+    parts = [models] if models is not None else []
+    parts += [extract.scan_with_context(blocks, wanting, words)] if wanting else []
+    parts += [extract.scan(blocks, others)] if others else []
+    parts += [dictionary.match(blocks, phrases), morphology.names(blocks, resolved, context), tokens.matched(morphology.with_tags(rows, resolved), tokens.patterns(legal_forms))]
+    out = None
+    for k, part in enumerate(parts):
+        part = part.select(*extract.COLUMNS).withColumn("_part", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    line = Window.partitionBy(*BLOCK).orderBy("_part", "start", "end", "ord", "category", "method")
+    return out.withColumn("ord", F.row_number().over(line)).drop("_part")

@@ -469,9 +469,9 @@ SELECT category, count(*) AS attempts, count(k) AS successes FROM spans LEFT JOI
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
-    from . import files, names, texts, words
+    from . import files, names, streams, texts, words
 
-    return {**QUERIES, **names.QUERIES, **files.QUERIES, **words.QUERIES, **texts.QUERIES}
+    return {**QUERIES, **names.QUERIES, **files.QUERIES, **words.QUERIES, **texts.QUERIES, **streams.QUERIES}
 
 
 def queries() -> dict[str, Query]:

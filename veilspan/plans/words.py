@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import dictionary, intervals, morphology, proximity, rule_index, strategies, tokens
 from ..session import spread, table
 from ..sources import blocks as bl
+from ..sources.rules import ASCII_RULES, Rule
 from .catalog import OVERLAPPING, QUERIES as FIRST, _docs, _spans, _with_spans
 from .names import QUERIES as NAMES
 
@@ -126,6 +127,24 @@ def q91(spark, d):
     return out
 
 
+def _tagged_forms(spark, d) -> DataFrame:
+    """_forms() with the tags of names too."""
+    n = F.length("form")
+    return _forms(spark, d).withColumn("tag", F.when(n % 5 == 0, "Surn").when(n % 2 == 0, "PROPN").otherwise("NOUN"))
+
+
+RULES = (ASCII_RULES[1], Rule("card_number", r"\b[0-9]{16}\b", "card", 0.9, context_required=False, needs="[0-9]"))
+NEAR_RULES, NEAR_NAMES = {"ip": ("the", "of", "die")}, ("tion", "und")
+
+
+def q99(spark, d):
+    docs = _docs(spark, d)
+    resolved = _tagged_forms(spark, d).select(F.col("form").alias("word"), "tag")
+    phrases = _phrases(spark, d).where("category = 'words_3'")
+    found = strategies.every_extractor(docs, RULES, NEAR_RULES, phrases, resolved, NEAR_NAMES, LEGAL)
+    return found.select("doc_id", "category", "original_value", "start", "end", "method", F.round("confidence", 6).alias("confidence"))
+
+
 _BY_NAME = {
     "best_confidence": NAMES["q57_best_confidence"][1], "combine_all": NAMES["q57_combine_all"][1], "first_match": FIRST["q15_first_match"][1], "weighted_average": FIRST["q16_weighted_average"][1],
     "hybrid_government": NAMES["q68_hybrid_government"][1].replace("NOT regexp_matches(original_value, '^1')", "true"),
@@ -142,6 +161,12 @@ _FORMS = f"{_WORDS}, f AS (SELECT DISTINCT unnest(w) AS form FROM bw), forms AS
 _LEGAL = ", ".join(f"'{w}'" for w in LEGAL)
 _SPAN = "substr(b.text, {first}.start + 1, {last}.\"end\" - {first}.start) AS original_value, {first}.start, {last}.\"end\" FROM"
 
+_NAMED = f"""g AS (SELECT t.*, tag, regexp_matches(t.text, '^\\p{{Lu}}[^\\p{{Lu}}]*$') AND coalesce(tag = 'PROPN', false) AS titled, regexp_matches(t.text, '^\\p{{Lu}}\\.$') AS initial, coalesce(tag = 'PROPN', false) AND length(t.text) > 2 AS named,
+  min(CASE WHEN tag IS NULL OR tag NOT IN ('NOUN', 'PROPN') THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop,
+  bool_or({" OR ".join(f"contains(word, '{w}')" for w in NEAR_NAMES)}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM t LEFT JOIN forms2 ON form = word),
+m AS (SELECT x.doc_id, 'person_name' AS category, x.start, z."end" FROM g x JOIN g y ON y.doc_id = x.doc_id AND y.i = x.i + 1 JOIN g z ON z.doc_id = x.doc_id AND z.i = x.i + 2 WHERE (x.titled AND y.titled AND z.titled) OR (x.initial AND y.initial AND z.named) OR (x.named AND y.initial AND z.initial)
+  UNION ALL SELECT x.doc_id, 'organization', x.start, z."end" FROM g x JOIN g y ON y.doc_id = x.doc_id AND y.i = x.i + 1 JOIN g z ON z.doc_id = x.doc_id AND z.i = x.stop WHERE x.word IN ({_LEGAL}) AND y.text IN ('"', '«', chr(39)) AND z.text IN ('"', '»', chr(39)) AND z.i > x.i + 2)"""
+
 QUERIES = {
     "q84_token_patterns": (q84, rf"""WITH s AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z., \n]', '', 'g') AS p FROM documents),
 s2 AS (SELECT doc_id, p, array_to_string(list_transform(string_split(p, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS cap FROM s),
@@ -173,6 +198,15 @@ SELECT doc_id, rule, category, x AS original_value, CAST(start AS INTEGER) AS st
 n AS (SELECT s.doc_id, s.category, s.ord, s.start, s."end", arg_max(cue.start, cue."end") FILTER (cue.start <= s.start) AS b, arg_min(cue.start, cue.start) FILTER (cue.start >= s.start) AS a FROM spans s JOIN cue USING (doc_id, category) GROUP BY ALL),
 k AS (SELECT n.*, cue, cue.start AS cue_start, greatest(0, n.start - cue."end", cue.start - n."end") AS distance, CASE WHEN cue.start = b THEN 0 ELSE 1 END AS side FROM n JOIN cue ON cue.doc_id = n.doc_id AND cue.category = n.category AND (cue.start = b OR cue.start = a))
 SELECT doc_id, category, start, "end", cue, cue_start, distance FROM k WHERE distance <= 40 QUALIFY row_number() OVER (PARTITION BY doc_id, category, ord ORDER BY distance, side) = 1"""),
+    "q99_every_extractor": (q99, rf"""WITH {_with_spans(RULES)}, {_TOKENS}, {_FORMS}, forms2 AS (SELECT form, CASE WHEN length(form) % 5 = 0 THEN 'Surn' WHEN length(form) % 2 = 0 THEN 'PROPN' ELSE 'NOUN' END AS tag FROM forms), {_NAMED},
+r AS (SELECT spans.*, lower(substr(text, greatest(start - 50, 0) + 1, least(length(text), "end" + 50) - greatest(start - 50, 0))) AS context FROM spans JOIN b USING (doc_id)),
+w3 AS (SELECT DISTINCT unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS phrase FROM bw WHERE len(w) > 2),
+k AS (SELECT doc_id, start, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS phrase, lead(start) OVER o > "end" AND lead(start, 2) OVER o > lead("end") OVER o AS spaced, lead("end", 2) OVER o AS e FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+every AS (SELECT doc_id, category, start, "end", method, confidence FROM r WHERE category <> 'ip' OR {" OR ".join(f"contains(context, '{x}')" for x in NEAR_RULES["ip"])}
+  UNION ALL SELECT doc_id, 'words_3', start, e, 'phrase_matcher', 0.7 FROM k JOIN w3 USING (phrase) WHERE spaced
+  UNION ALL SELECT doc_id, 'person_name', start, "end", CASE WHEN tag = 'Surn' THEN 'morphological_enhanced' ELSE 'morphological' END, CASE WHEN tag = 'Surn' THEN 0.75 ELSE 0.65 END FROM g WHERE regexp_matches(text, '^\p{{Lu}}[\p{{L}}\p{{N}}_]') AND (tag = 'Surn' OR (tag = 'PROPN' AND near))
+  UNION ALL SELECT doc_id, category, start, "end", 'custom_matcher', 1.0 FROM m)
+SELECT every.doc_id, category, substr(text, start + 1, "end" - start) AS original_value, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", method, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM every JOIN b USING (doc_id)"""),
     "q90_greedy_in_rounds": (q90, FIRST["q10_greedy_suppression"][1]),
     "q91_strategies_by_name": (q91, " UNION ALL ".join([*(f"SELECT '{n}' AS strategy, doc_id, pos, category, start, \"end\", method FROM ({sql})" for n, sql in _BY_NAME.items()), f"SELECT strategy, doc_id, pos, category, start, \"end\", method FROM ({NAMES['q67_strategies'][1]})"])),
     "q88_rule_validation": (q88, r"""WITH r AS (SELECT p_type AS category, CASE WHEN p_partkey % 7 <> 0 THEN p_brand || CASE p_size % 5 WHEN 0 THEN '(' WHEN 1 THEN '[a-' WHEN 2 THEN '' WHEN 3 THEN '+' ELSE '|' END END AS pattern FROM part),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,10 +34,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir, or the context's; a local session without either gets one."""
+    named, jsc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext._jsc.sc()
+    if jsc.getCheckpointDir().isEmpty():
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="veilspan-"))
+    return named or jsc.getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and checkpointed in the session's shared folder (spark.checkpoint.dir, or the one that the context has); it survives lost executors."""
-    spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named)
+    """df, computed once and checkpointed in the shared folder, so that it survives lost executors."""
+    shared(df.sparkSession)
     return df.checkpoint()
