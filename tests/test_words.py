@@ -232,3 +232,39 @@ def test_very_long_texts(spark):
     assert [(r.start, r.end) for r in dictionary.match(b, table).collect()] == [(360_000, 360_010)]
     rules = spark.createDataFrame([(1, "c", "ООО «[^»]*»", "", 0.5, "regex")], ROWS)
     assert [(r.start, r.end) for r in rule_index.scan(b, rules).collect()] == [(360_000, 360_010)]
+
+
+RUSSIAN = [
+    "Петров Иван Сидорович, паспорт 4510 123456, ИНН 7701234567, тел. +7 (495) 123-45-67, petrov@example.com", "ООО «Ромашка» и МИНИСТЕРСТВО цифрового развития, г. Москва, ул. Тверская, д. 5", "зарплата: 50 000 руб, диагноз и лечение", "ЕИСЗАКУПКИ и ГИСЖКХ, https://site.example.org/a?b=c",
+    "Договор от 5 мая 2023 г. № 13/ОК-2023, договор № 7-А", "СНИЛС 123-456-789 01, счёт 40702810900000012345, дата 14.08.2023", "4111 1111 1111 1111", None, "",
+]
+
+
+def test_shipped_rules_as_tables(spark):
+    """Structured and language rules through the index find what they find one by one."""
+    from veilspan.sources import rules
+
+    b = spark.createDataFrame([(i, "b", t) for i, t in enumerate(RUSSIAN)], BLOCK)
+    for mine in (rules.structured_rules(), rules.language_rules()):
+        each = [r for r in mine if not r.group]
+        assert len(each) > 20
+        got = sorted((r.doc_id, r.category, r.start, r.end) for r in rule_index.scan(b, rule_index.from_rules(spark, mine)).collect())
+        want = sorted((r.doc_id, r.category, r.start, r.end) for r in extract.scan(b, each).collect())
+        assert got == want and len(got) > 8
+        assert rule_index.validated(rule_index.from_rules(spark, mine)).where("not valid").count() == 0
+
+
+def test_rule_files_through_the_index(spark, tmp_path):
+    """A CSV of structured rules and a JSON of language rules, as they are read."""
+    import json
+
+    from veilspan.sources import rules
+
+    csv, js = tmp_path / "rules.csv", tmp_path / "rules.json"
+    csv.write_text("category,pattern,description,confidence\nInn,ИНН\\s*\\d{10,12},tax number,0.9\nCARD,\\d{4} \\d{4},card,x\n")
+    js.write_text(json.dumps({"patterns": [{"category": "date", "type": "regex", "pattern": "(?i)ДАТА\\s+[\\d.]+"}, {"category": "position", "type": "phrase", "pattern": "директор"}, {"category": "date", "type": "regex", "pattern": ""}]}))
+    table = rule_index.from_table(rules.read_structured(spark, str(csv))).unionByName(rule_index.from_table(rules.read_language(spark, str(js))))
+    b = spark.createDataFrame([(i, "b", t) for i, t in enumerate(RUSSIAN)], BLOCK)
+    got = sorted((r.doc_id, r.category, r.original_value, r.confidence) for r in rule_index.scan(b, table).collect())
+    assert (0, "inn", "ИНН 7701234567") in {g[:3] for g in got} and (5, "date", "дата 14.08.2023", 0.7) in got and (6, "card", "4111 1111", 0.5) in got
+    assert rules.lookup(rules.read_language(spark, str(js)), "position").count() == 1

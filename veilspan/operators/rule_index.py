@@ -10,11 +10,14 @@ and are sorted by rule there, so that a pattern is compiled once a task and not
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spans import matches
 from ..functions.text import grams, plain_spaces
+from ..sources.rules import Rule
 
 BROADCAST, SALT = 200_000, 16
 COLUMNS = ("rule", "category", "pattern", "description", "confidence", "method")
@@ -40,6 +43,29 @@ def required_literal(pattern: Column) -> Column:
     return F.when(~odd, F.nullif(F.array_max(runs)["r"], F.lit("")))
 
 
+def from_rules(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
+    """A table of rules as index() and scan() take it, from rules in Python (structured, typed or language ones); a rule's id is its place.
+
+    Rules that report a group of their match are left to extract.scan.
+    """
+    rows = [(i, r.category, r.java().removeprefix("(?U)"), r.description, float(r.confidence), r.method) for i, r in enumerate(rules) if not r.group]
+    return spark.createDataFrame(rows, "rule int, category string, pattern string, description string, confidence double, method string")
+
+
+def from_table(rows: DataFrame, method: str = "regex") -> DataFrame:
+    """The same from a table of rules (category, pattern, and perhaps description, confidence, type), as the readers in sources.rules give them.
+
+    Of rows with a type only regular expressions are rules; (?i) at the beginning of a pattern holds for all letters. A rule's id is a hash of its category
+    and pattern, so repeated rows are one rule.
+    """
+    if "type" in rows.columns:
+        rows = rows.where("type = 'regex'")
+    pattern = F.regexp_replace("pattern", r"^\(\?i\)", "(?iu)")
+    of = lambda name, kind, value: F.coalesce(F.col(name).cast(kind), F.lit(value)) if name in rows.columns else F.lit(value)
+    rows = rows.select(F.xxhash64("category", "pattern").alias("rule"), "category", pattern.alias("pattern"), of("description", "string", "").alias("description"), of("confidence", "double", 0.5).alias("confidence"), F.lit(method).alias("method"))
+    return rows.dropDuplicates(["rule"])
+
+
 def folded(text: Column) -> Column:
     """A form that is equal for all texts that match each other in any case."""
     upper = F.replace(F.upper(F.translate(plain_spaces(text), "İ", "I")), F.lit("ẞ"), F.lit("SS"))
