@@ -1,4 +1,4 @@
-"""Queries that run as streams: what is there now is read in batches, written to the shared folder, and read back."""
+"""Queries that go through the shared folder: streams, whose rows are written there and read back, and a store of detections between runs."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import caching, extract
 from ..session import shared
 from ..sources.rules import ASCII_RULES
 from ..streaming import ingest
-from .catalog import QUERIES as FIRST
+from .catalog import QUERIES as FIRST, _docs
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double"
 
@@ -38,7 +39,19 @@ def q101(spark, d):
     return _streamed(ingest.counts(events, "ts", "1 hour", "10 minutes").select(F.col("window.start").alias("hour"), "category", "n"))
 
 
+def q102(spark, d):
+    """q01 through a store: one run over every second document, an eviction, and one over all."""
+    path = f"{shared(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    docs = _docs(spark, d)
+    detect = lambda b: extract.scan(b, ASCII_RULES)
+    caching.with_store(docs.where("doc_id % 2 = 0"), detect, path, 100, 1000.0)
+    caching.evicted(spark, path, 100, now=1020.0)
+    found = caching.with_store(docs, detect, path, 100, 1050.0)
+    return found.select("doc_id", "category", "original_value", "start", "end", "confidence", "method")
+
+
 QUERIES = {
+    "q102_store_of_detections": (q102, FIRST["q01_span_scan"][1]),
     "q100_stream_scan": (q100, FIRST["q01_span_scan"][1]),
     "q101_stream_windows": (q101, "WITH e AS (SELECT date_trunc('hour', ts) AS hour, event_type AS category, max(ts) OVER () AS last FROM events) SELECT hour, category, count(*) AS n FROM e WHERE hour + INTERVAL 1 HOUR <= last - INTERVAL 10 MINUTE GROUP BY hour, category"),
 }
