@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from veilspan.llm import simhash, simhash_wide
 from veilspan.llm.textbytes import mixed
@@ -155,6 +156,12 @@ def nodes_of(spark, texts):
     return spark.createDataFrame([(i, simhash_wide.fingerprint(t.encode())) for i, t in texts.items()], "fp long, simhash array<long>")
 
 
+def met(listed):
+    """Distinct pairs of members of a list that share a byte of the word that they carry."""
+    x, y = (listed.selectExpr("name", f"fp as {side}", f"word as w{side}") for side in "ab")
+    return x.join(y, "name").where("a < b").where(simhash_wide._touching(F.col("wa"), F.col("wb"))).select("a", "b").distinct()
+
+
 def near_texts(rng, pairs, least=60):
     """Pairs of texts, changed word by word or in one block, by as much as a similarity of 0.8 allows or less."""
     texts, vocabulary = {}, [f"w{i}" for i in range(3000)]
@@ -180,9 +187,8 @@ def test_recall_by_pairs_of_the_index(spark):
     want = jaccard_pairs(texts)
     nodes = nodes_of(spark, texts)
     listed = simhash_wide.members(nodes, nodes.count())
-    x, y = (listed.selectExpr("name", f"fp as {side}") for side in "ab")
-    together = {(r.a, r.b) for r in x.join(y, "name").where("a < b").select("a", "b").distinct().collect()}
-    kept = {(r.a, r.b) for r in simhash_wide.met(listed, nodes).collect()}
+    together = {(r.a, r.b) for r in met(listed).collect()}
+    kept = {(r.a, r.b) for r in simhash_wide._counted(met(listed), nodes).collect()}
     assert len(want) > 400 and len(want & together) >= 0.9 * len(want)
     assert want & together == want & kept and len(kept) <= len(together)
 
@@ -231,7 +237,7 @@ def test_long_lists_lose_no_pair(spark, hot):
         texts[len(texts)] = " ".join(common + [f"m{rng.randrange(10**6)}" for _ in range(rng.randint(1, 12))])
     near = {(min(a, b), max(a, b)) for a, b in jaccard_pairs(texts)}
     nodes = nodes_of(spark, texts)
-    kept = {(r.a, r.b) for r in simhash_wide.met(simhash_wide.members(nodes, nodes.count()), nodes).collect()}
+    kept = {(r.a, r.b) for r in simhash_wide._counted(met(simhash_wide.members(nodes, nodes.count())), nodes).collect()}
     equal = [(i, j) for i in texts for j in texts if i < j and texts[i] == texts[j]]
     want = joined_by(texts, [p for p in near if p in kept] + equal)
     got = {r.doc_id: r.component_id for r in simhash_wide.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), hot=hot).collect()}
@@ -288,11 +294,14 @@ def test_simhash_index_equals_plain_version(spark, nodes_count):
     for i, p in prints.items():
         for k, c in enumerate(chosen):
             lists.setdefault((k, *(p[x] for x in c)), []).append(i)
-    want = {(a, b) for m in lists.values() for a in m for b in m if a < b}
+    others = [simhash_wide.other_word(k, c) for k, c in enumerate(chosen)]
+    assert all(o not in {x // 8 for x in c} for o, c in zip(others, chosen))
+    touching = lambda a, b, w: any(prints[a][8 * w + i] == prints[b][8 * w + i] for i in range(8))
+    want = {(a, b) for (k, *_), m in lists.items() for a in m for b in m if a < b and touching(a, b, others[k])}
     want = {(a, b) for a, b in want if sum(x == y for x, y in zip(prints[a], prints[b])) >= simhash_wide.SHARED}
     nodes = nodes_of(spark, texts)
     listed = simhash_wide.members(nodes, nodes_count)
-    assert {(r.a, r.b) for r in simhash_wide.met(listed, nodes).collect()} == want and len(want) > 60
+    assert {(r.a, r.b) for r in simhash_wide._counted(met(listed), nodes).collect()} == want and len(want) > 60
     assert sorted(r["size"] for r in listed.collect()) == sorted(len(m) for m in lists.values() if len(m) > 1 for _ in m)
 
 

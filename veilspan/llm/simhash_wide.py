@@ -6,12 +6,14 @@ BYTES - SURE of their bytes at least, the guaranteed minimum SHARED.
 
 The index has a posting list for each of a fixed choice of byte positions and the bytes there. Positions are taken in threes, so that a list has few
 members by chance up to 2^24 nodes; beyond, one more for each 256 times as many nodes, in as many more lists as keep the chance alike that a pair meets (see places()).
-Members of a list are compared once: their shared positional bytes are tallied, pairs with fewer than SHARED are dropped, and the rest are
-verified by their whole sets. What meets in no list is not found: tests measure the recall by pairs at a similarity of 0.8 (NEAR) and more.
+A posting carries a word of the fingerprint that is none of its list's, and members of a list are compared where they share a byte of it. The
+shared positional bytes of pairs are tallied, pairs with fewer than SHARED are dropped, and the rest are verified by their whole sets.
+What meets in no list is not found: tests measure the recall by pairs at a similarity of 0.8 (NEAR) and more.
 
-Members of lists of over HOT are first verified with a centre of their list, the member that stands in most long lists, in rows in proportion
-to the members. Then only members whose components still differ are paired, so that a large group of near copies isn't paired off, and each pair
-that meets is verified, dropped by the count filter, or in one component already.
+Each list's members are first verified with a centre: the smallest, or in lists of over HOT the member that stands in most long lists, in rows in
+proportion to the members. Then only members whose components still differ are paired, in long lists only if their
+sketches let them be near, so that a large group of near copies isn't paired off, and each pair that meets is verified, dropped by a filter that no near pair
+fails, or in one component already.
 
 Before whole sets are compared, pairs are dropped whose sketches differ in more places than near sets can: a sketch is, for each of 64 * SKETCH
 places, whether an odd number of hashes fall there, so a shingle that only one set has changes one place.
@@ -162,32 +164,41 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, length: int) -
 
 
 def _postings(nodes: DataFrame, chosen: list[tuple[int, ...]]) -> DataFrame:
-    """name, fp: each node (fp, simhash) in its lists; a name is a choice of positions and the bytes there."""
+    """name, fp, word: each node (fp, simhash) in its lists; a name is a choice of positions and the bytes there, word an other_word()."""
     word = lambda i: F.get("simhash", F.shiftright(i, 3))
     size = len(chosen[0])
     positions = F.array(*(F.lit(i) for c in chosen for i in c))
     bytes_ = F.transform(F.sequence(F.lit(0), F.lit(BYTES - 1)), lambda i: F.call_function("shiftrightunsigned", word(i), 8 * (i % 8)).bitwiseAND(F.lit(255)))
-    rows = nodes.select("fp", bytes_.alias("bytes"))
+    others = F.array(*(F.lit(other_word(k, c)) for k, c in enumerate(chosen)))
+    rows = nodes.select("fp", "simhash", bytes_.alias("bytes"))
 
     def name(k: Column) -> Column:
         value = k.cast("long")
         for j in range(size):
             value = F.shiftleft(value, 8).bitwiseOR(F.get("bytes", F.get(positions, k * size + j)))
-        return value
+        return F.struct(value.alias("name"), F.get("simhash", F.get(others, k)).alias("word"))
 
-    return rows.select("fp", F.explode(F.transform(F.sequence(F.lit(0), F.lit(len(chosen) - 1)), name)).alias("name"))
+    rows = rows.select("fp", F.explode(F.transform(F.sequence(F.lit(0), F.lit(len(chosen) - 1)), name)).alias("p"))
+    return rows.select("fp", "p.name", "p.word")
 
 
-def _shared(x: str, y: str) -> Column:
-    """How many positional bytes two fingerprints share: the bits of each byte of their difference are gathered in its lowest, which are counted."""
+def other_word(k: int, positions: tuple[int, ...]) -> int:
+    """A word of the fingerprint in which none of the positions lies, another one for each k."""
+    free = [w for w in range(WORDS) if all(i // 8 != w for i in positions)]
+    return free[k % len(free)]
+
 
-    def differing(a: Column, b: Column) -> Column:
-        apart = a.bitwiseXOR(b)
-        for k in (4, 2, 1):
-            apart = apart.bitwiseOR(F.shiftrightunsigned(apart, k))
-        return F.bit_count(apart.bitwiseAND(F.lit(0x0101010101010101)))
+def _differing(a: Column, b: Column) -> Column:
+    """In how many bytes two words differ: the bits of each byte of their difference are gathered in its lowest, which are counted."""
+    apart = a.bitwiseXOR(b)
+    for k in (4, 2, 1):
+        apart = apart.bitwiseOR(F.shiftrightunsigned(apart, k))
+    return F.bit_count(apart.bitwiseAND(F.lit(0x0101010101010101)))
 
-    return F.lit(BYTES) - sum((differing(F.get(x, F.lit(w)), F.get(y, F.lit(w))) for w in range(WORDS)), F.lit(0))
+
+def _shared(x: str, y: str) -> Column:
+    """How many positional bytes two fingerprints share."""
+    return F.lit(BYTES) - sum((_differing(F.get(x, F.lit(w)), F.get(y, F.lit(w))) for w in range(WORDS)), F.lit(0))
 
 
 def _counted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -197,24 +208,41 @@ def _counted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def members(nodes: DataFrame, nodes_count: int) -> DataFrame:
-    """name, fp, size: the members of lists of two or more. One shuffle deals the postings out, and lists of one are dropped there."""
+    """name, fp, word, size, least: the members of lists of two or more. One shuffle deals the postings out, and lists of one are dropped there."""
     lists = Window.partitionBy("name")
-    return _postings(nodes, places(nodes_count)).withColumn("size", F.count(F.lit(1)).over(lists)).where("size > 1")
+    least = F.min(F.struct("fp", "word")).over(lists)
+    return _postings(nodes, places(nodes_count)).withColumns({"size": F.count(F.lit(1)).over(lists), "least": least}).where("size > 1")
 
 
-def met(listed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b: pairs of members (name, fp) of a list that pass the count filter."""
-    x, y = (listed.select("name", F.col("fp").alias(side)) for side in "ab")
-    return _counted(x.join(y, "name").where("a < b").select("a", "b").distinct(), nodes)
+def _touching(a: Column, b: Column) -> Column:
+    return _differing(a, b) < 8
+
+
+def stars(listed: DataFrame, hot: int = HOT) -> DataFrame:
+    """a, b: each member with its list's centre."""
+    few, many = listed.where(F.col("size") <= hot), listed.where(F.col("size") > hot)
+    pairs = few.where((F.col("fp") > F.col("least.fp")) & _touching(F.col("word"), F.col("least.word"))).select(F.col("least.fp").alias("a"), F.col("fp").alias("b"))
+    # the more long lists a node is in, the more of it is common to the group
+    standing = many.groupBy("fp").agg(F.count(F.lit(1)).alias("places"))
+    centre = many.join(standing, "fp").groupBy("name").agg(F.max_by(F.struct("fp", "word"), F.struct("places", "fp")).alias("c"))
+    long = many.join(centre, "name").where((F.col("fp") != F.col("c.fp")) & _touching(F.col("word"), F.col("c.word")))
+    return pairs.unionByName(long.select(F.least("fp", "c.fp").alias("a"), F.greatest("fp", "c.fp").alias("b"))).distinct()
 
 
-def met_apart(listed: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """met() of members whose components by roots (node, root) differ; lists with one component are passed over."""
-    rows = _rooted(listed.select("name", "fp"), roots)
+def apart(listed: DataFrame, nodes: DataFrame, roots: DataFrame, hot: int = HOT) -> DataFrame:
+    """a, b: pairs of members of a list whose components by roots (node, root) differ; lists with one component are passed over."""
+    rows = _rooted(listed.select("name", "fp", "word", "size"), roots)
     open_ = rows.groupBy("name").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("name")
-    rows = rows.join(open_, "name", "left_semi").join(nodes.select("fp", "simhash"), "fp")
-    x, y = (rows.select("name", F.col("fp").alias(side), F.col("root").alias(f"r{side}"), F.col("simhash").alias(f"h{side}")) for side in "ab")
-    return x.join(y, "name").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (_shared("ha", "hb") >= SHARED)).select("a", "b").distinct()
+    rows = written(rows.join(open_, "name", "left_semi"), "simhash-open")
+    few, many = rows.where(F.col("size") <= hot), rows.where(F.col("size") > hot).join(nodes.select("fp", "n", "sketch"), "fp")
+
+    def pairs(rows: DataFrame, more: list[str], near) -> DataFrame:
+        x, y = (rows.select("name", F.col("fp").alias(side), F.col("root").alias(f"r{side}"), F.col("word").alias(f"w{side}"), *(F.col(c).alias(f"{c}{side}") for c in more)) for side in "ab")
+        met = (x["name"] == y["name"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _touching(F.col("wa"), F.col("wb"))
+        return x.join(y, met & near).select("a", "b")
+
+    long = pairs(many, ["n", "sketch"], _alike(F.col("sketcha"), F.col("sketchb"), F.col("na") + F.col("nb")))
+    return pairs(few, [], F.lit(True)).unionByName(long).distinct()
 
 
 def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -229,16 +257,8 @@ def links(docs: DataFrame, nodes: DataFrame, length: int, hot: int = HOT) -> Dat
     nodes has fp, n, sketch, simhash and `least`, the doc_id and t of a row.
     """
     listed = written(members(nodes, nodes.count()), "simhash-members")
-    few, many = listed.where(F.col("size") <= hot), listed.where(F.col("size") > hot)
-    near = verified(met(few, nodes), docs, nodes, length)
-    if many.isEmpty():
-        return near
-    # the more long lists a node is in, the more of it is common to the group
-    standing = many.groupBy("fp").agg(F.count(F.lit(1)).alias("places"))
-    centre = many.join(standing, "fp").groupBy("name").agg(F.max_by("fp", F.struct("places", "fp")).alias("c"))
-    stars = many.join(centre, "name").where("fp <> c").select(F.least("fp", "c").alias("a"), F.greatest("fp", "c").alias("b")).distinct()
-    near = near.unionByName(verified(_counted(stars, nodes), docs, nodes, length))
-    return near.unionByName(verified(met_apart(many, nodes, components(near)), docs, nodes, length))
+    near = verified(_counted(stars(listed, hot), nodes), docs, nodes, length)
+    return near.unionByName(verified(_counted(apart(listed, nodes, components(near), hot), nodes), docs, nodes, length))
 
 
 def near_duplicates(docs: DataFrame, length: int = SHINGLE, hot: int = HOT) -> DataFrame:
