@@ -117,7 +117,7 @@ def _tile(table: pa.Table) -> pa.Table:
         if one["cells"].is_valid and len(one["cells"].values):
             cells = one["cells"].values
             counts[cells.field("cell").to_numpy(zero_copy_only=False)] = cells.field("n").to_numpy(zero_copy_only=False)
-        p = shares(counts.reshape(-1, width), np.array(one["totals"].as_py(), np.int64), one["terms"].as_py())
+        p = shares(counts.reshape(len(names[block]), width), np.array(one["totals"].as_py(), np.int64), one["terms"].as_py())
         if low == high:
             add((low, low), divergences(p, p))
         elif block == low:

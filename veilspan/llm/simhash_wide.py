@@ -10,8 +10,8 @@ A posting carries a word of the fingerprint that is none of its list's, and memb
 shared positional bytes of pairs are tallied, pairs with fewer than SHARED are dropped, and the rest are verified by their whole sets.
 What meets in no list is not found: tests measure the recall by pairs at a similarity of 0.8 (NEAR) and more.
 
-Each list's members are first verified with a centre: the smallest, or in lists of over HOT the member that stands in most long lists, in rows in
-proportion to the members. Then only members whose components still differ are paired, in long lists only if their
+Members of lists of over HOT are first verified with a centre of their list, the member that stands in most long lists, in rows in
+proportion to the members. Then, in lists of any length, only members whose components still differ are paired, in long lists only if their
 sketches let them be near, so that a large group of near copies isn't paired off, and each pair that meets is verified, dropped by a filter that no near pair
 fails, or in one component already.
 
@@ -47,7 +47,7 @@ SHARED = BYTES - SURE
 #: Positions that name a list of up to 2^24 nodes, and the lists of a node; with each more position, the lists are LISTS_TIMES as many.
 POSITIONS, LISTS, LISTS_TIMES = 3, 192, 4
 #: Members of longer lists are first compared with one member.
-HOT = 16
+HOT = 4
 #: The words of a sketch.
 SKETCH = 16
 #: Ids and hashes of rows to drop or to read are broadcast up to this number (16 bytes each); beyond, the join shuffles.
@@ -208,25 +208,20 @@ def _counted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def members(nodes: DataFrame, nodes_count: int) -> DataFrame:
-    """name, fp, word, size, least: the members of lists of two or more. One shuffle deals the postings out, and lists of one are dropped there."""
-    lists = Window.partitionBy("name")
-    least = F.min(F.struct("fp", "word")).over(lists)
-    return _postings(nodes, places(nodes_count)).withColumns({"size": F.count(F.lit(1)).over(lists), "least": least}).where("size > 1")
+    """name, fp, word, size: the members of lists of two or more. One shuffle deals the postings out, and lists of one are dropped there."""
+    return _postings(nodes, places(nodes_count)).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("name"))).where("size > 1")
 
 
 def _touching(a: Column, b: Column) -> Column:
     return _differing(a, b) < 8
 
 
-def stars(listed: DataFrame, hot: int = HOT) -> DataFrame:
-    """a, b: each member with its list's centre."""
-    few, many = listed.where(F.col("size") <= hot), listed.where(F.col("size") > hot)
-    pairs = few.where((F.col("fp") > F.col("least.fp")) & _touching(F.col("word"), F.col("least.word"))).select(F.col("least.fp").alias("a"), F.col("fp").alias("b"))
-    # the more long lists a node is in, the more of it is common to the group
+def stars(many: DataFrame) -> DataFrame:
+    """a, b: each member with its list's centre: the more lists a node is in, the more of it is common to the group."""
     standing = many.groupBy("fp").agg(F.count(F.lit(1)).alias("places"))
     centre = many.join(standing, "fp").groupBy("name").agg(F.max_by(F.struct("fp", "word"), F.struct("places", "fp")).alias("c"))
-    long = many.join(centre, "name").where((F.col("fp") != F.col("c.fp")) & _touching(F.col("word"), F.col("c.word")))
-    return pairs.unionByName(long.select(F.least("fp", "c.fp").alias("a"), F.greatest("fp", "c.fp").alias("b"))).distinct()
+    pairs = many.join(centre, "name").where((F.col("fp") != F.col("c.fp")) & _touching(F.col("word"), F.col("c.word")))
+    return pairs.select(F.least("fp", "c.fp").alias("a"), F.greatest("fp", "c.fp").alias("b")).distinct()
 
 
 def apart(listed: DataFrame, nodes: DataFrame, roots: DataFrame, hot: int = HOT) -> DataFrame:
@@ -257,7 +252,7 @@ def links(docs: DataFrame, nodes: DataFrame, length: int, hot: int = HOT) -> Dat
     nodes has fp, n, sketch, simhash and `least`, the doc_id and t of a row.
     """
     listed = written(members(nodes, nodes.count()), "simhash-members")
-    near = verified(_counted(stars(listed, hot), nodes), docs, nodes, length)
+    near = verified(_counted(stars(listed.where(F.col("size") > hot)), nodes), docs, nodes, length)
     return near.unionByName(verified(_counted(apart(listed, nodes, components(near), hot), nodes), docs, nodes, length))
 
 
