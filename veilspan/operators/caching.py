@@ -60,13 +60,12 @@ def with_store(blocks: DataFrame, detect: Callable[[DataFrame], DataFrame], path
     spark = blocks.sparkSession
     now = time.time() if now is None else now
     keyed = blocks.withColumn("_key", F.sha2("text", 256)).where(F.trim("text") != "").withColumn("bucket", _bucket())
-    empty = detect(keyed.limit(0).select(F.lit(0).alias("doc_id"), F.col("_key").alias("block_id"), "text"))
-    rest = [f for f in empty.schema if f.name not in ("doc_id", "block_id")]
-    schema = f"_key string, found array<struct<{','.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in rest)}>>, written double, bucket int"
-    known = _read(spark, path, _ENTRIES, schema).where(F.col("written") > now - expiry)
+    known = _read(spark, path, _ENTRIES, "_key string, written double, bucket int").where(F.col("written") > now - expiry)
     new = keyed.join(known.select("bucket", "_key").distinct(), ["bucket", "_key"], "left_anti")
     one = new.groupBy("_key").agg(F.first("text").alias("text")).select(F.lit(0).alias("doc_id"), F.col("_key").alias("block_id"), "text")
     found = detect(one)
+    rest = [f for f in found.schema if f.name not in ("doc_id", "block_id")]
+    schema = f"_key string, found array<struct<{','.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in rest)}>>, written double, bucket int"
     arrays = found.groupBy(F.col("block_id").alias("_key")).agg(F.collect_list(F.struct(*(f.name for f in rest))).alias("found"))
     _committed(one.select(F.col("block_id").alias("_key")).join(arrays, "_key", "left").select("_key", "found", F.lit(float(now)).alias("written"), _bucket()), path, _ENTRIES)
     _committed(keyed.select("_key", "bucket").distinct().withColumn("used", F.lit(float(now))), path, _USES)
