@@ -4,7 +4,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from veilspan.functions.spans import matches
 from veilspan.operators import dictionary, extract, morphology, rule_index, tokens
 from veilspan.sources.rules import GOVERNMENT_FALLBACK, Rule, government_bodies
 
@@ -220,6 +222,22 @@ def test_odd_letters_meet_their_rules(spark):
     assert got == {0, 1, 2}
 
 
+def test_texts_are_not_sorted_by_rule(spark, blocks):
+    table = rule_index.from_rules(spark, [Rule("a", r"\bплюс\w*"), Rule("b", r"копыта|[а-я]+")])
+    plan = rule_index.scan(blocks, table)._jdf.queryExecution().sparkPlan().toString()
+    assert not re.search(r"\bSort \[", plan)
+
+
+@pytest.mark.parametrize("text", ["ab1 AB_2\x0bcd\x1f ef\x00$+<gh>^ k 9", "ab1 é \u0661 K \u212a \u2003x", "ab\ue000 cd"])
+def test_ascii_texts_are_searched_as_all_others(spark, text):
+    found = [r"\b\w+\b", r"[^\w\s]+", r"\d+", r"\S+", r"(?i)k", r"(?iu)k", r"\p{Punct}+", r"\x{212A}|e", r"(?<=\s)\w", r"\bab\W"]
+    table = rule_index.from_table(spark.createDataFrame([("c", p) for p in found], "category string, pattern string"))
+    b = spark.createDataFrame([(1, "b", text)], BLOCK)
+    got = sorted((r.start, r.end, r.original_value) for r in rule_index.scan(b, table).collect())
+    want = [(r.m.start, r.m.end, r.m.value) for p in found for r in b.select(F.explode(matches(b["text"], "(?U)" + re.sub(r"^\(\?i\)", "(?iu)", p))).alias("m")).collect()]
+    assert got == sorted(want) and got
+
+
 def test_rules_are_validated(spark):
     table = spark.createDataFrame([(p,) for p in ["a+", "(", "a*", "", None, "[a", "x|"]], "pattern string")
     got = [(r.pattern, r.valid, r.reason) for r in rule_index.validated(table).collect()]

@@ -26,7 +26,7 @@ def normalize_loose(text: Column) -> Column:
 
 def plain_spaces(text: Column) -> Column:
     """No-break spaces become spaces; the length stays."""
-    return F.translate(F.coalesce(text, F.lit("")), "\u00a0", " ")
+    return F.replace(F.coalesce(text, F.lit("")), F.lit("\u00a0"), F.lit(" "))
 
 
 def text_variants(text: Column, rules: list[tuple[str, str]] = ()) -> Column:

@@ -4,8 +4,9 @@ Most patterns have a literal that every match contains. It is read off the patte
 the rule's anchor. A text's distinct runs of three are looked up among the anchors in one pass, whatever the number of rules; only rules whose anchor and then whose whole
 literal a text holds are run on it. Rules without a literal of three characters are run on every text.
 
-An index of up to BROADCAST rules is broadcast behind a count, beyond it the lookup shuffles. Candidates meet their texts by (document, block),
-and are sorted by rule there, so that a pattern is compiled once a task and not once a text.
+An index of up to BROADCAST rules is broadcast behind a count, beyond it the lookup shuffles. The rules of a block meet its text by (document, block) in one row and are
+told apart only in the task that runs them: texts are shuffled and sorted once, whatever the number of rules. A pattern is compiled for each text, which costs less than
+carrying the texts to the patterns.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.spans import matches
+from ..functions.spans import matches, unmarked
 from ..functions.text import grams, plain_spaces
 from ..sources.rules import Rule
 
@@ -68,8 +69,8 @@ def from_table(rows: DataFrame, method: str = "regex") -> DataFrame:
 
 def folded(text: Column) -> Column:
     """A form that is equal for all texts that match each other in any case."""
-    upper = F.replace(F.upper(F.translate(plain_spaces(text), "İ", "I")), F.lit("ẞ"), F.lit("SS"))
-    return F.translate(F.lower(upper), "ς", "σ")
+    upper = F.replace(F.upper(F.replace(plain_spaces(text), F.lit("İ"), F.lit("I"))), F.lit("ẞ"), F.lit("SS"))
+    return F.replace(F.lower(upper), F.lit("ς"), F.lit("σ"))
 
 
 def index(rules: DataFrame) -> DataFrame:
@@ -85,29 +86,36 @@ def candidates(blocks: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, block_id, text, COLUMNS: the rules of an index that may match a block, and those without an anchor for each."""
     anchored = known.where("anchor IS NOT NULL")
     runs = blocks.select("doc_id", "block_id", F.explode(grams(folded(F.col("text")))).alias("anchor"))
-    keys = anchored.select("rule", "anchor")
-    if keys.count() <= BROADCAST:
-        hits = runs.join(F.broadcast(keys), "anchor")
-    else:
-        salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    small = anchored.count() <= BROADCAST
+    if small:
+        hits = runs.join(F.broadcast(anchored.select("rule", "anchor")), "anchor")
+    else:  # then the rules come along whole, so that no join has texts repeated by rule
+        salted = anchored.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         hits = runs.withColumn("salt", F.pmod(F.xxhash64("doc_id", "block_id"), F.lit(SALT)).cast("int")).join(salted, ["anchor", "salt"])
-    named = hits.groupBy("doc_id", "block_id").agg(F.collect_list("rule").alias("rules"))
+    carried = ["rule"] if small else [*COLUMNS, "literal"]
+    named = hits.groupBy("doc_id", "block_id").agg(F.collect_list(F.struct(*carried)).alias("rules"))
     texts = blocks.select("doc_id", "block_id", plain_spaces(F.col("text")).alias("text"))
-    few = texts.join(named, ["doc_id", "block_id"]).withColumn("folded", folded(F.col("text"))).withColumn("rule", F.explode("rules")).drop("rules")
-    few = few.join(anchored, "rule").where(F.contains("folded", F.col("literal")))
+    few = texts.join(named, ["doc_id", "block_id"]).withColumn("folded", folded(F.col("text"))).withColumn("r", F.explode("rules")).select("doc_id", "block_id", "text", "folded", "r.*")
+    few = (few.join(F.broadcast(anchored), "rule") if small else few).where(F.contains("folded", F.col("literal")))
     always = known.where("anchor IS NULL").agg(F.collect_list(F.struct(*COLUMNS)).alias("r"))  # one row: the rules that can't be anchored
     rest = texts.join(F.broadcast(always)).select("doc_id", "block_id", "text", F.explode("r").alias("r")).select("doc_id", "block_id", "text", "r.*")
     return few.select("doc_id", "block_id", "text", *COLUMNS).unionByName(rest)
 
 
+def _ascii() -> Column:
+    """Whether text and pattern are ASCII and the pattern names no class of characters by number or property: then (?U) changes nothing, and is slow."""
+    plain = r"\A[\x00-\x7F]*\z"
+    return (F.octet_length("text") == F.length("text")) & F.col("pattern").rlike(plain) & ~F.col("pattern").rlike(r"\\[^bBdDsSwWntrf.()\[\]{}|*+?^$/-]|\(\?[a-zA-Z-]*[uUx]|\[:|&&")
+
+
 def scan(blocks: DataFrame, rules: DataFrame) -> DataFrame:
     """Detections of all rules of a table (COLUMNS) in blocks, the same as if each were run on each block; patterns are Java's.
 
     Patterns must be valid and not match the empty string (see validated()); rules without a pattern are left out. ord is the match's place among its rule's in a
     block. Null and empty texts have no detections; (doc_id, block_id) must name one block. A rule is known by `rule`, which goes along.
     """
-    rows = candidates(blocks, index(rules)).sortWithinPartitions("rule")
-    found = matches(F.col("text"), F.concat(F.lit("(?U)"), F.col("pattern")))
+    rows = candidates(blocks.select("doc_id", "block_id", unmarked(F.col("text")).alias("text")), index(rules))
+    found = matches(F.col("text"), F.concat(F.when(_ascii(), "").otherwise("(?U)"), F.col("pattern")), clean=True)
     rows = rows.select("doc_id", "block_id", *COLUMNS, F.posexplode(found).alias("ord", "m"))
     return rows.select("doc_id", "block_id", "category", F.col("m.value").alias("original_value"), F.col("m.start").alias("start"), F.col("m.end").alias("end"), "confidence", "method", "description", "rule", "ord")
 

@@ -28,7 +28,7 @@ _STRUCT = "struct<gap:string,text:string,start:int,end:int>"
 
 def tokens(text: Column) -> Column:
     """Structs of gap (the white space before), text, start, end (code points, end exclusive) of the tokens; null counts as empty."""
-    marked = F.regexp_replace(F.translate(plain_spaces(text), _MARK, _OTHER), TOKEN, f"{_MARK}$0{_MARK}")
+    marked = F.regexp_replace(F.replace(plain_spaces(text), F.lit(_MARK), F.lit(_OTHER)), TOKEN, f"{_MARK}$0{_MARK}")
 
     def paired(c: Column) -> Column:
         at = lambda k: F.get(c, k.cast("int"))
@@ -58,7 +58,7 @@ def _none() -> Column:
 
 def word_of(text: Column) -> Column:
     """The form that tables are looked up by: lower case, е for ё."""
-    return F.translate(F.lower(text), "ё", "е")
+    return F.replace(F.lower(text), F.lit("ё"), F.lit("е"))
 
 
 def exploded(blocks: DataFrame, *keep: str) -> DataFrame:
