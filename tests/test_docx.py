@@ -90,3 +90,21 @@ def test_span_over_runs_keeps_the_rest():
     assert pack.replace([("paragraph_0", 3, 10, "X"), ("nowhere", 0, 1, "Y"), ("paragraph_2", 2, 99, "Z")]) == 1
     again = {b.block_id: b.normalized()[0] for b in docx.Package(pack.content()).blocks()}
     assert again["paragraph_0"] == "to X and c@d.org" and again["paragraph_2"] == "last"
+
+
+def test_files_are_dealt_over_the_cores_and_leave_in_pieces(spark, tmp_path):
+    from veilspan.plans import files
+
+    spark.range(900).selectExpr("id AS c_custkey", "concat('n', id) AS c_name", "'S' AS c_mktsegment").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    made = files._files(spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    import pandas as pd
+
+    assert [len(p) for p in docx.pieces(pd.DataFrame({"a": range(2 * docx.PIECE + 1)}))] == [docx.PIECE, docx.PIECE, 1]
+    assert docx.blocks(made).count() == 7200
+
+
+def test_plain_text_of_blocks_and_prefixes_when_written():
+    package_ = docx.Package(package(p("a \u00a0\u2003 b\x1c", "\u200bc"). replace("\x1c", "\u2028"), p("h"), p("f")))
+    assert all(b.text() == b.normalized()[0] for b in package_.blocks())
+    assert b"<w:document" in docx.Package(package_.content()).files["word/document.xml"]

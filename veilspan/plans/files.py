@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import table
+from ..session import dealt, table
 from ..sources import docx, tables, xlsx
 from .catalog import Query
 
@@ -54,9 +54,10 @@ def _customers(spark, d) -> DataFrame:
 def _files(spark, d) -> DataFrame:
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "content": [package(*r) for r in f.itertuples(index=False)]})
+            for g in docx.pieces(f):
+                yield pd.DataFrame({"doc_id": g["doc_id"], "content": [package(*r) for r in g.itertuples(index=False)]})
 
-    return _customers(spark, d).mapInPandas(rows, "doc_id string, content binary")
+    return dealt(_customers(spark, d)).mapInPandas(rows, "doc_id string, content binary")
 
 
 def _uuid():

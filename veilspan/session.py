@@ -34,6 +34,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df over all cores, whatever its splits: for narrow rows that each cost much work, whose bytes don't show it."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def shared(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir, or the context's; a local session without either gets one."""
     named, jsc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext._jsc.sc()
