@@ -158,3 +158,13 @@ def test_needs_drop_no_match(spark):
     bare = [ru.Rule(**{**r.__dict__, "needs": ""}) for r in rules]
     got, want = (sorted(map(tuple, extract.scan(b, r).collect())) for r in (rules, bare))
     assert got == want and any(r[0] == len(texts) - 2 and r[2] == "inn" for r in got)
+
+
+def test_values_are_searched_for_systems_once(spark):
+    rows = [(1, "b", "organization", "Данные АИСДОМ", 5, 18, 0.7, "m", "", 0), (1, "b", "organization", "просто дом", 30, 40, 0.7, "m", "", 1), (2, "b", "organization", None, 0, 4, 0.7, "m", "", 0)]
+    found = extract.refine_systems(spark.createDataFrame(rows, "doc_id long, block_id string, category string, original_value string, start int, end int, confidence double, method string, description string, ord int"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("АИС[А-ЯA-Z]{2,}") <= 1
+    got = sorted((r.doc_id, r.category, r.original_value, r.start, r.end, r.core, r.private) for r in found.collect() if r.original_value)
+    assert got == [(1, "information_system", "АИСДОМ", 12, 18, "АИС", "ДОМ"), (1, "organization", "просто дом", 30, 40, None, None)]
+    assert found.count() == 3

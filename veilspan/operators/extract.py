@@ -288,12 +288,12 @@ def information_systems(blocks: DataFrame) -> DataFrame:
 def refine_systems(detections: DataFrame) -> DataFrame:
     """Detections that may name a system, replaced by the systems found in their values (offsets moved), if any; suppressed at 0.6."""
     inner = F.when(may_be_system(F.col("original_value")), system_spans(F.col("original_value")))
-    rest = [c for c in detections.columns if c not in ("doc_id", "block_id")]
-    rows = detections.withColumn("_in", inner)
-    kept = rows.where(F.coalesce(F.size("_in") <= 0, F.lit(True))).drop("_in").withColumns({"core": F.lit(None).cast("string"), "private": F.lit(None).cast("string")})
-    new = rows.where(F.size("_in") > 0).select("doc_id", "block_id", F.col("start").alias("_at"), F.col("ord").alias("_ord"), F.explode("_in").alias("_m"))
-    new = new.select("doc_id", "block_id", "_m.*", "_at", "_ord").withColumns({"start": F.col("start") + F.col("_at"), "end": F.col("end") + F.col("_at"), "ord": F.col("_ord")}).drop("_at", "_ord")
-    both = kept.select("doc_id", "block_id", *rest, "core", "private").unionByName(new, allowMissingColumns=True)
+    rows = detections.select("*", F.explode_outer(inner).alias("_m"))  # the one place that searches a value; null where nothing is found
+    m, old = F.col("_m"), F.col("_m").isNull()
+    moved = {"start": m["start"] + F.col("start"), "end": m["end"] + F.col("start"), "ord": F.col("ord")}
+    of = lambda c: moved.get(c, m[c] if c in COLUMNS else F.lit(None))
+    rest = [F.when(old, F.col(c)).otherwise(of(c)).alias(c) for c in detections.columns if c not in ("doc_id", "block_id")]
+    both = rows.select("doc_id", "block_id", *rest, m["core"].alias("core"), m["private"].alias("private"))
     return intervals.resolve(both, lambda s: intervals.suppress(s, 0.6), "doc_id", "block_id").drop("pos")
 
 

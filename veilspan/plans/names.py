@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import batching, caching, combine, extract, intervals, reports, strategies
-from ..session import table
+from ..session import dealt, table
 from ..sources import blocks as bl
 from .catalog import (
     BLOCK,
@@ -40,7 +40,7 @@ S = "c_mktsegment"
 
 def _customers(spark, d, text) -> DataFrame:
     """One block a customer with this text."""
-    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
+    rows = dealt(table(spark, d, "customer").select("c_custkey", S)).select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
     return bl.whole_blocks(rows)
 
 
