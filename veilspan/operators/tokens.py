@@ -22,7 +22,7 @@ from ..functions.text import let, plain_spaces
 _MARK, _OTHER = "\uE000", "\uE001"
 TOKEN = r"(?U)\p{Lu}\.|\w+|[^\w\s]"
 #: Tokens put together at once; a longer text's are put together in pieces of this.
-PIECE = 128
+PIECE = 32
 _STRUCT = "struct<gap:string,text:string,start:int,end:int>"
 
 
