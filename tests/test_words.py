@@ -286,3 +286,47 @@ def test_rule_files_through_the_index(spark, tmp_path):
     got = sorted((r.doc_id, r.category, r.original_value, r.confidence) for r in rule_index.scan(b, table).collect())
     assert (0, "inn", "ИНН 7701234567") in {g[:3] for g in got} and (5, "date", "дата 14.08.2023", 0.7) in got and (6, "card", "4111 1111", 0.5) in got
     assert rules.lookup(rules.read_language(spark, str(js)), "position").count() == 1
+
+
+def read_counted(spark, df):
+    """df, and a count of its rows that are read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(rows, df.schema), seen
+
+
+ODD = ["ΟΔΟΣ ΑΣ'Β Σ. ΑΣ", "İstanbul I\u0307 ﬁ", "a\u0301 \u0301b e\u200dx", "\uE000a\uE000", "x\u00a0y\u00a0", "😀😀 a😀b", "А. Б.\r\nЁж", None, "", " ", "a " * 40_000]
+
+
+def test_tokens_of_tables_equal_the_expression(spark):
+    rows = spark.createDataFrame([(i, "b", t) for i, t in enumerate(ODD)], BLOCK).repartition(2)
+    want = rows.select("doc_id", F.posexplode(tokens.tokens(F.col("text"))).alias("i", "t")).select("doc_id", "i", "t.*").withColumn("word", tokens.word_of(F.col("text")))
+    got = tokens.exploded(rows)
+    assert "MapInArrow" in got._jdf.queryExecution().toString()  # not cut token by token in expressions
+    assert sorted(map(tuple, got.drop("block_id").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_dictionaries_meet_odd_letters(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "b", t) for i, t in enumerate(ODD[:-1])], BLOCK)
+    known = spark.createDataFrame([(p, "c", 0.5) for p in ("οδος ας", "ας", "x y", "i̇stanbul", "a😀b", "А. Б. еж", "a😀b c")], "phrase string, category string, confidence double")
+    found = dictionary.match(rows, known)
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+    few = sorted((r.doc_id, r.original_value, r.start, r.end, r.ord) for r in found.collect())
+    assert {"x y", "a😀b", "А. Б.\r\nЁж"} <= {v for _, v, *_ in few}
+    assert all(ODD[d].replace("\u00a0", " ")[a:z] == v for d, v, a, z, _ in few)
+    monkeypatch.setattr(dictionary, "BROADCAST", 0)
+    assert few == sorted((r.doc_id, r.original_value, r.start, r.end, r.ord) for r in dictionary.match(rows, known).collect())
+
+
+def test_longest_phrases_are_folded_by_islands(spark):
+    rows = spark.createDataFrame([(0, "b", "of the x " * 3000)], BLOCK)
+    known = spark.createDataFrame([(p, "c", 0.5) for p in ("of", "of the", "the x")], "phrase string, category string, confidence double")
+    found = dictionary.match_longest(rows, known)
+    assert "island" in found._jdf.queryExecution().toString()  # not one array for the whole block
+    assert sorted((r.start, r.end) for r in found.collect()) == [(9 * k, 9 * k + 6) for k in range(3000)]
+

@@ -5,18 +5,27 @@ each a test of one token; a step may repeat. All patterns are matched at once by
 (pattern, step, first token), and every span that a pattern accepts is a match, overlapping ones too.
 
 What a token may be (its tags) comes from a joined table of word forms (see morphology). Only tokens that pass some step leave the scan, with their place
-in the block, so the shuffle that gathers blocks carries these few; a gap in their places ends all live states.
+in the block, so the shuffle that gathers them carries these few; a gap in their places ends all live states, so each run without gaps is folded by itself.
+
+Tokens of whole tables (exploded) are marked by one Java expression and cut in Arrow batches, column by column; tokens() is the same as one expression, for short
+texts such as phrases, as it works token by token.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.text import let, plain_spaces
+from ..session import bounded_batches
 
 #: Marks the ends of tokens; in the text it is first exchanged for another private-use character, so lengths stay.
 _MARK, _OTHER = "\uE000", "\uE001"
@@ -24,11 +33,17 @@ TOKEN = r"(?U)\p{Lu}\.|\w+|[^\w\s]"
 #: Tokens put together at once; a longer text's are put together in pieces of this.
 PIECE = 32
 _STRUCT = "struct<gap:string,text:string,start:int,end:int>"
+#: Bytes of texts that are cut in Python at once (or one text), and rows of a batch that goes back.
+CUT, BATCH = 1 << 20, 1 << 15
+
+
+def marked(text: Column) -> Column:
+    """The text with a mark before and behind each token; null counts as empty."""
+    return F.regexp_replace(F.replace(plain_spaces(text), F.lit(_MARK), F.lit(_OTHER)), TOKEN, f"{_MARK}$0{_MARK}")
 
 
 def tokens(text: Column) -> Column:
     """Structs of gap (the white space before), text, start, end (code points, end exclusive) of the tokens; null counts as empty."""
-    marked = F.regexp_replace(F.replace(plain_spaces(text), F.lit(_MARK), F.lit(_OTHER)), TOKEN, f"{_MARK}$0{_MARK}")
 
     def paired(c: Column) -> Column:
         at = lambda k: F.get(c, k.cast("int"))
@@ -49,7 +64,7 @@ def tokens(text: Column) -> Column:
         token = F.struct(p["gap"].alias("gap"), p["text"].alias("text"), start.alias("start"), end.alias("end"))
         return F.struct(end.alias("at"), F.concat(a["out"], F.array(token)).alias("out"))
 
-    return let(F.split(marked, _MARK, -1), lambda parts: F.when(F.size(parts) > 1, cut(parts)).otherwise(_none()))
+    return let(F.split(marked(text), _MARK, -1), lambda parts: F.when(F.size(parts) > 1, cut(parts)).otherwise(_none()))
 
 
 def _none() -> Column:
@@ -61,10 +76,70 @@ def word_of(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ё"), F.lit("е"))
 
 
+@dataclass(frozen=True)
+class Cut:
+    """The tokens of some marked texts: each one's row and place there, its part among all parts (the gap is the part before), start and end; and the first token of each row."""
+
+    parts: pa.Array
+    row: np.ndarray
+    i: np.ndarray
+    at: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+
+
+def cut(texts: pa.Array) -> Cut:
+    """The tokens of marked() texts."""
+    lists = pc.split_pattern(texts, _MARK)
+    offsets, parts = lists.offsets.to_numpy().astype(np.int64), lists.values
+    sizes = pc.utf8_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    n = (np.diff(offsets) - 1) // 2
+    row, first = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+    i = np.arange(len(row)) - first[row]
+    at = offsets[:-1][row] + 2 * i + 1
+    start = upto[at] - upto[offsets[:-1]][row]
+    return Cut(parts, row, i, at, start, start + sizes[at], first)
+
+
+def in_arrow(rows: DataFrame, by: str, made: list[T.StructField], how: Callable[[pa.RecordBatch, Cut], tuple[np.ndarray, list[pa.Array]]]) -> DataFrame:
+    """Rows made from the tokens of the texts in the column `by` (marked()): the columns of rows without a leading _, and those made.
+
+    how(some rows, their tokens) says from which row each new one is, and gives the columns made.
+
+    Texts are cut by CUT bytes at a time, and a batch that goes back has BATCH rows at most.
+    """
+    bounded_batches(rows.sparkSession)
+    carried = [f for f in rows.schema if not f.name.startswith("_")]
+    names = [f.name for f in [*carried, *made]]
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            upto = np.cumsum(pc.binary_length(batch.column(by)).to_numpy(zero_copy_only=False))
+            begin = 0
+            while begin < batch.num_rows:
+                before = upto[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(upto, before + CUT, "right")))
+                part = batch.slice(begin, end - begin)
+                row, columns = how(part, cut(part.column(by)))
+                whole = pa.RecordBatch.from_arrays([*(part.column(f.name).take(pa.array(row)) for f in carried), *columns], names)
+                for k in range(0, whole.num_rows, BATCH):
+                    yield whole.slice(k, BATCH)
+                begin = end
+
+    return rows.mapInArrow(out, T.StructType([*carried, *made]))
+
+
 def exploded(blocks: DataFrame, *keep: str) -> DataFrame:
     """doc_id, block_id, keep, i (the token's place), gap, text, start, end, word: one row a token."""
-    rows = blocks.select("doc_id", "block_id", *keep, F.posexplode(tokens(F.col("text"))).alias("i", "t"))
-    return rows.select("doc_id", "block_id", *keep, "i", "t.*").withColumn("word", word_of(F.col("text")))
+    rows = blocks.select("doc_id", "block_id", *keep, marked(F.col("text")).alias("_marked"))
+    made = [T.StructField(n, T.StringType() if n in ("gap", "text") else T.IntegerType()) for n in ("i", "gap", "text", "start", "end")]
+
+    def columns(batch: pa.RecordBatch, t: Cut) -> tuple[np.ndarray, list[pa.Array]]:
+        return t.row, [pa.array(t.i, pa.int32()), t.parts.take(pa.array(t.at - 1)), t.parts.take(pa.array(t.at)), pa.array(t.start, pa.int32()), pa.array(t.end, pa.int32())]
+
+    return in_arrow(rows, "_marked", made, columns).withColumn("word", word_of(F.col("text")))
 
 
 @dataclass(frozen=True)
