@@ -109,3 +109,26 @@ def test_long_blocks_are_split(spark):
     kept = intervals.greedy(rows, [lambda s: -s["confidence"]], overlaps, long=100)
     spans = sorted((r.start, r.end) for r in kept.collect())
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:])) and 6000 < len(spans) < 10_001
+
+
+def counted(spark, df):
+    """df, and a count of its rows that are read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(rows, df.schema), seen
+
+
+DETECTIONS = "doc_id long, block_id string, category string, start int, end int, original_value string, confidence double, method string, ord int"
+
+
+def test_entities_are_read_once(spark):
+    made = [(i % 3, "b", "c", 100 * i, 100 * i + 4, "v", 0.5, "m", i) for i in range(30)]
+    cues = spark.createDataFrame([(i % 3, "b", "c", 100 * i + 6, 100 * i + 9, "cue", 0.5, "m", i) for i in range(0, 30, 2)], DETECTIONS)
+    spans, seen = counted(spark, spark.createDataFrame(made, DETECTIONS))
+    assert sorted(r.ord for r in proximity.with_cues(spans, cues, 5).collect()) == list(range(0, 30, 2))
+    assert seen.value == 30

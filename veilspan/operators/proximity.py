@@ -44,8 +44,9 @@ def with_cues(entities: DataFrame, cues: DataFrame, width: int = 50) -> DataFram
     """
     key = [*KEY, "category"]
     none = F.lit(None)
-    e = entities.select(*key, "start", "end", "ord", bins(F.col("start"), F.col("end"), width + 1).alias("_bin"), none.cast("string").alias("_cue"))
-    c = cues.select(*key, "start", "end", none.cast("int").alias("ord"), bins(F.col("start"), F.col("end")).alias("_bin"), F.col("original_value").alias("_cue"))
+    whole = entities.na.drop(subset=[*key, "ord"]).withColumn("_e", F.struct(*entities.columns))  # goes along, so that entities are found once
+    e = whole.select(*key, "start", "end", "ord", bins(F.col("start"), F.col("end"), width + 1).alias("_bin"), none.cast("string").alias("_cue"), "_e")
+    c = cues.select(*key, "start", "end", none.cast("int").alias("ord"), bins(F.col("start"), F.col("end")).alias("_bin"), F.col("original_value").alias("_cue"), none.cast(whole.schema["_e"].dataType).alias("_e"))
     rows = e.withColumn("ord", F.col("ord").cast("long")).unionByName(c.withColumn("ord", F.col("ord").cast("long")))
     is_cue = F.col("_cue").isNotNull()
     span = lambda *k: F.when(is_cue, F.struct(*k, F.col("start").alias("s"), F.col("end").alias("e"), F.col("_cue").alias("v")))
@@ -54,6 +55,6 @@ def with_cues(entities: DataFrame, cues: DataFrame, width: int = 50) -> DataFram
     rows = rows.withColumn("_b", F.max(span(F.col("end").alias("k"), (-F.col("start")).alias("j"))).over(forth)).withColumn("_a", F.min(span(F.col("start").alias("k"), F.col("end").alias("j"))).over(back))
     near = F.array(*(F.when(F.col(f"{n}.s").isNotNull(), F.struct(F.greatest(F.lit(0), F.col("start") - F.col(f"{n}.e"), F.col(f"{n}.s") - F.col("end")).alias("distance"), F.lit(i).alias("side"), F.col(f"{n}.s").alias("cue_start"), F.col(f"{n}.v").alias("cue"))) for i, n in enumerate(("_b", "_a"))))
     best = F.array_min(F.filter(near, lambda n: n.isNotNull()))
-    found = rows.where(~is_cue).select(*key, "start", "end", "ord", best.alias("_n")).where(F.col("_n.distance") <= width)
-    found = found.groupBy(*key, "ord").agg(F.min("_n").alias("_n"))
-    return entities.join(found, [*key, "ord"]).select(*entities.columns, F.col("_n.cue").alias("cue"), F.col("_n.cue_start").alias("cue_start"), F.col("_n.distance").alias("distance"))
+    found = rows.where(~is_cue).select(*key, "ord", "_e", best.alias("_n")).where(F.col("_n.distance") <= width)
+    found = found.groupBy(*key, "ord").agg(F.min("_n").alias("_n"), F.first("_e").alias("_e"))
+    return found.select("_e.*", F.col("_n.cue").alias("cue"), F.col("_n.cue_start").alias("cue_start"), F.col("_n.distance").alias("distance"))
