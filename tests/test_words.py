@@ -330,3 +330,12 @@ def test_longest_phrases_are_folded_by_islands(spark):
     assert "island" in found._jdf.queryExecution().toString()  # not one array for the whole block
     assert sorted((r.start, r.end) for r in found.collect()) == [(9 * k, 9 * k + 6) for k in range(3000)]
 
+
+def test_only_runs_that_can_match_are_folded(spark):
+    steps = [(p, s, step) for p, pattern in enumerate(tokens.patterns()) for s, step in enumerate(pattern.steps)]
+    at = lambda p, s: [(q, t) for q, t, _ in steps].index((p, s))
+    holds = lambda *on: [k in on for k in range(len(steps))]
+    name = holds(*(at(0, s) for s in range(3)))
+    made = [("two", i, name) for i in (0, 1)] + [("gap", i, name) for i in (0, 1, 3, 4)] + [("three", i, name) for i in (1, 5, 6, 7, 8)] + [("late", 0, holds(at(1, 2)))] + [("late", i, name) for i in (1, 2, 3)]
+    rows = spark.createDataFrame([(d, "b", i, h) for d, i, h in made], "doc_id string, block_id string, i int, holds array<boolean>")
+    assert sorted((r.doc_id, r.i, r.run) for r in tokens._reached(rows, steps).collect()) == [("late", i, 0) for i in (1, 2, 3)] + [("three", i, 5) for i in (5, 6, 7, 8)]

@@ -209,30 +209,63 @@ def matched(rows: DataFrame, known: Sequence[Pattern]) -> DataFrame:
     last = F.array(*(F.lit(s + 1 == len(known[p].steps)) for p, s, _ in steps))
     more = F.array(*(F.lit(step.more) for _, _, step in steps))
     holds = F.array(*(F.coalesce(step.test(F.col("text"), F.col("word"), tags), F.lit(False)) for _, _, step in steps))
-    few = rows.withColumn("holds", holds).where(F.exists("holds", lambda h: h))
-    gathered = few.groupBy("doc_id", "block_id").agg(F.array_sort(F.collect_list(F.struct("i", "gap", "text", "start", "end", "holds"))).alias("tokens"))
+    few = rows.withColumn("holds", holds).where(F.array_contains("holds", True))
+    live = _reached(few.select("doc_id", "block_id", "i", "gap", "text", "start", "end", "holds"), steps)
+    gathered = live.groupBy("doc_id", "block_id", "run").agg(F.array_sort(F.collect_list(F.struct("i", "gap", "text", "start", "end", "holds"))).alias("tokens"))
 
     state = "array<struct<step:int,first:int>>"
     found = "array<struct<last:int,first:int,step:int>>"
 
     def advance(a: Column, t: Column, k: Column) -> Column:
-        live = F.when(t["i"] == a["i"] + 1, a["live"]).otherwise(F.array().cast(state))
         new = F.array(*(F.struct(F.lit(s).alias("step"), k.alias("first")) for s in first))
-        return let(F.filter(F.concat(live, new), lambda x: F.get(t["holds"], x["step"])), lambda met: reached(a, t, k, met))
+        return let(F.filter(F.concat(a["live"], new), lambda x: F.get(t["holds"], x["step"])), lambda met: reached(a, t, k, met))
 
     def reached(a: Column, t: Column, k: Column, met: Column) -> Column:
         done = F.transform(F.filter(met, lambda x: F.get(last, x["step"])), lambda x: F.struct(k.alias("last"), x["first"].alias("first"), x["step"].alias("step")))
         on = F.transform(F.filter(met, lambda x: ~F.get(last, x["step"])), lambda x: F.struct((x["step"] + 1).alias("step"), x["first"].alias("first")))
         again = F.filter(met, lambda x: F.get(more, x["step"]))
-        return F.struct(t["i"].alias("i"), (k + 1).alias("k"), F.array_distinct(F.concat(on, again)).alias("live"), F.concat(a["out"], done).alias("out"))
-
-    start = F.struct(F.lit(-2).alias("i"), F.lit(0).alias("k"), F.array().cast(state).alias("live"), F.array().cast(found).alias("out"))
-    out = F.aggregate("tokens", start, lambda a, t: let(a, lambda b: advance(b, t, b["k"])), lambda a: F.array_sort(a["out"]))
-    spans = gathered.select("doc_id", "block_id", "tokens", F.posexplode(out).alias("ord", "m"))
-    inner = F.slice("tokens", F.col("m.first") + 1, F.col("m.last") - F.col("m.first") + 1)
-    value = F.array_join(F.transform(inner, lambda t, j: F.when(j == 0, t["text"]).otherwise(F.concat(t["gap"], t["text"]))), "")
-    of = lambda f: F.get(F.array(*(F.lit(f(known[p])) for p, _, _ in steps)), F.col("m.step"))
+        return F.struct((k + 1).alias("k"), F.array_distinct(F.concat(on, again)).alias("live"), F.concat(a["out"], done).alias("out"))
+
+    def span(m: Column) -> Column:
+        inner = F.slice("tokens", m["first"] + 1, m["last"] - m["first"] + 1)
+        value = F.array_join(F.transform(inner, lambda t, j: F.when(j == 0, t["text"]).otherwise(F.concat(t["gap"], t["text"]))), "")
+        a, z = F.get("tokens", m["first"]), F.get("tokens", m["last"])
+        return F.struct(z["i"].alias("last"), a["i"].alias("first"), m["step"].alias("step"), value.alias("value"), a["start"].alias("start"), z["end"].alias("end"))
+
+    start = F.struct(F.lit(0).alias("k"), F.array().cast(state).alias("live"), F.array().cast(found).alias("out"))
+    out = F.aggregate("tokens", start, lambda a, t: let(a, lambda b: advance(b, t, b["k"])), lambda a: F.transform(a["out"], span))
+    spans = gathered.select("doc_id", "block_id", F.explode(out).alias("m")).select("doc_id", "block_id", "m.*")
+    ord_ = F.row_number().over(Window.partitionBy("doc_id", "block_id").orderBy("last", "first", "step")) - 1
+    of = lambda f: F.get(F.array(*(F.lit(f(known[p])) for p, _, _ in steps)), F.col("step"))
     return spans.select(
-        "doc_id", "block_id", of(lambda p: p.category).alias("category"), value.alias("original_value"), F.get("tokens", F.col("m.first"))["start"].alias("start"), F.get("tokens", F.col("m.last"))["end"].alias("end"),
-        of(lambda p: float(p.confidence)).alias("confidence"), F.lit("custom_matcher").alias("method"), of(lambda p: p.label).alias("description"), "ord",
+        "doc_id", "block_id", of(lambda p: p.category).alias("category"), F.col("value").alias("original_value"), "start", "end",
+        of(lambda p: float(p.confidence)).alias("confidence"), F.lit("custom_matcher").alias("method"), of(lambda p: p.label).alias("description"), ord_.alias("ord"),
     )
+
+
+#: Tokens of a pattern's beginning that are looked for before runs are folded.
+HEAD = 3
+
+
+def _reached(rows: DataFrame, steps: list[tuple[int, int, Step]]) -> DataFrame:
+    """rows (with holds) with `run`, the place where their run of neighbours begins, from the first token of a run on at which some pattern can begin.
+
+    There its steps hold one after the other, up to HEAD of them and up to its first that may repeat; most runs have no such token, and aren't folded.
+    """
+    heads: dict[int, list[int]] = {}
+    for at, (p, s, _) in enumerate(steps):
+        if s < HEAD and not any(q == p and t < s and step.more for q, t, step in steps):
+            heads.setdefault(p, []).append(at)
+    line = Window.partitionBy("doc_id", "block_id").orderBy("i")
+    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = {k: f"_{k}" for k in range(1, max(map(len, heads.values()), default=1))}
+    rows = rows.withColumns({"_before": F.lag("i").over(line), **{name: F.lead(F.struct("i", "holds"), k).over(line) for k, name in ahead.items()}})
+    begins = F.lit(False)
+    for head in heads.values():
+        here = F.get("holds", F.lit(head[0]))
+        for k, at in enumerate(head[1:], 1):
+            here &= (F.col(f"{ahead[k]}.i") == F.col("i") + k) & F.get(F.col(f"{ahead[k]}.holds"), F.lit(at))
+        begins |= F.coalesce(here, F.lit(False))
+    opens = F.coalesce(F.col("_before") + 1 != F.col("i"), F.lit(True))
+    rows = rows.withColumns({"run": F.max(F.when(opens, F.col("i"))).over(so_far), "_begun": F.max(F.when(begins, F.col("i"))).over(so_far)})
+    return rows.where(F.col("_begun") >= F.col("run")).drop("_before", "_begun", *ahead.values())
