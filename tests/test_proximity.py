@@ -126,6 +126,13 @@ def counted(spark, df):
 DETECTIONS = "doc_id long, block_id string, category string, start int, end int, original_value string, confidence double, method string, ord int"
 
 
+def test_rounds_read_the_detections_once(spark):
+    made = [(i % 3, "b", "c", i, i + 4, "v", 0.5, "m", i) for i in range(30)]
+    spans, seen = counted(spark, spark.createDataFrame(made, DETECTIONS))
+    assert intervals.suppressed(spans, 0.2, long=0).count() > 0
+    assert seen.value == 30
+
+
 def test_entities_are_read_once(spark):
     made = [(i % 3, "b", "c", 100 * i, 100 * i + 4, "v", 0.5, "m", i) for i in range(30)]
     cues = spark.createDataFrame([(i % 3, "b", "c", 100 * i + 6, 100 * i + 9, "cue", 0.5, "m", i) for i in range(0, 30, 2)], DETECTIONS)

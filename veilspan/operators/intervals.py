@@ -68,9 +68,9 @@ def greedy(detections: DataFrame, keys, clash, long: int = LONG, rounds: int = R
     The same as the fold of resolve(), but blocks of over `long` spans are split over tasks: in each round a span stays that no span before it clashes
     with any more, and those that clash with it go. Clashes are found once, by bins (see proximity), so clash(a, b) must imply a
     shared character. Spans that are undecided after `rounds` rounds (a chain, each clashing with the one before) are folded, without
-    those decided. ord tells the detections of a block apart; detections keep all columns.
+    those decided. ord tells the detections of a block apart; detections keep all columns. They are computed once and checkpointed, as many steps read them.
     """
-    key = proximity.KEY
+    key, detections = proximity.KEY, cut(detections)
     sizes = detections.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > long).select(*key)
     wide = detections.join(sizes, key, "left_semi")
     fold = lambda rows: resolve(rows, lambda spans: _greedy(_ordered(spans, *keys), clash), *key).drop("pos")
