@@ -331,6 +331,13 @@ def test_longest_phrases_are_folded_by_islands(spark):
     assert sorted((r.start, r.end) for r in found.collect()) == [(9 * k, 9 * k + 6) for k in range(3000)]
 
 
+def test_names_read_the_texts_once(spark):
+    blocks, seen = read_counted(spark, spark.createDataFrame([(i, "b", "Козлов и Петра тут") for i in range(20)], BLOCK))
+    resolved = spark.createDataFrame([("козлов", "Surn"), ("петра", "PROPN")], "word string, tag string")
+    assert morphology.names(blocks, resolved, ["тут"]).count() == 40
+    assert seen.value == 20
+
+
 def test_only_runs_that_can_match_are_folded(spark):
     steps = [(p, s, step) for p, pattern in enumerate(tokens.patterns()) for s, step in enumerate(pattern.steps)]
     at = lambda p, s: [(q, t) for q, t, _ in steps].index((p, s))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.confidence import for_morphology
 from .tokens import exploded, word_of
@@ -116,8 +117,9 @@ def names(blocks: DataFrame, resolved: DataFrame, context: Sequence[str], stops:
     for w in context:
         near |= F.contains("word", F.lit(w.lower().replace("ё", "е")))
     rows = rows.withColumn("near", near)
-    cues = rows.where("near").select("doc_id", "block_id", F.explode(F.sequence(F.col("i") - NEAR, F.col("i") + NEAR)).alias("i")).distinct()
-    found = rows.where("sure").withColumn("method", F.lit("morphological_enhanced")).unionByName(rows.where("maybe").join(cues, ["doc_id", "block_id", "i"], "left_semi").withColumn("method", F.lit("morphological")))
+    around = Window.partitionBy("doc_id", "block_id").orderBy("i").rangeBetween(-NEAR, NEAR)
+    rows = rows.where("sure OR maybe OR near").withColumn("near", F.max("near").over(around))
+    found = rows.where("sure OR (maybe AND near)").withColumn("method", F.when(F.col("sure"), "morphological_enhanced").otherwise("morphological"))
     confidence = F.when(F.col("method") == "morphological", for_morphology(0.6, 1, True)).otherwise(for_morphology(0.7, 1, True))
     return found.select("doc_id", "block_id", F.lit("person_name").alias("category"), F.col("text").alias("original_value"), "start", "end", confidence.alias("confidence"), "method", F.lit("").alias("description"), F.col("i").alias("ord"))
 
