@@ -331,3 +331,50 @@ def test_stage_is_decided_by_the_index(spark, monkeypatch):
     assert {r.doc_id for r in simhash_wide.one_of_each(docs).collect()} == set(want.values())
     monkeypatch.setattr(simhash_wide, "_counted", lambda pairs, nodes: pairs.limit(0))
     assert {r.doc_id for r in simhash_wide.one_of_each(docs).collect()} == set(texts)
+
+
+def test_a_group_meets_in_its_first_lists(spark, monkeypatch):
+    """A large group of near copies is joined in the lists of one shuffle of the positions: its members don't meet the centres of all their lists, in groups of two sizes."""
+    given, stars = [], simhash_wide.stars
+    monkeypatch.setattr(simhash_wide, "stars", lambda rows, *more: given.append(rows.count()) or stars(rows, *more))
+    for size in (60, 120):
+        rng = random.Random(size)
+        base, texts = [f"w{rng.randrange(10**6)}" for _ in range(400)], {}
+        for i in range(size):
+            w = list(base)
+            w[rng.randrange(400)] = f"new{i}"
+            texts[i] = " ".join(w)
+        given.clear()
+        got = {r.doc_id: r.component_id for r in simhash_wide.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+        assert got == near_components(texts) and set(got.values()) == {0}
+        assert 0 < sum(given) <= 22 * size  # of 192 lists
+
+
+def test_pairs_that_meet_may_be_near_by_their_sketches(spark, monkeypatch):
+    """Texts that share three in four of their words meet in lists, and none of their pairs is carried on to be verified."""
+    rng, counted, seen = random.Random(33), simhash_wide._counted, []
+    common, texts = [f"common{i}" for i in range(180)], {}
+    for i in range(60):
+        texts[i] = " ".join(common + [f"m{i}x{rng.randrange(10**6)}" for _ in range(60)])
+    monkeypatch.setattr(simhash_wide, "_counted", lambda pairs, nodes: seen.append(pairs.count()) or counted(pairs, nodes))
+    nodes = nodes_of(spark, texts)
+    assert met(simhash_wide.members(nodes, nodes.count())).count() > 20
+    got = {r.doc_id: r.component_id for r in simhash_wide.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {i: i for i in texts} and sum(seen) == 0
+
+
+def test_what_the_first_lists_leave_is_joined_in_the_others(spark, monkeypatch):
+    texts = edited(random.Random(24), 10)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    roots_of = lambda: {r.doc_id: r.component_id for r in simhash_wide.near_duplicates(docs).collect()}
+    want = roots_of()
+    monkeypatch.setattr(simhash_wide, "first_lists", lambda nodes_count: F.lit(False))
+    assert roots_of() == want == near_components(texts)
+
+
+@pytest.mark.parametrize("nodes_count, first", [(100, 21), (1 << 25, 16)])
+def test_first_lists_are_those_of_the_first_shuffle(spark, nodes_count, first):
+    chosen = simhash_wide.places(nodes_count)
+    assert len({i for c in chosen[:first] for i in c}) == first * len(chosen[0]) <= simhash_wide.BYTES < (first + 1) * len(chosen[0])
+    names = simhash_wide._postings(nodes_of(spark, {0: "a few words in a text"}), chosen).withColumn("first", simhash_wide.first_lists(nodes_count)).collect()
+    assert [r["first"] for r in names] == [k < first for k in range(len(chosen))]

@@ -10,8 +10,9 @@ A posting carries a word of the fingerprint that is none of its list's, and memb
 shared positional bytes of pairs are tallied, pairs with fewer than SHARED are dropped, and the rest are verified by their whole sets.
 What meets in no list is not found: tests measure the recall by pairs at a similarity of 0.8 (NEAR) and more.
 
-Members of lists of over HOT are first verified with a centre of their list, the member that stands in most long lists, in rows in
-proportion to the members. Then, in lists of any length, only members whose components still differ are paired, in long lists only if their
+Members of lists of over HOT are first verified with a centre of their list, the member that stands in most long lists: in the lists of one
+shuffle of the positions, in which a node stands a few times, and then in the other lists for those members that aren't in their centre's component by then. So a group of
+near copies is joined in its first lists and isn't met again in the others. Then, in lists of any length, only members whose components still differ are paired, in long lists only if their
 sketches let them be near, so that a large group of near copies isn't paired off, and each pair that meets is verified, dropped by a filter that no near pair
 fails, or in one component already.
 
@@ -151,9 +152,7 @@ def _alike(x: Column, y: Column, n: Column) -> Column:
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity, by the texts of docs (doc_id, t, text)."""
     least, most = NEAR
-    left, right = (nodes.select(F.col("fp").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"k{side}")) for side in "ab")
-    alike = _alike(F.col("ka"), F.col("kb"), F.col("na") + F.col("nb"))
-    pairs = written(pairs.join(left, "a").join(right, "b").where(alike).select("a", "b"), "neardup-pairs")
+    pairs = written(pairs, "neardup-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "least"), "fp")
     wanted = written(wanted.select("least.doc_id", "least.t").distinct(), "neardup-wanted")
     texts = _marked(docs, wanted, "left_semi").select("text")
@@ -216,28 +215,43 @@ def _touching(a: Column, b: Column) -> Column:
     return _differing(a, b) < 8
 
 
-def stars(many: DataFrame) -> DataFrame:
-    """a, b: each member with its list's centre: the more lists a node is in, the more of it is common to the group."""
-    standing = many.groupBy("fp").agg(F.count(F.lit(1)).alias("places"))
-    centre = many.join(standing, "fp").groupBy("name").agg(F.max_by(F.struct("fp", "word"), F.struct("places", "fp")).alias("c"))
-    pairs = many.join(centre, "name").where((F.col("fp") != F.col("c.fp")) & _touching(F.col("word"), F.col("c.word")))
-    return pairs.select(F.least("fp", "c.fp").alias("a"), F.greatest("fp", "c.fp").alias("b")).distinct()
+def first_lists(nodes_count: int) -> Column:
+    """Whether a list is named by a choice of the first shuffle of places(), which have no position in common."""
+    size = len(places(nodes_count)[0])
+    return F.shiftrightunsigned("name", 8 * size) < BYTES // size
 
 
-def apart(listed: DataFrame, nodes: DataFrame, roots: DataFrame, hot: int = HOT) -> DataFrame:
-    """a, b: pairs of members of a list whose components by roots (node, root) differ; lists with one component are passed over."""
-    rows = _rooted(listed.select("name", "fp", "word", "size"), roots)
+def _near(a: str, b: str) -> Column:
+    """Whether two members (structs of fp, word, root, n, sketch) are in different components, share a byte of their words and have sketches of sets that may be near."""
+    of = lambda c: (F.col(f"{a}.{c}"), F.col(f"{b}.{c}"))
+    (x, y), (n, m) = of("root"), of("n")
+    return (x != y) & _touching(*of("word")) & _alike(*of("sketch"), n + m)
+
+
+def _member() -> Column:
+    return F.struct("fp", "word", "root", "n", "sketch")
+
+
+def stars(rows: DataFrame) -> DataFrame:
+    """a, b: each member (name, fp, word, root, n, sketch) with its list's centre: the more lists a node is in, the more of it is common to the group."""
+    standing = rows.withColumn("places", F.count(F.lit(1)).over(Window.partitionBy("fp")))
+    centre = standing.groupBy("name").agg(F.max_by(_member(), F.struct("places", "fp")).alias("c"))
+    pairs = rows.select("name", _member().alias("m")).join(centre, "name").where(_near("m", "c"))
+    return pairs.select(F.least("m.fp", "c.fp").alias("a"), F.greatest("m.fp", "c.fp").alias("b")).distinct()
+
+
+def unsettled(listed: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """name, fp, word, size, root, n, sketch of the members of lists; lists with one component by roots (node, root) are passed over."""
+    rows = listed.select("name", "fp", "word", "size").join(_rooted(nodes.select("fp", "n", "sketch"), roots), "fp")
     open_ = rows.groupBy("name").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("name")
-    rows = written(rows.join(open_, "name", "left_semi"), "simhash-open")
-    few, many = rows.where(F.col("size") <= hot), rows.where(F.col("size") > hot).join(nodes.select("fp", "n", "sketch"), "fp")
+    return written(rows.join(open_, "name", "left_semi"), "simhash-open")
 
-    def pairs(rows: DataFrame, more: list[str], near) -> DataFrame:
-        x, y = (rows.select("name", F.col("fp").alias(side), F.col("root").alias(f"r{side}"), F.col("word").alias(f"w{side}"), *(F.col(c).alias(f"{c}{side}") for c in more)) for side in "ab")
-        met = (x["name"] == y["name"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _touching(F.col("wa"), F.col("wb"))
-        return x.join(y, met & near).select("a", "b")
 
-    long = pairs(many, ["n", "sketch"], _alike(F.col("sketcha"), F.col("sketchb"), F.col("na") + F.col("nb")))
-    return pairs(few, [], F.lit(True)).unionByName(long).distinct()
+def apart(rows: DataFrame) -> DataFrame:
+    """a, b: pairs of members of a list (name, fp, word, root, n, sketch) whose components differ."""
+    x, y = (rows.select("name", _member().alias(side)) for side in "xy")
+    met = x.join(y, (x["name"] == y["name"]) & (F.col("x.fp") < F.col("y.fp")) & _near("x", "y"))
+    return met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
 
 def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -251,9 +265,14 @@ def links(docs: DataFrame, nodes: DataFrame, length: int, hot: int = HOT) -> Dat
 
     nodes has fp, n, sketch, simhash and `least`, the doc_id and t of a row.
     """
-    listed = written(members(nodes, nodes.count()), "simhash-members")
-    near = verified(_counted(stars(listed.where(F.col("size") > hot)), nodes), docs, nodes, length)
-    return near.unionByName(verified(_counted(apart(listed, nodes, components(near), hot), nodes), docs, nodes, length))
+    count, many = nodes.count(), F.col("size") > hot
+    listed = written(members(nodes, count), "simhash-members")
+    verify = lambda pairs: verified(_counted(pairs, nodes), docs, nodes, length)
+    first = listed.where(many & first_lists(count)).join(nodes.select("fp", F.col("fp").alias("root"), "n", "sketch"), "fp")
+    near = verify(stars(first))
+    left = unsettled(listed, nodes, components(near))
+    near = near.unionByName(verify(stars(left.where(many))))
+    return near.unionByName(verify(apart(unsettled(left, nodes, components(near)))))
 
 
 def near_duplicates(docs: DataFrame, length: int = SHINGLE, hot: int = HOT) -> DataFrame:
