@@ -244,6 +244,24 @@ def test_rules_are_validated(spark):
     assert got == [("a+", True, None), ("(", False, "doesn't compile"), ("a*", False, "matches the empty string"), ("", False, "no pattern"), (None, False, "no pattern"), ("[a", False, "doesn't compile"), ("x|", False, "matches the empty string")]
 
 
+@pytest.mark.parametrize("few", [1_000, -1])
+def test_rules_with_equal_patterns_and_words_first(spark, few, monkeypatch):
+    monkeypatch.setattr(rule_index, "FEW", few)
+    found = [r"\bab[a-z]*", r"\bab[a-z]*", r"\bab?", r"\bab\s+of\b", r"\bab|\bof", r"\bof+", r"\b(?:ab|of)\s+(?:and|of)\b", r"\ba", r"\bAb1{2}", r"\bаб\w+", r"\b(ab)c(?=\s)", r"(?i)\bOF\b"]
+    b = spark.createDataFrame([(i, "b", t) for i, t in enumerate(["ab abc  cab of\nab of and Ab11 xab", "éab ab\u0301 off абв ab\u00a0of", "a_b ofof 7ab OF", "", None, "cab"])], BLOCK)
+    table = spark.createDataFrame([(i, f"c{i}", p, "", 0.5, "regex") for i, p in enumerate(found)], ROWS)
+    got = sorted((r.doc_id, r.rule, r.start, r.end, r.original_value, r.ord) for r in rule_index.scan(b, table).collect())
+    each = [(r.doc_id, i, r.m.start, r.m.end, r.m.value, r.ord) for i, p in enumerate(found) for r in b.select("doc_id", F.posexplode(matches(F.replace("text", F.lit("\u00a0"), F.lit(" ")), "(?U)" + p)).alias("ord", "m")).collect()]
+    assert got == sorted(each) and {g[1] for g in got} == set(range(len(found)))
+
+
+def test_few_rules_come_to_texts_that_move_once(spark, blocks):
+    table = spark.createDataFrame([(i, "c", p, "", 0.5, "regex") for i, p in enumerate([r"\bкозлов\b", r"\bкозлов\b", "плюс"])], ROWS)
+    plan = rule_index.scan(blocks, table)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("RepartitionByExpression") + len(re.findall(r"Exchange hashpartitioning\(doc_id", plan)) <= 1 and not re.search(r"HashAggregate\(keys=\[doc_id", plan)
+    assert not re.search(r"Filter [^\n]*regexp_replace\([^\n]*\ue000", plan)
+
+
 def test_very_long_texts(spark):
     b = spark.createDataFrame([(1, "b", "слово " * 60_000 + "ООО «Плюс»"), (2, "b", "ж" * 300_000)], BLOCK)
     table = spark.createDataFrame([("ооо «плюс»", "c", 0.5)], "phrase string, category string, confidence double")
