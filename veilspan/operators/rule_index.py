@@ -4,7 +4,7 @@ Most patterns have a literal that every match contains. It is read off the patte
 the rule's anchor. A text's distinct runs of three are looked up among the anchors in one pass, whatever the number of rules; only rules whose anchor and then whose whole
 literal a text holds are run on it. Rules without a literal of three characters are run on every text.
 
-Of up to FEW patterns each is looked for by its literals alone, without cutting texts into runs: texts are dealt out once, and the patterns come to them. Rules with equal
+Of up to FEW patterns each is looked for by the words of its literals among a text's distinct words, without cutting texts into runs: texts are dealt out once, and the patterns come to them. Rules with equal
 patterns are run once.
 
 An index of up to BROADCAST rules is broadcast behind a count, beyond it the lookup shuffles. The rules of a block meet its text by (document, block) in one row and are
@@ -149,15 +149,21 @@ def scan(blocks: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.select("doc_id", "block_id", "r.category", F.col("m.value").alias("original_value"), F.col("m.start").alias("start"), F.col("m.end").alias("end"), "r.confidence", "r.method", "r.description", "r.rule", "ord")
 
 
+def _pieces(text: Column) -> Column:
+    """A text cut at white space and common marks; what a text holds, its pieces hold piece by piece, and a text's distinct ones are fewer than its letters."""
+    return F.filter(F.split(text, r"""[\s.,;:!?()"]+"""), lambda x: x != "")
+
+
 def _met(texts: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, block_id, text, plain, pattern, rules: the patterns of a small table whose literals a block holds, with the rules that have them."""
     each = known.groupBy("pattern").agg(F.collect_list(F.struct(*COLUMNS)).alias("rules"))
-    literals = F.transform(F.coalesce(required_literals(F.col("pattern")), F.array().cast("array<string>")), folded)
+    literals = F.flatten(F.transform(F.coalesce(required_literals(F.col("pattern")), F.array().cast("array<string>")), lambda x: _pieces(folded(x))))
     each = each.select(_word_first().alias("pattern"), _plain_pattern().alias("plain"), literals.alias("literals"), "rules")
     every = each.agg(F.collect_list(F.struct("pattern", "plain", "literals", "rules")).alias("every"))  # one row
     texts = texts.repartition(PARTS * texts.sparkSession.sparkContext.defaultParallelism, "doc_id", "block_id")
-    texts = texts.select("doc_id", "block_id", plain_spaces(F.col("text")).alias("text")).withColumn("folded", folded(F.col("text"))).withColumn("ascii", _ascii_text())
-    held = F.filter("every", lambda p: F.forall(p["literals"], lambda x: F.contains(F.col("folded"), x)))
+    texts = texts.select("doc_id", "block_id", plain_spaces(F.col("text")).alias("text")).withColumn("ascii", _ascii_text())
+    texts = texts.withColumn("words", F.array_join(F.array_distinct(_pieces(folded(F.col("text")))), " "))
+    held = F.filter("every", lambda p: F.forall(p["literals"], lambda x: F.contains(F.col("words"), x)))
     rows = texts.join(F.broadcast(every)).select("doc_id", "block_id", "text", "ascii", F.explode_outer(held).alias("p")).where("p IS NOT NULL")
     return rows.select("doc_id", "block_id", "text", (F.col("ascii") & F.col("p.plain")).alias("plain"), "p.pattern", "p.rules")
 
